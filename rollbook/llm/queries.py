@@ -25,5 +25,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing)}
+def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.phrases import repeated_phrases
+
+    out = repeated_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases)}
 SQL: dict[str, str] = {}
