@@ -32,5 +32,12 @@ def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases)}
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.repeats import repeated_bytes
+
+    out = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes)}
 SQL: dict[str, str] = {}
