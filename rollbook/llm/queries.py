@@ -39,5 +39,11 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes)}
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.setsketch import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes, op5_setsketch)}
 SQL: dict[str, str] = {}
