@@ -45,5 +45,11 @@ def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes, op5_setsketch)}
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.embedding_dedup import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes, op5_setsketch, op3_embedding_dedup)}
 SQL: dict[str, str] = {}
