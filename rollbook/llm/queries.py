@@ -69,5 +69,18 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes, op5_setsketch, op3_embedding_dedup, op8_warc)}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.bilstm_crf import KINDS
+    from rollbook.llm.pii import personal_data
+
+    out = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    place = F.array(*[F.lit(k) for k in KINDS])
+    everything = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(place, s["kind"]).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    counted = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [counted(k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(everything).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes, op5_setsketch, op3_embedding_dedup, op8_warc, op4_pii)}
 SQL: dict[str, str] = {"op8_warc": SQL_WARC}
