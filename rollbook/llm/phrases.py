@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from rollbook.llm.hashing import anchors, room, segment_hash, texts, window_hash, word_spans
 from rollbook.llm.shards import combined, ordered, recurring, runs_by_document, sharded, strings, union_of
 
+#: A shard's distinct words are numbered, and spelt in letters of so many bits: an automaton's state then has few branches.
+LETTER_BITS = 6
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, kept string"
 
 
@@ -48,14 +50,17 @@ def located(words: np.ndarray, grams: np.ndarray, place: np.ndarray, wanted: np.
     mine = np.isin(grams[place], wanted)
     if not mine.any():
         return mine
-    _, letters = np.unique(words, return_inverse=True)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    _, number = np.unique(words, return_inverse=True)
+    size = max(1, -(-int(number.max()).bit_length() // LETTER_BITS))
+    letters = (number[:, None] >> (LETTER_BITS * np.arange(size))) & ((1 << LETTER_BITS) - 1)
+    stream = (letters + 48).astype(np.uint8).tobytes().decode("ascii")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     _, one = np.unique(grams[place[mine]], return_index=True)
-    for number, at in enumerate(place[mine][one].tolist()):
-        automaton.add_word(tuple(letters[at:at + phrase].tolist()), number)
+    for n, at in enumerate(place[mine][one].tolist()):
+        automaton.add_word(stream[at * size:(at + phrase) * size], n)
     automaton.make_automaton()
     found = np.zeros(len(words) + 1, bool)
-    found[[end - phrase + 1 for end, _ in automaton.iter(tuple(letters.tolist()))]] = True
+    found[[(end + 1) // size - phrase for end, _ in automaton.iter(stream) if (end + 1) % size == 0]] = True
     return mine & found[place]
 
 
