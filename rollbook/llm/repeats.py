@@ -155,36 +155,39 @@ def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 100, shard_by
         edge = np.flatnonzero(np.append(True, grams[order[1:]] != grams[order[:-1]]))
         many = table["who"].combine_chunks().value_lengths().to_numpy()
         text = table["text"]
-        rows, starts, counts = [], [], []
+        rows, starts, ends = [], [], []
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
             group: dict[tuple[int, bytes], list[int]] = {}
             for row in order[a:b].tolist():
                 group.setdefault((int(left[row]), text[row].as_py()), []).append(row)
-            alone = 0
-            for (_, string), own_rows in group.items():
+            alone = {}
+            for number, ((n, string), own_rows) in enumerate(group.items()):
                 if len(own_rows) > 1 or many[own_rows[0]] > 1:
                     rows += own_rows
                     starts += [0] * len(own_rows)
-                    counts += [len(string)] * len(own_rows)
+                    ends += [len(string)] * len(own_rows)
                 else:
-                    alone += 1
+                    alone[number] = [own_rows[0], n, n]
             if alone and len(group) > 1:
-                keys = list(group)
-                before, after = [s[:n][::-1] for n, s in keys], [s[n:] for n, s in keys]
+                before, after = [s[:n][::-1] for n, s in group], [s[n:] for n, s in group]
                 for members, to_left, to_right in maximal_repeats(before, after, length):
                     for m in members:
-                        own_rows = group[keys[m]]
-                        if len(own_rows) == 1 and many[own_rows[0]] == 1:
-                            rows.append(own_rows[0])
-                            starts.append(keys[m][0] - to_left)
-                            counts.append(to_left + to_right)
+                        if m in alone:  # all of a context's repeats hold its anchor, so together they are one run
+                            seen, n = alone[m], len(before[m])
+                            seen[1] = min(seen[1], n - to_left)
+                            seen[2] = max(seen[2], n + to_right)
+                for row, start, end in alone.values():
+                    if end > start:
+                        rows.append(row)
+                        starts.append(start)
+                        ends.append(end)
         if not rows:
             return
-        took = table.take(pa.array(rows))
+        took = table.select(["shard", "who"]).take(pa.array(rows))
         who = took["who"].combine_chunks()
         per = who.value_lengths().to_numpy()
         who, row = who.flatten(), np.repeat(np.arange(len(rows)), per)
-        yield pa.RecordBatch.from_arrays([pa.array(took["shard"].to_numpy()[row]), who.field("flag"), who.field("key"), who.field("dup"), pa.array((who.field("start").to_numpy() + np.array(starts)[row]).astype(np.int32)), pa.array(np.array(counts)[row].astype(np.int32))], names=["shard", "flag", "key", "dup", "start", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(took["shard"].to_numpy()[row]), who.field("flag"), who.field("key"), who.field("dup"), pa.array((who.field("start").to_numpy() + np.array(starts)[row]).astype(np.int32)), pa.array((np.array(ends) - np.array(starts))[row].astype(np.int32))], names=["shard", "flag", "key", "dup", "start", "n"])
 
     def take_out(docs: pa.Table, found: pa.Table) -> pa.Table:
         docs, dup = ordered(docs)
