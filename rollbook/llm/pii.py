@@ -146,14 +146,17 @@ def by_kind(spans: list[tuple[str, int, int]]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))]
 
 
-def personal_data(docs: DataFrame, redact: bool = False) -> DataFrame:
+def personal_data(docs: DataFrame, redact: bool = False, keep: list[str] | None = None) -> DataFrame:
     """SPANS for each document: what the rules find, and what the tagger adds, by kind and then place, in code points.
 
     With redact, also `text`: each span, or run of overlapping spans, replaced by its first kind in angle brackets (a null
     text stays null). Null and empty texts have no spans; rows are judged one by one, so repeated rows and null doc_ids
-    need nothing more; an empty table gives an empty table. Other columns are not looked at. Texts are read whole.
+    need nothing more; an empty table gives an empty table. Columns named in `keep` go along as they are; others are not
+    looked at. Texts are read whole.
     """
     tagger = trained()
+    keep = keep or []
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c) for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -173,9 +176,10 @@ def personal_data(docs: DataFrame, redact: bool = False) -> DataFrame:
                     if spans := sorted(base[n] + added[n], key=lambda s: (s[1], -s[2])):
                         texts[n] = redacted(texts[n], spans)
                 columns.append(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "added"] + ["text"] * redact)
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["doc_id", "base", "added"] + ["text"] * redact + keep)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS + ", text string" * redact)
+    kept = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
+    return own.mapInArrow(run, SPANS + ", text string" * redact + kept)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
