@@ -6,10 +6,10 @@ be merged by taking the larger register, and the more similar two sets are, the
 
 1. Documents with equal sets form a class, with one sketch and one representative, the smallest doc_id.
 2. Registers are banded, four to a band. Each class is compared with the first class of every bucket it lies in.
-3. Buckets whose classes are then still in several components are gone through again, in blocks, all against all, so
-   that no link is lost; classes already joined need no more links.
-4. A pair goes on if the joint likelihood of its registers does not speak against a similarity over the limit, and is
+3. A pair goes on if the joint likelihood of its registers does not speak against a similarity over the limit, and is
    then verified on the full sets. Confirmed links are joined to components.
+4. Buckets whose classes are then still in several components are gone through again, in blocks, all against all, so
+   that no link is lost; classes already joined need no more links. No list of pairs is made of a large group.
 
 Pairs of sets at the limit miss all bands with a probability of (1 - 0.8**4)**32, under 1e-7.
 """
@@ -30,7 +30,7 @@ REGISTERS, PER_BAND = 128, 4
 BANDS = REGISTERS // PER_BAND
 BASE, RATE = 1.02, 20.0
 #: A pair is dropped unverified if a similarity over the limit is less likely than the likeliest one by e**-EVIDENCE.
-EVIDENCE = 16.0
+EVIDENCE = 12.0
 #: Classes of one bucket that meet in one block.
 BLOCK = 512
 
@@ -148,65 +148,94 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bandsa", "bandsb").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(mixed: DataFrame, limit: float) -> DataFrame:
-    """Plausible pairs of classes that share a bucket but no component.
-
-    mixed: band, value, rep, leader, component, n, bands. A bucket's classes are dealt into blocks by a hash, as many as
-    its size asks for; each two blocks meet in one place. Pairs with the bucket's leader were looked at before.
+def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of a partition that is sorted by key."""
+    held, name = [], None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy() for c in key]
+        edge = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), batch.num_rows], strict=True):
+            now = tuple(int(c[lo]) for c in cols)
+            if now != name and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_links(mixed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between classes that share a bucket but no component yet; enough of them to join what is linked.
+
+    mixed: band, value, rep, leader, component, n, bands, text. A bucket's classes are dealt into blocks by a hash, as many
+    as its size asks for; each two blocks meet in one place, where plausible pairs are verified on their full sets, and
+    only what joins two components is put out. A pair is looked at in the first bucket that it shares, and not
+    with the bucket's leader, with which all were compared before.
     """
     key = ["band", "value"]
     size = mixed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = mixed.join(size, key).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "leader", "component", "n", "bands")
+    dealt = dealt.select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "bands", "text")
     dealt = dealt.repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y")
 
     def meet(rows: pa.Table) -> pa.RecordBatch:
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         registers, n = registers_of(rows["bands"].combine_chunks()), rows["n"].to_numpy()
-        rep, component, own, leader = (rows[c].to_numpy() for c in ("rep", "component", "own", "leader"))
-        x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
-        found: list[np.ndarray] = []
+        rep, label, own = rows["rep"].to_numpy(), rows["component"].to_numpy().copy(), rows["own"].to_numpy()
+        band, one_block = rows["band"][0].as_py(), rows["x"][0].as_py() == rows["y"][0].as_py()
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                raw = np.frombuffer((rows["text"][i].as_py() or "").encode(), np.uint8)
+                sets[i] = shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+            return sets[i]
+
+        links: list[tuple[int, int]] = []
         for i in range(len(rep)):
-            other = np.flatnonzero((component != component[i]) & (rep > rep[i]) & (rep != leader) & ((own != own[i]) | (x == y)))
-            if rep[i] != leader[i] and len(other):
-                ok = plausible(np.broadcast_to(registers[i], (len(other), REGISTERS)), registers[other], np.full(len(other), n[i]), n[other], limit)
-                found.append(np.column_stack([np.full(ok.sum(), rep[i]), rep[other[ok]]]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            other = np.flatnonzero((label != label[i]) & (rep > rep[i]) & ((own != own[i]) | one_block))
+            other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
+            if not len(other):
+                continue
+            ok = plausible(np.broadcast_to(registers[i], (len(other), REGISTERS)), registers[other], np.full(len(other), n[i]), n[other], percent / 100)
+            for j in other[ok].tolist():
+                if label[i] != label[j] and similar(set_of(i), set_of(j), percent):
+                    links.append((int(rep[i]), int(rep[j])))
+                    label[label == label[j]] = label[i]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("band", "value", "x", "y")]
-            edge = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
-            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), batch.num_rows], strict=True):
-                now = tuple(int(c[lo]) for c in cols)
-                if now != name and held:
-                    yield meet(pa.Table.from_batches(held))
-                    held = []
-                name = now
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield meet(pa.Table.from_batches(held))
+        yield from map(meet, grouped(batches, [*key, "x", "y"]))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets have 100 * intersection >= percent * union."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents named in the only column of ids, written."""
+    need = ids.toDF("doc_id").distinct()
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need, "doc_id", "left_semi"), "texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need, "doc_id", "left_semi"), "texts")
+    held = texts_of(docs, pairs.select("a").union(pairs.select("b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, keep = [], [], []
+            a, b = [], []
             for column, out in ((2, a), (3, b)):
                 for lo, hi, buf, offs in texts(batch.column(column)):
                     hashes, at = shingle_sets(buf, offs, width)
                     out += [hashes[at[i]:at[i + 1]] for i in range(hi - lo)]
-            for x, y in zip(a, b, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(x, y, percent) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -235,9 +264,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = written(verified(written(likely_pairs(pairs, classes, limit), "pairs"), docs, width, percent), "links")
     joined = components(links, "a", "b")
     placed = shared.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("band", "value")
-    left = placed.join(mixed, ["band", "value"]).join(classes.select("rep", "n", "bands"), "rep")
-    more = verified(written(block_pairs(left, limit), "pairs"), docs, width, percent)
+    others = placed.where("rep != leader")
+    mixed = others.groupBy("band", "value").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("band", "value")
+    left = written(others.join(mixed, ["band", "value"]), "mixed")
+    held = texts_of(docs, left.select("rep"))
+    left = left.join(classes.select("rep", "n", "bands"), "rep").join(held.withColumnRenamed("doc_id", "rep"), "rep")
+    more = written(block_links(left, width, percent), "links")
     twins = drawn.where("n > 0 and doc_id is not null").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct()
     final = components(links.union(more).union(twins.where("doc_id != rep")), "a", "b")
     out = drawn.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))

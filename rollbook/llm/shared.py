@@ -39,7 +39,7 @@ def dropped(df: DataFrame) -> None:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in links (a, b).
+    """(id, component): the smallest id reachable by links (a, b), for every id that reaches a smaller one.
 
     Alternates the large-star and small-star steps until nothing changes. Each step is one aggregation by node, which
     combines before its shuffle, and one join back to the links; a node with very many links is split by AQE.
