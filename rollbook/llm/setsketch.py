@@ -8,6 +8,8 @@ be merged by taking the larger register, and the more similar two sets are, the
 2. Registers are banded, four to a band. Each class is compared with the first class of every bucket it lies in.
 3. A pair goes on if the joint likelihood of its registers does not speak against a similarity over the limit, and is
    then verified on the full sets. Confirmed links are joined to components.
+   Joins that carry texts and registers are asked to sort and merge, whatever the number of pairs: their cost then
+   follows the input, and nothing that grows with the data is broadcast.
 4. Buckets whose classes are then still in several components are gone through again, in blocks, all against all, so
    that no link is lost; classes already joined need no more links. No list of pairs is made of a large group.
 
@@ -145,7 +147,7 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, limit: float) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"bands{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bandsa", "bandsb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a").hint("shuffle_merge"), "a").join(side("b").hint("shuffle_merge"), "b").select("a", "b", "na", "nb", "bandsa", "bandsb").mapInArrow(run, "a long, b long")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -221,7 +223,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents named in the only column of ids, written."""
     need = ids.toDF("doc_id").distinct()
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need, "doc_id", "left_semi"), "texts")
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need.hint("shuffle_merge"), "doc_id", "left_semi"), "texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -238,8 +240,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             keep = [similar(x, y, percent) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    one = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("shuffle_merge"), "a")
+    two = one.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("shuffle_merge"), "b")
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = others.groupBy("band", "value").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("band", "value")
     left = written(others.join(mixed, ["band", "value"]), "mixed")
     held = texts_of(docs, left.select("rep"))
-    left = left.join(classes.select("rep", "n", "bands"), "rep").join(held.withColumnRenamed("doc_id", "rep"), "rep")
+    left = left.join(classes.select("rep", "n", "bands").hint("shuffle_merge"), "rep").join(held.withColumnRenamed("doc_id", "rep").hint("shuffle_merge"), "rep")
     more = written(block_links(left, width, percent), "links")
     twins = drawn.where("n > 0 and doc_id is not null").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct()
     final = components(links.union(more).union(twins.where("doc_id != rep")), "a", "b")
