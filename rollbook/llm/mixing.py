@@ -20,7 +20,7 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: No document is taken more often.
 MOST_COPIES = 2
 #: Documents of one source, size and hash bucket that are ranked together.
-RANKED_TOGETHER = 4096
+RANKED_TOGETHER = 256
 
 
 def n_words(text: str) -> F.Column:
