@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.llm import sql
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollbook.llm.packing import pack
@@ -58,17 +60,6 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL_WARC = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-     q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
-                  max(page_id) OVER (PARTITION BY html) AS last FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
-FROM q
-"""
-
-
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollbook.llm.bilstm_crf import KINDS
     from rollbook.llm.pii import personal_data
@@ -99,44 +90,12 @@ def as_mail(messages: DataFrame) -> DataFrame:
     return both.withColumn("text", F.concat(above, F.col("text"))).select("conv_id", "turn", "role", "text")
 
 
-SQL_QUOTES = r"""
-WITH RECURSIVE one AS (SELECT conv_id, turn + 1 AS turn, max(text) AS t1 FROM conversations GROUP BY ALL),
-two AS (SELECT conv_id, turn + 2 AS turn, max(text) AS t2 FROM conversations GROUP BY ALL),
-mail AS (
-  SELECT conv_id, turn, role,
-         (CASE WHEN turn % 4 = 2 THEN coalesce('>> ' || replace(t2, chr(10), chr(10) || '>> ') || chr(10), '') ELSE '' END)
-         || (CASE WHEN turn % 4 < 3 THEN coalesce('> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10), '') ELSE '' END) || text AS text
-  FROM conversations LEFT JOIN one USING (conv_id, turn) LEFT JOIN two USING (conv_id, turn)),
-raws AS (SELECT conv_id, turn, parts[n] AS raw, n
-         FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS parts FROM mail), unnest(range(1, len(parts) + 1)) AS r(n)),
-lines AS (
-  SELECT conv_id, turn, n, raw, length(regexp_replace(mark, '[^>]', '', 'g')) AS level,
-         regexp_replace(substr(raw, length(mark) + 1), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
-  FROM (SELECT *, regexp_extract(raw, '^([ \t]*>)+') AS mark FROM raws)),
-hashed AS (SELECT *, lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM lines WHERE line <> ''),
-wrote AS (SELECT DISTINCT conv_id, turn AS writer, h FROM hashed WHERE level = 0),
-found AS (
-  SELECT q.conv_id, q.turn, q.n, q.level, max(w.writer) AS writer
-  FROM hashed q JOIN wrote w ON w.conv_id = q.conv_id AND w.h = q.h AND w.writer < q.turn WHERE q.level > 0 GROUP BY ALL),
-votes AS (SELECT conv_id, turn, level, writer, count(*) AS votes FROM found GROUP BY ALL),
-best AS (
-  SELECT conv_id, turn, writer AS reply_to, all_votes FROM (
-    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, writer DESC) AS rn,
-           sum(votes) OVER (PARTITION BY conv_id, turn) AS all_votes FROM votes) WHERE rn = 1),
-chain AS (
-  SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM best
-  UNION ALL SELECT c.conv_id, c.turn, b.reply_to, c.depth + 1 FROM chain c JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.root),
-ends AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(root, depth) AS root FROM chain GROUP BY ALL),
-kept AS (
-  SELECT conv_id, turn, string_agg(raw, chr(10) ORDER BY n) FILTER (WHERE level = 0) AS text,
-         count(*) FILTER (WHERE level > 0 AND line <> '') AS quoted FROM lines GROUP BY ALL)
-SELECT m.conv_id, m.turn, m.role,
-       regexp_replace(rtrim(coalesce(k.text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^[\x20\x09-\x0D]*\n', '') AS text,
-       CAST(k.quoted AS BIGINT) AS n_quoted_lines, CAST(coalesce(b.all_votes, 0) AS BIGINT) AS n_linked_lines, b.reply_to,
-       CAST(coalesce(e.depth, 0) AS BIGINT) AS depth, coalesce(e.root, m.turn) AS root
-FROM mail m JOIN kept k USING (conv_id, turn) LEFT JOIN best b USING (conv_id, turn) LEFT JOIN ends e USING (conv_id, turn)
-"""
-
-
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op6_mixing, op7_repeated_phrases, op10_repeated_bytes, op5_setsketch, op3_embedding_dedup, op8_warc, op4_pii, op9_quotes)}
-SQL: dict[str, str] = {"op8_warc": SQL_WARC, "op9_quotes": SQL_QUOTES}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes)}
+SQL: dict[str, str] = {
+    "op2_line_quality": sql.LINE_QUALITY,
+    "op3_embedding_dedup": sql.EMBEDDING_DEDUP,
+    "op5_setsketch": sql.SETSKETCH,
+    "op7_repeated_phrases": sql.REPEATED_PHRASES,
+    "op8_warc": sql.WARC,
+    "op9_quotes": sql.QUOTES,
+}
