@@ -20,15 +20,13 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, copy, line_no, level, line, hash): each line of each message.
+    """(conv_id, turn, copy, line_no, level, line, hash): each line of each message (conv_id, turn, copy, text).
 
     level counts the > signs before a line, with blanks between them; line is what follows, without blanks at its ends;
     hash is of the line in lower case with single spaces, and null for an empty one. copy tells rows with the same
-    conv_id and turn apart: it is their number, in the order of their texts.
+    conv_id and turn apart.
     """
-    own = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string"))
-    own = own.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text")))
-    split = own.select("conv_id", "turn", "copy", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+    split = messages.select("conv_id", "turn", "copy", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     mark = F.regexp_extract("raw", MARK, 0)
     line = F.regexp_replace(F.substr("raw", F.length(mark) + 1), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     split = split.select("conv_id", "turn", "copy", "line_no", F.length(F.regexp_replace(mark, "[^>]", "")).alias("level"), line.alias("line"))
@@ -51,8 +49,8 @@ def linked(messages: DataFrame) -> DataFrame:
     links. Empty texts have no lines to quote. An empty table gives an empty table. Other columns are not looked at.
     """
     own = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    own = own.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text")))
-    lines = quoted_lines(own.drop("role", "copy"))
+    own = written(own.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text"))), "messages")
+    lines = written(quoted_lines(own).where("hash is not null").drop("line"), "lines")
     source = lines.where("level = 0 and hash is not null and conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("writer"), "hash").distinct()
     asked = lines.where("level > 0 and hash is not null").select("conv_id", "turn", "copy", "level", "hash").groupBy("conv_id", "turn", "copy", "level", "hash").agg(F.count("*").alias("n"))
     # Of one hash, each quoting turn needs the latest writer before it. Turns are dealt with in spans: bits say which turns
