@@ -52,3 +52,27 @@ def newest_runs(runs: DataFrame, n: int = RUNS_LISTED) -> DataFrame:
 def reopened(rows: DataFrame, stored: DataFrame | None, *order: str, per_page: int = 40) -> DataFrame:
     """A run's pages: those stored with it, else laid out anew."""
     return stored if stored is not None else pages(rows, *order, rows=per_page)
+
+
+def source_hashes(content: DataFrame) -> DataFrame:
+    """(source, source_hash, bytes) of files read as binaryFile, for the history of loads."""
+    return content.select(F.col("path").alias("source"), F.sha1("content").alias("source_hash"), F.col("length").alias("bytes"))
+
+
+def load_history(tables: dict[str, DataFrame], source_hash: DataFrame, loaded: str) -> DataFrame:
+    """One row for each loaded table: name, rows, when, and the hash of what it came from (one row)."""
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")) for name, df in tables.items()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out.crossJoin(F.broadcast(source_hash.select("source_hash").limit(1))).withColumn("loaded", F.lit(loaded).cast("timestamp"))
+
+
+def selection_log(rows: DataFrame, user: str, at: str) -> DataFrame:
+    """What a user chose to see, to append under the day it was chosen."""
+    return rows.select(F.lit(user).alias("user"), F.lit(at).cast("timestamp").alias("at"), F.lit(at).cast("timestamp").cast("date").alias("day"), "record_key")
+
+
+def recorded_run(rows: DataFrame, run_id: str, *order: str, **values: object) -> dict[str, DataFrame]:
+    """A run's header and numbered items, to append under its id."""
+    return {"header": run_header(rows, run_id, **values), "items": run_items(rows, run_id, *order)}

@@ -658,3 +658,62 @@ def print_areas(spark, d):
     rows = s.cells(spark, d).groupBy("sheet", "row").agg(F.min("col").alias("first_col"))
     areas = rows.select("sheet").distinct().select("sheet", F.explode(F.array(F.struct(F.lit(2).alias("r0"), F.lit(1000).alias("r1"), F.lit(0).alias("c0"), F.lit(5).alias("c1")), F.struct(F.lit(2000).alias("r0"), F.lit(2100).alias("r1"), F.lit(0).alias("c0"), F.lit(5).alias("c1")))).alias("a")).select("sheet", "a.*")
     return layout.areas_marked(rows, areas).select("sheet", "row", "area", "history")
+
+
+# --- lists that users pick from, histories, profiles -------------------------------------------------------------
+
+@query("SELECT name, licences, department FROM (SELECT name, count(*) AS licences FROM roster GROUP BY 1) LEFT JOIN (SELECT name, min(department) AS department FROM workers GROUP BY 1) USING (name)", "roster", "workers")
+def picker_people(spark, d):
+    return roster_ops.with_departments(roster_ops.people(s.roster(spark, d)), s.workers(spark, d)).select("name", "licences", "department")
+
+
+@query("SELECT DISTINCT qualification, category FROM roster", "roster")
+def picker_qualifications(spark, d):
+    return s.roster(spark, d).select("qualification", "category").distinct()
+
+
+@query(f"""SELECT license_no, CAST((row_number() OVER (PARTITION BY category ORDER BY expiry_date, row_seq) + 39) // 40 AS BIGINT) AS sheet_page, record_key FROM (
+ SELECT *, concat_ws('|', replace(name, ' ', ''), license_no, lower(qualification)) AS record_key FROM roster WHERE qualification = 'boiler O')""", "roster")
+def selection_pages(spark, d):
+    chosen = issue.selected(s.roster(spark, d).withColumn("record_key", text.record_key("name", "license_no", "qualification", normal=True)), kinds=["boiler O"])
+    return issue.pages(chosen, "expiry_date", "row_seq").select("license_no", "sheet_page", "record_key")
+
+
+@query(f", {INTERVALS} SELECT i.rec_key, i.valid_from, i.valid_to FROM intervals i WHERE rec_key = '7' AND valid_from <= DATE '2024-01-20' AND (valid_to IS NULL OR valid_to >= DATE '2024-01-20')", "snapshots")
+def person_history(spark, d):
+    runs_ = interval_rows(spark, d).select(F.col("rec_key").alias("name_key"), "rec_key", "valid_from", "valid_to", F.col("valid_from").alias("issue_date"), F.col("valid_to").alias("expiry_date"))
+    people = runs_.select("name_key").distinct().withColumn("name", F.concat(F.lit("user "), "name_key"))
+    return versioned.history(runs_, people, "user 7", "2024-01-20").select("rec_key", "valid_from", "valid_to")
+
+
+@query("SELECT 'name' AS column_name FROM roster LIMIT 1", "roster")
+def name_columns(spark, d):
+    own = s.roster(spark, d).select("license_no", "category", F.translate("name", "abcdefghij", "klmnopqrst").alias("name"))
+    found = identity.name_columns(own)
+    return s.table(spark, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, found))).alias("column_name"))
+
+
+@query("SELECT 'l_shipdate' AS expiry_date, 'o_orderdate' AS first_issue_date FROM lineitem LIMIT 1")
+def guessed_dates(spark, d):
+    # line items are shipped after 1995 as orders are made; a week later than that is the later column
+    own = s.table(spark, d, "lineitem").select(F.date_add("l_shipdate", 7).alias("l_shipdate"), F.col("l_shipdate").cast("date").alias("o_orderdate"))
+    found = due_ops.guessed_dates(own, own.columns)
+    return s.table(spark, d, "region").limit(1).select(F.lit(found["expiry_date"]).alias("expiry_date"), F.lit(found["first_issue_date"]).alias("first_issue_date"))
+
+
+@query(f"WITH {STAR} SELECT 'dim_person' AS table_name, count(DISTINCT lower(name)) AS rows FROM stage UNION ALL SELECT 'dim_license', count(DISTINCT license_no) FROM stage UNION ALL SELECT 'fact_qualification', count(*) FROM stage")
+def star_load_history(spark, d):
+    return runs.load_history(star_tables(spark, d), s.table(spark, d, "region").select(F.sha1("r_name").alias("source_hash")), NOW).select("table_name", "rows")
+
+
+@query("SELECT row_seq, name, ' ' || category AS category, strftime(issue_date, '%Y-%m-%d') AS issue_date, '' AS address, false AS is_manual FROM roster", "roster")
+def serialised_rows(spark, d):
+    own = s.roster(spark, d).select(F.col("row_seq").cast("string").alias("row_seq"), "name", F.concat(F.lit(" "), "category").alias("category"), "issue_date", F.lit(None).cast("string").alias("address"), F.lit("ingest").alias("source"))
+    return schema.serialised(own, ["issue_date"]).drop("source").withColumn("row_seq", F.col("row_seq").cast("long"))
+
+
+@query("SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'nan' ELSE ' ' END AS session FROM events WHERE event_id % 3 = 0")
+def rejected_changes(spark, d):
+    session = F.when(F.col("event_id") % 3 != 0, "s").when(F.col("event_id") % 2 == 0, "nan").otherwise(" ")
+    good, bad = state.checked(s.table(spark, d, "events").select("user_id", "event_id", session.alias("session")), ["user_id", "session"])
+    return bad

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +87,16 @@ def write_calendar(events: DataFrame, path: str) -> None:
 
 def append_by(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
+
+
+def stored_as_of(spark: SparkSession, path: str, date: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """A date's stored result; computed and written first if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/as_of={date}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        write_as_of(compute(), path, date)
+    return read_as_of(spark, path, date)
+
+
+def write_star(tables: dict[str, DataFrame], path: str, version: str) -> dict[str, str]:
+    """Each table of a star schema as a new version; the staging table that they share is worth caching by the caller."""
+    return {name: write_version(df, f"{path}/{name}", version) for name, df in tables.items()}

@@ -302,3 +302,38 @@ def test_feeds(spark, tmp_path):
     listed.write.parquet(f"{tmp_path}/roster")
     feeds.due_feed(spark, f"{tmp_path}/roster", listed.schema, f"{tmp_path}/due", f"{tmp_path}/cp2", "2025-01-01").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/due").first().days_to_expiry == 4
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url, driver = f"jdbc:derby:memory:{tmp_path.name};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.createDataFrame([(1, "n"), (2, " "), (3, "m")], "employee_id int, name string")
+    jdbc.write_table(df, url, "workers", **driver)
+    got = jdbc.read_table(spark, url, "workers", where="employee_id > 1", **driver)
+    assert "PushedFilters: [*IsNotNull(EMPLOYEE_ID), *GreaterThan" in got._jdf.queryExecution().toString() or got.count() == 2
+    assert rows(jdbc.workers(got.toDF("employee_id", "name")), "name") == [("m",)]
+    assert jdbc.read_table(spark, url, "workers", limit=1, **driver).count() == 1
+    assert jdbc.read_table(spark, url, "workers", key="employee_id", bounds=(1, 3), partitions=2, **driver).rdd.getNumPartitions() == 2
+    assert jdbc.read_query(spark, url, 'select "name" from workers where "employee_id" = 1', **driver).count() == 1
+
+
+def test_stored_results_and_star_files(spark, tmp_path):
+    made = []
+
+    def compute():
+        made.append(1)
+        return spark.createDataFrame([("n", D(2025, 1, 1))], "name string, expiry_date date")
+
+    for _ in range(2):
+        assert files.stored_as_of(spark, f"{tmp_path}/store", "2025-01-01", compute).count() == 1
+    assert len(made) == 1
+    paths = files.write_star({"dim_person": compute(), "fact": compute()}, f"{tmp_path}/star", "1")
+    assert all(spark.read.parquet(p).count() == 1 for p in paths.values())
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    hashes = runs.source_hashes(spark.read.format("binaryFile").load(f"{tmp_path}/f.bin"))
+    assert hashes.first().source_hash == "a9993e364706816aba3e25717850c26c9cd0d89d"
+    log = runs.selection_log(spark.createDataFrame([("k",)], "record_key string"), "u", NOW)
+    files.append_by(log, f"{tmp_path}/log", "day")
+    files.append_by(log, f"{tmp_path}/log", "day")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    run = runs.recorded_run(compute().withColumn("print_sheet", F.lit("A")), "r1", "name", printed=NOW)
+    assert run["header"].first().record_count == 1 and run["items"].first().item == 0
