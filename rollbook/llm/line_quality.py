@@ -104,7 +104,7 @@ def quality(docs: DataFrame, least_words: int = 20, most_repeat_percent: int = 3
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, frequent_words, base_failed, kept.
     A line is frequent in its host when more than line_limit distinct texts, and more than line_percent of the host's
     distinct texts, have it. frequent_words counts the words on such lines. A document is kept if it passes the base
-    rules and without its frequent lines has least_words words and least_left_percent of its words.
+    rules and has least_left_percent of its words without its frequent lines, so a short text under a footer stays.
 
     Null and empty texts have no words and fail; null source is a host of its own; repeated rows (and null doc_ids) are
     each judged; an empty table gives an empty table; other columns are not looked at. A hot host or line is
@@ -122,5 +122,5 @@ def quality(docs: DataFrame, least_words: int = 20, most_repeat_percent: int = 3
     left = F.col("n_words") - F.col("frequent_words")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "frequent_words", failed.alias("base_failed"),
-                      (~failed & (left >= least_words) & (100 * left >= least_left_percent * F.col("n_words"))).alias("kept"))
+                      (~failed & (100 * left >= least_left_percent * F.col("n_words"))).alias("kept"))
 

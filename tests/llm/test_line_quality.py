@@ -30,7 +30,7 @@ def brute(rows, limit=20, percent=2):
                 taken += len(words(line)) if n > limit and n * 100 > len(hosts[r.source]) * percent else 0
         failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
         left = len(w) - taken
-        out[(r.doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), taken, failed, not failed and left >= 20 and 100 * left >= 30 * len(w))] += 1
+        out[(r.doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), taken, failed, not failed and 100 * left >= 30 * len(w))] += 1
     return out
 
 
