@@ -26,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.hashing import anchors, room, segment_hash, texts, window_hash, word_spans
+from rollbook.llm.hashing import anchors, mix, room, segment_hash, texts, window_hash, word_spans
 from rollbook.llm.shards import combined, ordered, recurring, runs_by_document, sharded, strings, union_of
 
+#: A phrase that occurs more often has its windows dealt over several tasks, by their place around it.
+HOT_PHRASE = 256
 #: A shard's distinct words are numbered, and spelt in letters of so many bits: an automaton's state then has few branches.
 LETTER_BITS = 6
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, kept string"
@@ -103,8 +105,8 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
 
     def first_here(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         """Rows with hashes: windows that are the shard's first of their kind. Rows without: n windows that are not."""
-        names = ["gram", "shard", "flag", "key", "dup", "start", "n", "hashes"]
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        names = ["gram", "salt", "shard", "flag", "key", "dup", "start", "n", "hashes"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
         empty = pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         if not docs.num_rows or not wanted.num_rows:
             return empty
@@ -125,19 +127,22 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
         later = np.zeros(len(at), bool)
         later[order[1:]] = both[order[1:]] == both[order[:-1]]
         doc = np.searchsorted(first, lo, "right") - 1
+        hot = np.isin(grams[place], wanted["gram"].to_numpy().view(np.uint64)[wanted["total"].to_numpy() > HOT_PHRASE])[owner]
+        salt = np.where(hot, place[owner] - at, 0)  # equal windows lie at the same place around their anchor
         parts = []
         key, flag, shard = docs["key"].to_numpy(), docs["flag"].to_numpy(), docs["shard"].to_numpy()
         for is_later in (False, True):
             index = np.flatnonzero(later == is_later)
-            group = doc[owner[index]] if is_later else owner[index]
+            group = doc[owner[index]] if is_later else owner[index] * width + salt[index]
             a, b = runs(at[index] if is_later else index, group)
-            d, g = doc[owner[index[a]]], grams[place[owner[index[a]]]]
+            d = doc[owner[index[a]]]
+            g = mix(key[d].view(np.uint64)) if is_later else grams[place[owner[index[a]]]]  # later ones meet nothing: they are spread by document
             n = (b - a + 1).astype(np.int32)
             if is_later:
                 hashes = pa.nulls(len(a), pa.list_(pa.int64()))
             else:
                 hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(whole[index].view(np.int64)))
-            parts.append(pa.Table.from_arrays([pa.array(g.view(np.int64)), pa.array(shard[d].astype(np.int32)), pa.array(flag[d]), pa.array(key[d]), pa.array(dup[d]), pa.array((at[index[a]] - first[d]).astype(np.int32)), pa.array(n), hashes], names=names))
+            parts.append(pa.Table.from_arrays([pa.array(g.view(np.int64)), pa.array(np.where(is_later, 0, salt[index[a]]).astype(np.int32)), pa.array(shard[d].astype(np.int32)), pa.array(flag[d]), pa.array(key[d]), pa.array(dup[d]), pa.array((at[index[a]] - first[d]).astype(np.int32)), pa.array(n), hashes], names=names))
         return pa.concat_tables(parts)
 
     def not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +192,6 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
 
     sampled = own.select("shard", "text").mapInArrow(sample, "gram long, shard int, n int")
     dealt = own.repartition(shards, "shard")
-    found = dealt.groupBy("shard").cogroup(recurring(sampled).repartition(shards, "shard").groupBy("shard")).applyInArrow(first_here, "gram long, shard int, flag boolean, key long, dup int, start int, n int, hashes array<long>")
-    repeats = found.repartition(shards, "gram").mapInArrow(not_first, "shard int, flag boolean, key long, dup int, start int, n int")
+    found = dealt.groupBy("shard").cogroup(recurring(sampled).repartition(shards, "shard").groupBy("shard")).applyInArrow(first_here, "gram long, salt int, shard int, flag boolean, key long, dup int, start int, n int, hashes array<long>")
+    repeats = found.repartition(shards, "gram", "salt").mapInArrow(not_first, "shard int, flag boolean, key long, dup int, start int, n int")
     return dealt.groupBy("shard").cogroup(repeats.repartition(shards, "shard").groupBy("shard")).applyInArrow(take_out, RESULT)

@@ -88,12 +88,12 @@ def combined(keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def recurring(sampled: DataFrame) -> DataFrame:
-    """(gram, shard) of the grams that occur twice or more; sampled: gram, shard, n.
+    """(gram, shard, total) of the grams that occur twice or more, and how often; sampled: gram, shard, n.
 
     Counting combines before its shuffle. In the join a gram has one row on one side, and the other can be split.
     """
-    often = sampled.groupBy("gram").agg(F.sum("n").alias("n")).where("n >= 2").select("gram")
-    return sampled.select("gram", "shard").join(often.hint("shuffle_merge"), "gram").select("shard", "gram")
+    often = sampled.groupBy("gram").agg(F.sum("n").alias("total")).where("total >= 2")
+    return sampled.select("gram", "shard").join(often.hint("shuffle_merge"), "gram").select("shard", "gram", "total")
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -7,6 +7,7 @@ from conftest import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from rollbook.llm import phrases
 from rollbook.llm.phrases import repeated_phrases
 from rollbook.llm.repeats import intervals, maximal_repeats, repeated_bytes
 
@@ -74,6 +75,13 @@ def test_bytes_against_brute_force(spark, shard_bytes):
     assert got == brute_bytes(rows)
 
 
+def test_hot_phrases_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HOT_PHRASE", 2)
+    rows, docs = family(spark)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in repeated_phrases(docs, shard_bytes=1 << 12).collect())
+    assert got == brute_phrases(rows)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in repeated_phrases(odd_docs).collect())
