@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rollbook.llm.hashing import anchors, mix, room, segment_hash, texts, window_hash, word_spans
 from rollbook.llm.shards import combined, ordered, recurring, runs_by_document, sharded, strings, union_of

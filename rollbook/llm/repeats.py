@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rollbook.llm.hashing import Powers, BASE, anchors, mix, segment_hash, texts
+from rollbook.llm.hashing import BASE, Powers, anchors, mix, segment_hash, texts
 from rollbook.llm.shards import combined, ordered, recurring, runs_by_document, sharded, strings, union_of
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, end: int>>, kept binary"
