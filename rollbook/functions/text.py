@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 # Words that mean "no value" when they are all a cell holds.
 EMPTY_WORDS = ("", "nan", "none", "null", "na", "<na>")
 
-# How welding positions are written, by position, in the order in which they are labelled.
+# How positions of work are written, by position, in the order in which they are labelled.
 POSITIONS = ("flat", "horizontal", "vertical", "overhead")
 POSITION_WORDS = {"flat": ("下向",), "horizontal": ("横向", "水平"), "vertical": ("立向", "縦向"), "overhead": ("上向",)}
 POSITION_CODES = {"flat": "1", "horizontal": "2", "vertical": "3", "overhead": "4"}
