@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from rollbook.llm.bilstm_crf import KINDS, WIDTH, Tagger, char_ids, labelled, luhn
 
 STRIDE, REACH = WIDTH // 2, 32
+#: Rows that a task holds as Python texts at a time.
+ROWS = 512
 SURE = 0.9
 SPANS = "doc_id long, base array<struct<kind: string, start: int, end: int>>, added array<struct<kind: string, start: int, end: int>>"
 TRIGGER = re.compile("[0-9@]")
@@ -160,16 +162,14 @@ def personal_data(docs: DataFrame, redact: bool = False, keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
             base: list[list] = [[] for _ in texts]
             added: list[list] = [[] for _ in texts]
             some = [n for n, text in enumerate(texts) if text and TRIGGER.search(text)]
-            for at in range(0, len(some), 256):
-                part = some[at:at + 256]
-                known = [base_spans(texts[n]) for n in part]
-                for n, k, more in zip(part, known, added_spans([texts[n] for n in part], known, tagger), strict=True):
-                    base[n], added[n] = k, more
+            known = [base_spans(texts[n]) for n in some]
+            for n, k, more in zip(some, known, added_spans([texts[n] for n in some], known, tagger), strict=True):
+                base[n], added[n] = k, more
             columns = [batch.column(0), pa.array([by_kind(x) for x in base], span), pa.array([by_kind(x) for x in added], span)]
             if redact:
                 for n in some:
