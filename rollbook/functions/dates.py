@@ -48,11 +48,8 @@ def jp_date(c: Column | str) -> Column:
     """A date written with the year first, in an era, or with a two-digit year (under 70: 20xx), the first that stands there."""
     text = col(c).cast("string")
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    era = F.upper(part(ERA, 1))
-    letter = era
-    for name, initial in ERA_NAMES.items():
-        letter = F.when(era.startswith(name[0]), F.lit(initial)).otherwise(letter)
-    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in ERA_START.items() for x in pair]), F.substring(letter, 1, 1))
+    letter = F.upper(F.translate(F.substring(part(ERA, 1), 1, 1), "".join(n[0] for n in ERA_NAMES), "".join(ERA_NAMES.values())))
+    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in ERA_START.items() for x in pair]), letter)
     era_year = (base + part(ERA, 2).try_cast("int")).cast("string")
     short = part(SHORT, 1).try_cast("int")
     short_year = F.when(short < 70, short + 2000).otherwise(short + 1900).cast("string")

@@ -137,8 +137,8 @@ def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: in
     """One record for each row and block with any value: name, registration, raw values (a map), dates, qualification, licence."""
     who = carried(cells, person, number).where("name is not null and registration is not null")
     own = filled(cells).join(F.broadcast(found), SHEET).where("col between first and last")
-    day = any_date(F.regexp_extract("value", r"^([^(（]*)", 1))
-    own = own.withColumn("day", F.when(F.col("value").rlike(DATE_LIKE), day)).withColumn("place", F.col("col") - F.col("first"))
+    own = own.withColumn("head", F.when(F.col("value").rlike(DATE_LIKE), F.regexp_extract("value", r"^([^(（]*)", 1)))
+    own = own.withColumn("day", F.when(F.col("head").isNotNull(), any_date("head"))).withColumn("place", F.col("col") - F.col("first"))
     text = F.when(F.col("day").isNull() & ~F.col("value").rlike(DATE_LIKE) & ~F.col("value").rlike(HEADER_WORDS), F.col("value"))
     rows = own.groupBy(*SHEET, "row", "first", "label").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("c"), "place").alias("key"), "value")))).alias("values"),
