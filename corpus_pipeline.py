@@ -27,9 +27,9 @@ def with_verdict(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
-    good = quality(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("kept")
-    return with_verdict(docs, good.select("doc_id")).select(COLUMNS)
+    """Documents that the quality rules keep, without the frequent lines of their hosts; n_chars follows the text."""
+    good = quality(docs, cleaned=True, keep=["lang", "source"]).where("kept")
+    return good.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 from conftest import words
 
 from rollbook.llm.line_quality import quality
@@ -46,3 +47,38 @@ def test_depleted_documents_are_rejected(spark):
     rows = [(i, f"only {'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP'[i]}\n" + "a shared line of the whole host that is long enough to pass twenty words in all and more than that too", "h") for i in range(42)]
     got = quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(not r.base_failed and not r.kept for r in got)
+
+
+def brute_texts(rows, limit=20, percent=2):
+    """Each text joined from its lines that are not frequent in its host."""
+    lines, hosts = defaultdict(set), defaultdict(set)
+    norm = lambda line: " ".join(words(line.translate(LOWER)))
+    for r in rows:
+        hosts[r.source].add(r.text or "")
+        for line in (r.text or "").split("\n"):
+            lines[r.source, norm(line)].add(r.text)
+    often = {(h, x) for (h, x), of in lines.items() if x and len(of) > limit and len(of) * 100 > len(hosts[h]) * percent}
+    return [(r, None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, norm(x)) not in often)) for r in rows]
+
+
+def test_frequent_lines_are_taken_out_of_texts(spark, sf, odd_docs, no_docs):
+    foot = "seite 3 von 9 dieses hauses"
+    edges = [f"{foot}\n{{}} ü one", f"{{}} two\n\n{foot.upper()}", f"{{}} three\n{foot}\n  {foot} \nlast", f"{foot}\n{foot}", f"{{}} four\n", "\n\n", f"\n{{}} five\n{foot}\n\n", f"{foot}\n\n{foot}"]
+    hosts = spark.createDataFrame([(i, edges[i % 8].format(f"w{i}"), "en", h, i) for h in ("p", "q", None) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    changed = 0
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd_docs, hosts):
+        got = quality(docs, cleaned=True, keep=["lang", "source"])
+        want = brute_texts(docs.collect())
+        changed += sum(r.text != text for r, text in want)
+        assert Counter((r.doc_id, r.lang, r.source, r.text) for r in got.collect()) == Counter((r.doc_id, r.lang, r.source, text) for r, text in want)
+        assert Counter(map(tuple, got.drop("text", "lang", "source").collect())) == brute(docs.collect())
+    assert changed > 300
+    assert quality(no_docs, cleaned=True, keep=["lang"]).collect() == []
+
+
+def test_pipeline_passes_cleaned_texts_on(spark, odd_docs):
+    docs = odd_docs.select(corpus_pipeline.COLUMNS)
+    kept = {r.doc_id for r in quality(docs).where("kept").collect()}
+    want = Counter((r.doc_id, text, r.lang, r.source, len(text)) for r, text in brute_texts(docs.collect()) if r.doc_id in kept)
+    got = Counter(map(tuple, corpus_pipeline.quality_rules(spark, docs, None).collect()))
+    assert got == want and not any("footer" in text for _, text, *_ in got)
