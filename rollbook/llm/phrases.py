@@ -4,15 +4,19 @@ Of every window of `width` words one phrase of `phrase` words, the one with the
 have equal anchors at the same place, and neighbouring windows mostly share theirs, so about one phrase in seven words
 needs counting. Steps:
 
-1. Each anchor phrase is counted over all documents. Those that recur are sent to the shards that hold them.
-2. In each shard an Aho-Corasick automaton is compiled of its recurring phrases, and all its documents are streamed
-   through it. It finds every occurrence by the words themselves, which confirms the phrase. Of the windows around
-   these places, a shard keeps the first of each; later ones are repeats for sure.
+1. Each anchor phrase is counted by its hash over all documents. One shard that holds it spells out each that recurs, and
+   its words are sent to all shards that hold it.
+2. In each shard an Aho-Corasick automaton is compiled of the words sent to it, and all its documents are streamed
+   through it. What it finds are the occurrences; no hash is asked. Of the windows around them a shard keeps the first
+   of each; later ones are repeats for sure.
 3. What shards kept meets by phrase, so a passage in a third of all documents has one row a shard there. All windows
-   but the first in the order of (doc_id, start) are repeats.
+   but the first in the order of (doc_id, start) are repeats. Windows are compared by their words; hashes only bring like
+   to like.
 4. Repeats return to their documents' shards, where the words that they cover are taken out.
 
-No shard's work sees more than one shard of documents, whatever the size of the corpus.
+No shard's work sees more than one shard of documents, whatever the size of the corpus. Nothing is removed because of a hash
+alone. Of two different recurring phrases with one 64-bit hash, one might not be spelt out (about one such pair is to
+be expected among six thousand million recurring phrases).
 """
 
 from __future__ import annotations
@@ -24,45 +28,91 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rollbook.llm.hashing import anchors, mix, room, segment_hash, texts, window_hash, word_spans
-from rollbook.llm.shards import combined, ordered, recurring, runs_by_document, sharded, strings, union_of
+from rollbook.llm.hashing import SPACE, anchors, mix, room, segment_hash, texts, window_hash, word_spans
+from rollbook.llm.shards import combined, ordered, runs_by_document, sharded, strings, union_of
 
-#: A phrase that occurs more often has its windows dealt over several tasks, by their place around it.
+#: A phrase that occurs more often has its windows dealt over many tasks, by a hash of their words.
 HOT_PHRASE = 256
+SALTS = np.uint64(1 << 20)
 #: A shard's distinct words are numbered, and spelt in letters of so many bits: an automaton's state then has few branches.
 LETTER_BITS = 6
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, kept string"
 
 
-def shard_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the number of each text's first word."""
-    hashes, firsts, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-    for _, _, buf, offs in texts(column):
-        starts, ends, first = word_spans(buf, offs)
-        hashes.append(segment_hash(buf, starts, ends))
-        firsts.append(first[1:] + n)
-        n += len(starts)
-    return np.concatenate(hashes), np.concatenate(firsts)
+class Words:
+    """The words of some texts: `first` has the number of each text's first word, and the end; `hashes` one for each word.
+
+    `norm` holds them one after another with a space behind each, and `begin` where each begins there, and the end.
+    """
+
+    def __init__(self, column: pa.Array):
+        hashes, first, norm, size, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], 0
+        for _, _, buf, offs in texts(column):
+            starts, ends, at = word_spans(buf, offs)
+            hashes.append(segment_hash(buf, starts, ends))
+            first.append(at[1:] + n)
+            n += len(starts)
+            size.append(ends - starts + 1)
+            letters = buf[~SPACE[buf]]
+            spaced = np.full(len(letters) + len(starts), 32, np.uint8)
+            spaced[np.arange(len(letters)) + np.repeat(np.arange(len(starts)), ends - starts)] = letters
+            norm.append(spaced)
+        self.hashes, self.first, self.norm, self.begin = np.concatenate(hashes), np.concatenate(first), np.concatenate(norm), np.cumsum(np.concatenate(size))
+
+    def array(self) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(self.hashes), [None, pa.py_buffer(self.begin), pa.py_buffer(self.norm)])
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word, equal for equal words only, and the distinct words in the order of their numbers."""
+        coded = self.array().dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary
+
+    def passages(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """Words lo to hi, joined by single spaces, of each passage."""
+        norm = self.norm.tobytes()
+        return pa.array([norm[a:b - 1] for a, b in zip(self.begin[lo].tolist(), self.begin[hi].tolist(), strict=True)], pa.binary())
 
 
-def located(words: np.ndarray, grams: np.ndarray, place: np.ndarray, wanted: np.ndarray, phrase: int) -> np.ndarray:
-    """Which anchors (at `place`) are occurrences of a wanted phrase, as an automaton of these phrases finds them."""
-    mine = np.isin(grams[place], wanted)
-    if not mine.any():
-        return mine
-    _, number = np.unique(words, return_inverse=True)
+def located(number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted phrases (rows of word numbers) begins at each word of a stream, or -1, as their automaton finds them."""
+    found = np.full(len(number) + 1, -1, np.int64)
+    if not len(wanted) or not len(number):
+        return found[:-1]
     size = max(1, -(-int(number.max()).bit_length() // LETTER_BITS))
-    letters = (number[:, None] >> (LETTER_BITS * np.arange(size))) & ((1 << LETTER_BITS) - 1)
-    stream = (letters + 48).astype(np.uint8).tobytes().decode("ascii")
+    spelt = lambda n: (((n[..., None] >> (LETTER_BITS * np.arange(size))) & ((1 << LETTER_BITS) - 1)) + 48).astype(np.uint8).tobytes().decode("ascii")
+    stream, phrases, step = spelt(number), spelt(wanted), wanted.shape[1] * size
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    _, one = np.unique(grams[place[mine]], return_index=True)
-    for n, at in enumerate(place[mine][one].tolist()):
-        automaton.add_word(stream[at * size:(at + phrase) * size], n)
+    for n in range(len(wanted)):
+        automaton.add_word(phrases[n * step:(n + 1) * step], n)
     automaton.make_automaton()
-    found = np.zeros(len(words) + 1, bool)
-    found[[(end + 1) // size - phrase for end, _ in automaton.iter(stream) if (end + 1) % size == 0]] = True
-    return mine & found[place]
+    for end, n in automaton.iter(stream):
+        if (end + 1) % size == 0:
+            found[(end + 1 - step) // size] = n
+    return found[:-1]
+
+
+def not_the_first(hashes: np.ndarray, at: np.ndarray, number: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window has the words of one before it in the arrays.
+
+    at: where windows begin in number, the words' numbers. Hashes sort the windows; each is then compared by its words
+    with the one before it. Where windows of one hash differ, all of that hash are told apart by their words alone.
+    """
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    a, b = order[same], order[same + 1]
+    alike = np.ones(len(same), bool)
+    for k in range(width):
+        alike &= number[at[a] + k] == number[at[b] + k]
+    later = np.zeros(len(at), bool)
+    later[b] = True
+    if not alike.all():
+        some = np.flatnonzero(np.isin(hashes, hashes[a[~alike]]))
+        _, first = np.unique(number[at[some][:, None] + np.arange(width)], axis=0, return_index=True)
+        later[some] = True
+        later[some[first]] = False
+    return later
 
 
 def runs(index: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,53 +152,67 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
                 k, s, n = combined(np.concatenate(grams), np.concatenate(shard))
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["gram", "shard", "n"])
 
+    def spell(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        """The words of the phrases that this shard is asked for."""
+        names, kinds = ["gram", "hot", "words"], [pa.int64(), pa.bool_(), pa.binary()]
+        if not docs.num_rows or not asked.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+        words = Words(strings(docs["text"]))
+        grams = window_hash(words.hashes, phrase)
+        place, _, _ = anchors(grams, span, room(words.first, width))
+        asked_grams = asked["gram"].to_numpy().view(np.uint64)
+        place = place[np.isin(grams[place], asked_grams)]
+        gram, one = np.unique(grams[place], return_index=True)
+        place = place[one]
+        hot = np.isin(gram, asked_grams[asked["total"].to_numpy() > HOT_PHRASE])
+        return pa.Table.from_arrays([pa.array(gram.view(np.int64)), pa.array(hot), words.passages(place, place + phrase)], names=names)
+
     def first_here(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        """Rows with hashes: windows that are the shard's first of their kind. Rows without: n windows that are not."""
-        names = ["gram", "salt", "shard", "flag", "key", "dup", "start", "n", "hashes"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        """Rows with words: windows that are the shard's first of their kind. Rows without: n windows that are not."""
+        names = ["gram", "salt", "shard", "flag", "key", "dup", "start", "n", "words"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         empty = pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         if not docs.num_rows or not wanted.num_rows:
             return empty
         docs, dup = ordered(docs)
-        words, first = shard_words(strings(docs["text"]))
-        grams = window_hash(words, phrase)
+        words = Words(strings(docs["text"]))
+        first, (number, distinct) = words.first, words.numbered()
+        sent = pc.index_in(Words(strings(wanted["words"])).array(), value_set=distinct)
+        phrases = pc.fill_null(sent, -1).to_numpy().reshape(-1, phrase)
+        known = np.flatnonzero((phrases >= 0).all(axis=1))  # a phrase with a word that the shard does not have is none of its own
+        which = located(number, phrases[known])
+        grams = window_hash(words.hashes, phrase)
         place, lo, hi = anchors(grams, span, room(first, width))
-        hit = located(words, grams, place, wanted["gram"].to_numpy().view(np.uint64), phrase)
+        hit = which[place] >= 0
         place, lo, hi = place[hit], lo[hit], hi[hit]
         if not len(place):
             return empty
         count = hi - lo + 1
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         owner = np.repeat(np.arange(len(place)), count)
-        whole = window_hash(words, width)[at]
-        both = whole * np.uint64(0x9FB21C651E98DF25) + grams[place][owner]
-        order = np.argsort(both, kind="stable")
-        later = np.zeros(len(at), bool)
-        later[order[1:]] = both[order[1:]] == both[order[:-1]]
+        whole = window_hash(words.hashes, width)[at]
+        later = not_the_first(whole, at, number, width)
         doc = np.searchsorted(first, lo, "right") - 1
-        hot = np.isin(grams[place], wanted["gram"].to_numpy().view(np.uint64)[wanted["total"].to_numpy() > HOT_PHRASE])[owner]
-        salt = np.where(hot, place[owner] - at, 0)  # equal windows lie at the same place around their anchor
+        hot = wanted["hot"].to_numpy()[known][which[place]][owner]
+        salt = np.where(hot, whole % SALTS, np.uint64(0)).astype(np.int64)
         parts = []
         key, flag, shard = docs["key"].to_numpy(), docs["flag"].to_numpy(), docs["shard"].to_numpy()
         for is_later in (False, True):
             index = np.flatnonzero(later == is_later)
-            group = doc[owner[index]] if is_later else owner[index] * width + salt[index]
+            group = doc[owner[index]] if is_later else np.where(hot[index], -1 - index, owner[index])  # windows of hot phrases go alone
             a, b = runs(at[index] if is_later else index, group)
             d = doc[owner[index[a]]]
             g = mix(key[d].view(np.uint64)) if is_later else grams[place[owner[index[a]]]]  # later ones meet nothing: they are spread by document
-            n = (b - a + 1).astype(np.int32)
-            if is_later:
-                hashes = pa.nulls(len(a), pa.list_(pa.int64()))
-            else:
-                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(whole[index].view(np.int64)))
-            parts.append(pa.Table.from_arrays([pa.array(g.view(np.int64)), pa.array(np.where(is_later, 0, salt[index[a]]).astype(np.int32)), pa.array(shard[d].astype(np.int32)), pa.array(flag[d]), pa.array(key[d]), pa.array(dup[d]), pa.array((at[index[a]] - first[d]).astype(np.int32)), pa.array(n), hashes], names=names))
+            n = b - a + 1
+            text = pa.nulls(len(a), pa.binary()) if is_later else words.passages(at[index[a]], at[index[a]] + n + width - 1)
+            parts.append(pa.Table.from_arrays([pa.array(g.view(np.int64)), pa.array(np.where(is_later, 0, salt[index[a]]).astype(np.int32)), pa.array(shard[d].astype(np.int32)), pa.array(flag[d]), pa.array(key[d]), pa.array(dup[d]), pa.array((at[index[a]] - first[d]).astype(np.int32)), pa.array(n.astype(np.int32)), text], names=names))
         return pa.concat_tables(parts)
 
     def not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "flag", "key", "dup", "start", "n"]
         held = []
         for batch in batches:
-            known = batch.column("hashes").is_null()
+            known = batch.column("words").is_null()
             yield batch.filter(known).select(names)
             held.append(batch.filter(pc.invert(known)))
         if not held:
@@ -159,13 +223,12 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
         count = table["n"].to_numpy().astype(np.int64)
         if not len(count):
             return
-        hashes = np.concatenate([c.flatten().to_numpy() for c in table["hashes"].chunks]).view(np.uint64)
+        words = Words(strings(table["words"]))
         row = np.repeat(np.arange(len(count)), count)
-        at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(table["start"].to_numpy().astype(np.int64), count)
-        gram = table["gram"].to_numpy().view(np.uint64)[row]
-        by = np.lexsort((hashes, gram))  # stable: the first in order comes first
-        later = np.zeros(len(hashes), bool)
-        later[by[1:]] = (hashes[by[1:]] == hashes[by[:-1]]) & (gram[by[1:]] == gram[by[:-1]])
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = inner + np.repeat(table["start"].to_numpy().astype(np.int64), count)
+        place = inner + words.first[:-1][row]  # a passage of n windows has n + width - 1 words
+        later = not_the_first(window_hash(words.hashes, width)[place], place, words.numbered()[0], width)
         index = np.flatnonzero(later)
         a, b = runs(at[index], row[index])
         out = table.take(pa.array(row[index[a]])).select(names[:4]).append_column("start", pa.array(at[index[a]].astype(np.int32))).append_column("n", pa.array((b - a + 1).astype(np.int32)))
@@ -191,6 +254,10 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
 
     sampled = own.select("shard", "text").mapInArrow(sample, "gram long, shard int, n int")
     dealt = own.repartition(shards, "shard")
-    found = dealt.groupBy("shard").cogroup(recurring(sampled).repartition(shards, "shard").groupBy("shard")).applyInArrow(first_here, "gram long, salt int, shard int, flag boolean, key long, dup int, start int, n int, hashes array<long>")
+    asked = sampled.groupBy("gram").agg(F.sum("n").alias("total"), F.min("shard").alias("shard")).where("total >= 2")
+    spelt = dealt.groupBy("shard").cogroup(asked.repartition(shards, "shard").groupBy("shard")).applyInArrow(spell, "gram long, hot boolean, words binary")
+    # in this join a phrase has one row on one side, and the other can be split
+    wanted = sampled.select("gram", "shard").join(spelt.hint("shuffle_merge"), "gram").select("shard", "hot", "words")
+    found = dealt.groupBy("shard").cogroup(wanted.repartition(shards, "shard").groupBy("shard")).applyInArrow(first_here, "gram long, salt int, shard int, flag boolean, key long, dup int, start int, n int, words binary")
     repeats = found.repartition(shards, "gram", "salt").mapInArrow(not_first, "shard int, flag boolean, key long, dup int, start int, n int")
     return dealt.groupBy("shard").cogroup(repeats.repartition(shards, "shard").groupBy("shard")).applyInArrow(take_out, RESULT)

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import words
 from hypothesis import given, settings
@@ -82,6 +83,35 @@ def test_hot_phrases_are_dealt_out(spark, monkeypatch):
     assert got == brute_phrases(rows)
 
 
+def test_the_automaton_finds_phrases_by_their_words():
+    rng = np.random.default_rng(4)
+    number = rng.integers(0, 3, 4000)
+    number[2000:2008], number[3000:3008] = 900, 900
+    wanted = np.unique(np.concatenate([number[rng.integers(0, 3990, 50)[:, None] + np.arange(8)], rng.integers(0, 901, (50, 8))]), axis=0)
+    which = phrases.located(number, wanted)
+    for i in range(len(number)):
+        same = np.flatnonzero((wanted == number[i:i + 8]).all(axis=1)) if i + 8 <= len(number) else []
+        assert which[i] == (same[0] if len(same) else -1)
+
+
+def test_nothing_but_the_automaton_locates_phrases(spark, monkeypatch):
+    def nowhere(number, wanted):
+        return np.full(len(number), -1, np.int64)
+
+    monkeypatch.setattr(phrases, "located", nowhere)
+    rows, docs = family(spark)
+    assert {r.n_removed for r in repeated_phrases(docs).collect()} == {0}
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words():
+    number = np.array([1, 2, 3, 4, 1, 2, 3, 9, 1, 2, 3, 4, 9, 9, 1, 2])
+    at = np.arange(len(number) - 2)
+    seen = [tuple(number[i:i + 3]) for i in at]
+    want = [w in seen[:i] for i, w in enumerate(seen)]
+    for hashes in (np.zeros(len(at), np.uint64), (at % 3).astype(np.uint64) * 0 + np.array([sum(w) % 4 for w in seen], np.uint64), np.array([hash(w) for w in seen]).astype(np.uint64)):
+        assert phrases.not_the_first(hashes, at, number, 3).tolist() == want
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in repeated_phrases(odd_docs).collect())
