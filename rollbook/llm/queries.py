@@ -98,4 +98,5 @@ SQL: dict[str, str] = {
     "op7_repeated_phrases": sql.REPEATED_PHRASES,
     "op8_warc": sql.WARC,
     "op9_quotes": sql.QUOTES,
+    "op10_repeated_bytes": sql.REPEATED_BYTES,
 }

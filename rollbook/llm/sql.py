@@ -69,6 +69,22 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM w LEFT JOIN left_ USING (doc_id)
 """
 
+#: Every string of 400 bytes, by its digest, and whether it starts elsewhere too; then runs of what such strings cover.
+REPEATED_BYTES = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+windows AS (SELECT doc_id, i, md5(raw[i:i + 399]) AS win FROM d, unnest(range(1, octet_length(raw) - 398)) AS r(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 400, true) AS new FROM twice),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+stays AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS b FROM runs
+          UNION ALL SELECT doc_id, coalesce(max(b), 1), max(octet_length(raw)) + 1 FROM d LEFT JOIN runs USING (doc_id) GROUP BY 1),
+left_ AS (SELECT doc_id, sha256(unhex(string_agg(hex(raw[s.a:s.b - 1]), '' ORDER BY s.a))) AS kept_sha256 FROM stays s JOIN d USING (doc_id) WHERE s.b > s.a GROUP BY 1),
+gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY 1)
+SELECT d.doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""
+
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
