@@ -10,7 +10,9 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 #: Outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-WIDTH = 64
+WIDTH = 128
+#: Of a span that the edge of a training text cuts, so much must be left for it to be labelled.
+LEAST_PART = 12
 #: Characters known apart: ASCII as it is; then other letters, other white space, and all else.
 LETTER, BLANK, OTHER, PAD = 128, 129, 130, 131
 VOCABULARY = 132
@@ -25,16 +27,12 @@ def char_ids(text: str) -> np.ndarray:
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 class Tagger:
     """Parameters: for each direction input (one row a character), recurrent and bias weights; then output and transitions."""
 
-    def __init__(self, hidden: int = 20, seed: int = 11):
+    def __init__(self, hidden: int = 20, seed: int = 11, kind: type = np.float32):
         rng = np.random.default_rng(seed)
-        self.hidden = hidden
+        self.hidden, self.kind = hidden, kind
         self.p: dict[str, np.ndarray] = {}
         for d in "fb":
             self.p[f"x{d}"] = rng.normal(0, 0.3, (VOCABULARY, 4 * hidden))
@@ -50,60 +48,82 @@ class Tagger:
                 if k not in (inside, inside - 1):
                     move[k, inside] = -4  # an inside tag follows its own kind
         self.p["move"] = move
+        self.p = {k: v.astype(kind) for k, v in self.p.items()}
+
+    def lstm(self, ids: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states (time, batch, both directions' hidden) in the order of the text, and with keep what backward() needs.
 
-    def lstm(self, ids: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, hidden) in the order of the text, and what backward() needs."""
+        Both directions take each step together; the second reads the text from its end.
+        """
         n, steps = ids.shape
-        h = c = np.zeros((n, self.hidden))
-        out, cache = np.zeros((steps, n, self.hidden)), []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = self.p[f"x{d}"][ids[:, t]] + h @ self.p[f"h{d}"] + self.p[f"b{d}"]
-            i, f, o = (sigmoid(z[:, k * self.hidden:(k + 1) * self.hidden]) for k in range(3))
-            g = np.tanh(z[:, 3 * self.hidden:])
+        x, u, bias = (np.stack([self.p[f"{w}{d}"] for d in "fb"]) for w in "xhb")
+        read, way = np.stack([ids, ids[:, ::-1]]), np.arange(2)[:, None]
+        h = c = np.zeros((2, n, self.hidden), self.kind)
+        out, cache, wide = np.zeros((steps, n, 2 * self.hidden), self.kind), [], 3 * self.hidden
+        half = np.where(np.arange(4 * self.hidden) < wide, 0.5, 1).astype(self.kind)  # a gate is 1 / (1 + exp(-z)) = (1 + tanh(z / 2)) / 2
+        x, u, bias = (x * half, u * half, bias * half)
+        x += bias[:, None]
+        for t in range(steps):
+            z = np.tanh(x[way, read[:, :, t]] + h @ u)
+            gates, g = z[..., :wide] * 0.5 + 0.5, z[..., wide:]
+            i, f, o = (gates[..., k * self.hidden:(k + 1) * self.hidden] for k in range(3))
             before, was = h, c
             c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
-            out[t] = h
-            cache.append((t, before, was, i, f, o, g, tc))
+            out[t, :, :self.hidden], out[steps - 1 - t, :, self.hidden:] = h[0], h[1]
+            if keep:
+                cache.append((before, was, gates, g, tc))
         return out, cache
 
-    def backward(self, ids: np.ndarray, d: str, cache: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
-        dh_next = dc_next = np.zeros((ids.shape[0], self.hidden))
-        for t, before, was, i, f, o, g, tc in reversed(cache):
-            dh = dout[t] + dh_next
+    def backward(self, ids: np.ndarray, cache: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+        """Adds to grad what dout, the gradient of lstm()'s states, means for its parameters."""
+        n, steps = ids.shape
+        u = np.stack([self.p[f"h{d}"] for d in "fb"]).transpose(0, 2, 1)
+        given = np.stack([dout[..., :self.hidden], dout[::-1, :, self.hidden:]], axis=1)
+        dh_next = dc_next = np.zeros((2, n, self.hidden), self.kind)
+        dz, states = np.zeros((steps, 2, n, 4 * self.hidden), self.kind), np.stack([x[0] for x in cache])
+        for t in range(steps - 1, -1, -1):
+            _, was, gates, g, tc = cache[t]
+            i, f, o = (gates[..., k * self.hidden:(k + 1) * self.hidden] for k in range(3))
+            dh = given[t] + dh_next
             dc = dc_next + dh * o * (1 - tc**2)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * was * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-            np.add.at(grad[f"x{d}"], ids[:, t], dz)
-            grad[f"h{d}"] += before.T @ dz
-            grad[f"b{d}"] += dz.sum(axis=0)
-            dh_next, dc_next = dz @ self.p[f"h{d}"].T, dc * f
+            wide = 3 * self.hidden
+            dz[t, ..., :wide] = np.concatenate([dc * g, dc * was, dh * tc], axis=2) * gates * (1 - gates)
+            dz[t, ..., wide:] = dc * i * (1 - g**2)
+            dh_next, dc_next = dz[t] @ u, dc * f
+        read = (ids.T, ids.T[::-1])
+        for k, d in enumerate("fb"):
+            flat = dz[:, k].reshape(-1, 4 * self.hidden)
+            grad[f"x{d}"] += (read[k].reshape(-1)[None, :] == np.arange(VOCABULARY)[:, None]).astype(self.kind) @ flat
+            grad[f"h{d}"] += states[:, k].reshape(-1, self.hidden).T @ flat
+            grad[f"b{d}"] += flat.sum(axis=0)
 
-    def emissions(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
-        forward, cf = self.lstm(ids, "f")
-        backward, cb = self.lstm(ids, "b")
-        both = np.concatenate([forward, backward], axis=2)
-        return both @ self.p["out"] + self.p["bias"], both, cf, cb
+    def emissions(self, ids: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+        both, cache = self.lstm(ids, keep)
+        return both @ self.p["out"] + self.p["bias"], both, cache
 
     def posterior(self, e: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log of the sum over all taggings, each tag's probability (time, batch, tag) and expected moves."""
+        """Log of the sum over all taggings, each tag's probability (time, batch, tag) and expected moves.
+
+        Forward and backward weights are scaled to a sum of one at every step.
+        """
         steps, n, k = e.shape
-        move = self.p["move"]
-        log = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-        alpha, beta = np.zeros((steps, n, k)), np.zeros((steps, n, k))
-        alpha[0] = e[0]
-        for t in range(1, steps):
-            new = e[t] + log(alpha[t - 1][:, :, None] + move[None], 1)
-            alpha[t] = np.where((t < length)[:, None], new, alpha[t - 1])
-        total = log(alpha[-1], 1)
-        moves = np.zeros((k, k))
+        move, top = np.exp(self.p["move"]), e.max(axis=2, keepdims=True)
+        weight = np.exp(e - top)
+        alpha, beta, scale = np.zeros((steps, n, k), self.kind), np.ones((steps, n, k), self.kind), np.ones((steps, n, 1), self.kind)
+        real = (np.arange(steps)[:, None] < length[None, :])[..., None]
+        for t in range(steps):
+            new = weight[t] if t == 0 else (alpha[t - 1] @ move) * weight[t]
+            scale[t] = np.maximum(new.sum(axis=1, keepdims=True), 1e-30)
+            alpha[t] = np.where(real[t], new / scale[t], alpha[t - 1] if t else 0)
+        total = ((np.log(scale) + top) * real).sum(axis=(0, 2), dtype=np.float64)
+        moves = np.zeros((k, k), self.kind)
         for t in range(steps - 2, -1, -1):
-            on = (t + 1 < length)[:, None]
-            ahead = e[t + 1] + beta[t + 1]
-            beta[t] = np.where(on, log(move[None] + ahead[:, None, :], 2), 0)
-            pair = np.exp(np.minimum(alpha[t][:, :, None] + move[None] + ahead[:, None, :] - total[:, None, None], 0))
-            moves += (pair * on[:, :, None]).sum(axis=0)
-        return total, np.exp(np.minimum(alpha + beta - total[None, :, None], 0)), moves
+            ahead = weight[t + 1] * beta[t + 1] / scale[t + 1] * real[t + 1]
+            beta[t] = np.where(real[t + 1], ahead @ move.T, 1)
+            moves += alpha[t].T @ ahead
+        return total, alpha * beta, moves * move
 
     def viterbi(self, e: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The best tagging (batch, time); tags beyond a window's length mean nothing."""
@@ -124,7 +144,7 @@ class Tagger:
 
     def step(self, ids: np.ndarray, tags: np.ndarray, length: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of a batch, and its gradient."""
-        e, both, cf, cb = self.emissions(ids)
+        e, both, cache = self.emissions(ids, keep=True)
         total, marginal, moves = self.posterior(e, length)
         steps, n, _ = e.shape
         real = np.arange(steps)[:, None] < length[None, :]
@@ -139,37 +159,53 @@ class Tagger:
         np.subtract.at(grad["move"], (a, b), 1)
         de = (marginal - gold) * real[:, :, None]
         grad["bias"] = de.sum(axis=(0, 1))
-        grad["out"] = np.einsum("tnh,tnk->hk", both, de)
+        grad["out"] = both.reshape(-1, both.shape[2]).T @ de.reshape(-1, TAGS)
         dboth = de @ self.p["out"].T
-        self.backward(ids, "f", cf, dboth[:, :, :self.hidden], grad)
-        self.backward(ids, "b", cb, dboth[:, :, self.hidden:], grad)
+        self.backward(ids, cache, dboth, grad)
         return float((total.sum() - score) / n), {k: v / n for k, v in grad.items()}
 
-    def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], steps: int, batch: int, rate: float = 0.015, seed: int = 5) -> list[float]:
-        """Trains on texts of up to WIDTH characters with labelled spans (kind, start, end), by Adam; returns the losses."""
+    def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], steps: int, batch: int, held_out: int = 256, every: int = 50, gain: float = 0.1, rate: float = 0.03, seed: int = 5) -> list[float]:
+        """Trains on texts of up to WIDTH characters with labelled spans (kind, start, end), by Adam; returns held-out losses.
+
+        The last held_out examples are not trained on. Their loss is taken every so many steps; once it is not less by
+        `gain` than the least before it, the rate falls to a third, and the second time training stops.
+        """
         ids, tags, length = encoded(examples)
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        losses = []
+        losses: list[float] = []
+        apart, falls = slice(len(ids) - held_out, None), 0
         for t in range(1, steps + 1):
-            pick = rng.integers(0, len(ids), batch)
-            loss, grad = self.step(ids[pick], tags[pick], length[pick])
-            losses.append(loss)
+            pick = rng.integers(0, len(ids) - held_out, batch)
+            _, grad = self.step(ids[pick], tags[pick], length[pick])
             norm = np.sqrt(sum((g**2).sum() for g in grad.values()))
-            now = rate * min(1, 2 * (1 - t / (steps + 1)))
             for k, g in grad.items():
                 g = g * min(1, 5 / max(norm, 1e-9))
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g**2
-                self.p[k] -= now * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-8)
+                self.p[k] -= rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-8)
+            if t % every == 0:
+                losses.append(self.loss(ids[apart], tags[apart], length[apart]))
+                if losses[-1] > min(losses[:-1], default=np.inf) * (1 - gain):
+                    rate, falls = rate / 3, falls + 1
+                    if falls == 2:
+                        break
         return losses
 
+    def loss(self, ids: np.ndarray, tags: np.ndarray, length: np.ndarray) -> float:
+        """Mean negative log likelihood."""
+        e = self.emissions(ids)[0]
+        total = self.posterior(e, length)[0]
+        real = np.arange(len(e))[:, None] < length[None, :]
+        score = (np.take_along_axis(e, tags.T[..., None], axis=2)[..., 0] * real).sum() + self.p["move"][tags.T[:-1], tags.T[1:]][real[1:]].sum()
+        return float((total.sum() - score) / len(ids))
+
     def spans(self, windows: list[np.ndarray]) -> list[list[tuple[str, int, int, float]]]:
         """(kind, start, end, mean probability of its tags) of the best tagging of each window of characters."""
         out: list[list[tuple[str, int, int, float]]] = []
-        for at in range(0, len(windows), 1024):
-            some = windows[at:at + 1024]
+        for at in range(0, len(windows), 512):
+            some = windows[at:at + 512]
             length = np.array([len(w) for w in some])
             ids = np.full((len(some), max(1, length.max())), PAD)
             for row, w in zip(ids, some, strict=True):
@@ -215,9 +251,11 @@ def made_up(rng: random.Random) -> tuple[str, str]:
     word = lambda a=2, b=9: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(a, b)))
     kind = rng.choice(KINDS + ("", "", ""))
     if kind == "email":
-        name = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}.{digits(2)}", f"{word()}_{word()}", f"{word().title()}+{word()}"])
-        host = rng.choice([f"{word()}.com", f"mail{digits(1)}.{word()}.org", f"{word()}-{word()}.co.uk", f"{word()}.example.com"])
-        return kind, name + rng.choice(["@", "@", "@", " @ ", "@ ", " @"]) + host
+        many = lambda marks: "".join(word(2, 12) + rng.choice(marks) for _ in range(rng.randint(1, 7))) + word(2, 12)
+        name = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}.{digits(2)}", f"{word()}_{word()}", f"{word().title()}+{word()}", many("."), many("._-")])
+        host = rng.choice([f"{word()}.com", f"mail{digits(1)}.{word()}.org", f"{word()}-{word()}.co.uk", f"{word()}.example.com", many("..-") + ".edu", many("..-") + ".net"])
+        at = rng.choice(["@", "@", "@", "@", " @ ", " @ ", "@ ", " @", " (at) ", "(at)", " [at] "])
+        return kind, name + at + (host if at.strip() == "@" or rng.random() < 0.5 else host.replace(".", " [dot] " if "[" in at else " (dot) " if " " in at else "(dot)"))
     if kind == "ip":
         return kind, rng.choice([".", ".", ".", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == "card":
@@ -229,19 +267,18 @@ def made_up(rng: random.Random) -> tuple[str, str]:
         a, b, c = str(rng.randint(200, 999)), digits(3), digits(4)
         code = rng.choice(["+1 ", "+44 ", "+49-", "+33 ", "", "", "00"])
         return kind, code + rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"{a}/{b}-{c}"])
-    other = [lambda: f'token = "{"".join(rng.choices("0123456789abcdef", k=rng.randint(20, 40)))}"', lambda: f"Version {rng.randint(1, 12)}.{rng.randint(0, 20)}", lambda: f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}", lambda: f"{rng.randint(1900, 2040)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}", lambda: f"${rng.randint(1, 9999)}.{digits(2)}", lambda: digits(rng.randint(1, 12)), lambda: f"@{word()}", lambda: f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/{rng.randint(1990, 2030)}", lambda: f"{rng.randint(1, 999)},{digits(3)},{digits(3)}", lambda: f"sha1:{digits(3)}{word(20, 30)}", lambda: f"#{digits(4)}", lambda: f"{word()}{digits(2)}", lambda: f"CC BY-NC {rng.randint(1, 4)}.0", lambda: f"{digits(2)}.{digits(6)}", lambda: f"{digits(3)}-{digits(2)}"]
+    other = [lambda: f'token = "{"".join(rng.choices("0123456789abcdef", k=rng.randint(20, 40)))}"', lambda: f"Version {rng.randint(1, 12)}.{rng.randint(0, 20)}", lambda: f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}", lambda: f"{rng.randint(1900, 2040)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}", lambda: f"${rng.randint(1, 9999)}.{digits(2)}", lambda: digits(rng.randint(1, 12)), lambda: f"@{word()}", lambda: f"{word()} (at {word()})", lambda: f"{word()}.{word()}", lambda: f"({word()})", lambda: f"[{word()}]", lambda: f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/{rng.randint(1990, 2030)}", lambda: f"{rng.randint(1, 999)},{digits(3)},{digits(3)}", lambda: f"sha1:{digits(3)}{word(20, 30)}", lambda: f"#{digits(4)}", lambda: f"{word()}{digits(2)}", lambda: f"CC BY-NC {rng.randint(1, 4)}.0", lambda: f"{digits(2)}.{digits(6)}", lambda: f"{digits(3)}-{digits(2)}"]
     return "", rng.choice(other)()
 
 
 def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """n texts of up to WIDTH characters with labelled spans. A piece that the edge of a text would cut is left out."""
+    """n texts of up to WIDTH characters with labelled spans. Pieces may be cut by an edge, if LEAST_PART characters are left."""
     rng = random.Random(seed)
     letters = string.ascii_lowercase * 3 + "éèçêñáíóüäößа"
     out = []
     while len(out) < n:
         parts, spans, size = [], [], 0
-        skip = rng.randint(0, 8)
-        for _ in range(24):
+        while size < 2 * WIDTH:
             if rng.random() < 0.3:
                 kind, piece = made_up(rng)
             else:
@@ -253,12 +290,9 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
             parts.append(piece)
             size += len(piece)
         text = "".join(parts)
-        start = skip
-        if any(a < start < b for _, a, b in spans):
-            continue
+        start = rng.choice([0, rng.randint(0, WIDTH)])
         end = start + rng.randint(WIDTH // 2, WIDTH)
-        cut = [a for _, a, b in spans if a < end < b]
-        end = min([end, *cut])
-        if end > start + 8:
-            out.append((text[start:end], [(k, a - start, b - start) for k, a, b in spans if a >= start and b <= end]))
+        inside = [(k, max(a, start), min(b, end), b - a) for k, a, b in spans if a < end and b > start]
+        if all(b - a >= min(LEAST_PART, size) for _, a, b, size in inside):
+            out.append((text[start:end], [(k, a - start, b - start) for k, a, b, _ in inside]))
     return out

@@ -1,9 +1,10 @@
 """Personal data: rules, and a character-level bidirectional LSTM with CRF transitions for what is written otherwise.
 
-All four kinds hold a digit or an @, so a text's characters within REACH of one are cut into overlapping windows and
-the rest needs none. Each window is decoded for itself. The spans of all windows are then reconciled over the whole
-text: spans at a window's edge that the text goes on beyond are left to the next window, what several windows agree on
-counts once, and of spans that overlap the set with the largest sum of probability times length is taken.
+Nothing that the tagger may add (see valid) is without a digit, an @ or an "at" in brackets. Characters within REACH of one,
+and the rest of the words that they lie in, are cut into overlapping windows; the rest of a text needs none. Each
+window is decoded for itself. The spans of all windows are then reconciled over the whole text: spans that a window's
+edge cuts are joined to those of the next window that they overlap, what several windows agree on counts once, and of
+spans that overlap the set with the largest sum of probability times length is taken.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ from pyspark.sql import functions as F
 from rollbook.llm.bilstm_crf import KINDS, WIDTH, Tagger, char_ids, labelled, luhn
 
 STRIDE, REACH = WIDTH // 2, 32
+#: A word is followed so far to its beginning; its end is followed to the last character.
+FAR = 256
+WORD = re.compile(r"\S*+")
 #: Rows that a task holds as Python texts at a time.
 ROWS = 512
 SURE = 0.9
 SPANS = "doc_id long, base array<struct<kind: string, start: int, end: int>>, added array<struct<kind: string, start: int, end: int>>"
-TRIGGER = re.compile("[0-9@]")
+AT, DOT = (re.compile(rf"\s*[\[({{]\s?{word}\s?[\])}}]\s*", re.IGNORECASE) for word in ("at", "dot"))
+TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
+HOST_END = re.compile(r"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9-]))*+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -36,13 +42,14 @@ NO_DIGIT = re.compile("[^0-9]")
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """What the rules find, by kind and place.
 
-    An address begins where the run of characters before its @ begins, or where the last one ended; so every character
-    is looked at a bounded number of times, in long runs too.
+    An address begins where the run of characters before its @ begins, or where the last one ended, and no run goes on
+    beyond the @ before it; so every character is looked at a bounded number of times, in long runs too.
     """
     out, end = [], 0
     if "@" in text:
         for m in DOMAIN.finditer(text):
-            start = m.start() - LOCAL.match(text[end:m.start()][::-1]).end()
+            after = max(end, text.rfind("@", end, m.start()) + 1)
+            start = m.start() - LOCAL.match(text[after:m.start()][::-1]).end()
             if start < m.start():
                 out.append(("email", start, m.end()))
                 end = m.end()
@@ -59,6 +66,7 @@ def valid(kind: str, text: str) -> bool:
     """Whether what the tagger marks can be of that kind at all."""
     digits, tight = NO_DIGIT.sub("", text), "".join(text.split())
     if kind == "email":
+        tight = "".join(DOT.sub(".", AT.sub("@", text)).split())
         return bool(DOMAIN.fullmatch(tight[tight.find("@"):])) and tight.count("@") == 1 and bool(LOCAL.fullmatch(tight[:tight.find("@")])) and tight[0] != "@"
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", tight)) and all(int(x) <= 255 for x in tight.split("."))
@@ -68,20 +76,17 @@ def valid(kind: str, text: str) -> bool:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all characters within REACH of a digit or an @."""
+    """Overlapping windows over all characters within REACH of a trigger, and the rest of the words that these lie in."""
     out: list[tuple[int, int]] = []
-    lo = hi = -1
     for m in TRIGGER.finditer(text):
+        if out and m.end() <= out[-1][1] - REACH:
+            continue
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if lo < 0:
-            lo, hi = a, b
-        elif a <= hi:
-            hi = b
-        else:
-            out.append((lo, hi))
-            lo, hi = a, b
-    if lo >= 0:
-        out.append((lo, hi))
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        elif a:
+            a -= WORD.match(text[max(out[-1][1] if out else 0, a - FAR):a][::-1]).end()
+        out.append((a, WORD.match(text, b).end()))
     cut = []
     for lo, hi in out:
         at = lo
@@ -93,6 +98,24 @@ def windows(text: str) -> list[tuple[int, int]]:
     return cut
 
 
+def joined(found: list[tuple[str, int, int, float, bool, bool]]) -> list[tuple[str, int, int, float]]:
+    """The spans (kind, start, end, probability, cut at its start, cut at its end) that no edge cuts, alone or joined.
+
+    In the order of windows, a span cut at its end goes on in the next one of its kind that is cut at its start and
+    overlaps it. Probabilities are averaged by length.
+    """
+    out, waiting = [], []
+    for kind, start, end, sure, cut_start, cut_end in found:
+        waiting = [w for w in waiting if w[2] > start]
+        grown = [(kind, w[1], end, (w[3] * (w[2] - w[1]) + sure * (end - start)) / (w[2] - w[1] + end - start)) for w in waiting if cut_start and w[0] == kind and w[1] < start and w[2] <= end]
+        grown = ([] if cut_start else [(kind, start, end, sure)]) + grown
+        if cut_end:
+            waiting += grown
+        else:
+            out += grown
+    return out
+
+
 def reconciled(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
     """The spans without overlaps that have the largest sum of probability times length."""
     best: dict[tuple[int, int], tuple[float, str]] = {}
@@ -115,6 +138,15 @@ def reconciled(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
+def widened(text: str, kind: str, start: int, end: int, sure: float) -> tuple[str, int, int, float]:
+    """The span without blanks at its ends. An address that begins or ends inside a run of its characters takes in the run."""
+    start, end = end - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())
+    if kind != "email" or start >= end:
+        return kind, start, end, sure
+    begin = start - LOCAL.match(text[max(0, start - FAR):start][::-1]).end()
+    return kind, begin, HOST_END.match(text, end).end(), sure
+
+
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """What the tagger finds in each text beside the rules' spans."""
     cuts, owner = [], []
@@ -123,22 +155,19 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
             cuts.append((a, b))
             owner.append(n)
     decoded = tagger.spans([char_ids(texts[n][a:b]) for n, (a, b) in zip(owner, cuts, strict=True)])
-    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    found: list[list[tuple[str, int, int, float, bool, bool]]] = [[] for _ in texts]
     for n, (a, b), spans in zip(owner, cuts, decoded, strict=True):
-        for kind, start, end, sure in spans:
-            inner = (start > 0 or a == 0) and (end < b - a or b == len(texts[n]))
-            if inner and sure >= SURE and valid(kind, texts[n][a + start:a + end]):
-                found[n].append((kind, a + start, a + end, sure))
+        found[n] += [(kind, a + start, a + end, sure, start == 0 and a > 0, end == b - a and b < len(texts[n])) for kind, start, end, sure in spans]
     out = []
-    for text_found, known in zip(found, base, strict=True):
-        spans = reconciled(text_found)
+    for text, text_found, known in zip(texts, found, base, strict=True):
+        spans = reconciled([s for s in (widened(text, *s) for s in joined(text_found)) if s[3] >= SURE and valid(s[0], text[s[1]:s[2]])])
         out.append([s for s in spans if all(s[2] <= a or s[1] >= b for _, a, b in known)])
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(examples: int = 6000, steps: int = 500, batch: int = 48) -> Tagger:
-    """The tagger, fitted on `examples` labelled texts (a fixed bound; held-out accuracy is tested)."""
+def trained(examples: int = 6000, steps: int = 500, batch: int = 32) -> Tagger:
+    """The tagger, fitted on `examples` labelled texts in at most `steps` steps (fixed bounds; held-out accuracy is tested)."""
     tagger = Tagger()
     tagger.fit(labelled(examples, seed=1), steps, batch)
     return tagger
