@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.hashing import LOWER, mix, room, segment_hash, texts, window_hash, word_spans
-from rollbook.llm.shared import components, written
+from rollbook.llm.shared import components, settled, written
 
 REGISTERS, PER_BAND = 128, 4
 BANDS = REGISTERS // PER_BAND
@@ -246,7 +246,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document.
+    """(doc_id, n_shingles, component_id, kept) for each document, written in the shared folder.
 
     Words are [^\\x20\\x09-\\x0D]+ with a-z for A-Z; shingles have `width` words, and a text of fewer words is one shingle.
     Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest doc_id
@@ -256,6 +256,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with the links of each, and all have its verdict. A row without doc_id is linked with nothing, has no component_id
     and is kept. An empty table gives an empty table. Other columns are not looked at.
     """
+    return settled(lambda: _near_duplicates(docs, width, percent), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     limit = percent / 100
     drawn = written(sketches(docs, width), "sketches")
     classes = written(drawn.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), "n", F.col("r.bands").alias("bands")), "classes")

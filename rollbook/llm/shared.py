@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master
+    (as in tests); on a cluster that is an error, as executors would write to their own disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir names no folder that all machines of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="rollbook-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -22,12 +29,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rollbook-{name}-{uuid.uuid4().hex}"
 
 
+#: For each collecting() under way, the tables written since it began.
+_collected: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and its work is done once even if executors are lost later."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
+    for tables in _collected:
+        tables.append(out)
     return out
 
 
@@ -38,6 +51,27 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def collecting() -> Iterator[list[DataFrame]]:
+    """A list of the tables that written() makes inside, for dropping them when their readers are done."""
+    tables: list[DataFrame] = []
+    _collected.append(tables)
+    try:
+        yield tables
+    finally:
+        _collected[:] = [x for x in _collected if x is not tables]
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What build() returns, written; the tables written on the way to it are deleted. For results that are small beside them."""
+    with collecting() as tables:
+        result = build()
+    out = written(result, name)
+    for table in tables:
+        dropped(table)
+    return out
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable by links (a, b), for every id that reaches a smaller one.
 
