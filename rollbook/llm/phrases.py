@@ -5,9 +5,9 @@ have equal anchors at the same place, and neighbouring windows mostly share thei
 needs counting. Steps:
 
 1. Each anchor phrase is counted by its hash over all documents. One shard that holds it spells out each that recurs, and
-   its words are sent to all shards that hold it.
-2. In each shard an Aho-Corasick automaton is compiled of the words sent to it, and all its documents are streamed
-   through it. What it finds are the occurrences; no hash is asked. Of the windows around them a shard keeps the first
+   its words are sent to all other shards that hold it.
+2. In each shard an Aho-Corasick automaton is compiled of the words sent to it, and of those that it spelt out itself, and
+   all its documents are streamed through it. What it finds are the occurrences; no hash is asked. Of the windows around them a shard keeps the first
    of each; later ones are repeats for sure.
 3. What shards kept meets by phrase, so a passage in a third of all documents has one row a shard there. All windows
    but the first in the order of (doc_id, start) are repeats. Windows are compared by their words; hashes only bring like
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.hashing import SPACE, anchors, mix, room, segment_hash, texts, window_hash, word_spans
-from rollbook.llm.shards import combined, ordered, runs_by_document, sharded, strings, union_of
+from rollbook.llm.shards import combined, ordered, runs_by_document, shard_of, sharded, strings, union_of
 
 #: A phrase that occurs more often has its windows dealt over many tasks, by a hash of their words.
 HOT_PHRASE = 256
@@ -75,6 +75,12 @@ class Words:
         return pa.array([norm[a:b - 1] for a, b in zip(self.begin[lo].tolist(), self.begin[hi].tolist(), strict=True)], pa.binary())
 
 
+def first_places(grams: np.ndarray, place: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The first of the places of each gram that is asked for."""
+    place = place[np.isin(grams[place], asked)]
+    return place[np.unique(grams[place], return_index=True)[1]]
+
+
 def located(number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which of the wanted phrases (rows of word numbers) begins at each word of a stream, or -1, as their automaton finds them."""
     found = np.full(len(number) + 1, -1, np.int64)
@@ -154,35 +160,42 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
 
     def spell(docs: pa.Table, asked: pa.Table) -> pa.Table:
         """The words of the phrases that this shard is asked for."""
-        names, kinds = ["gram", "hot", "words"], [pa.int64(), pa.bool_(), pa.binary()]
+        names, kinds = ["gram", "teller", "hot", "words"], [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         if not docs.num_rows or not asked.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+        docs, _ = ordered(docs)
         words = Words(strings(docs["text"]))
         grams = window_hash(words.hashes, phrase)
         place, _, _ = anchors(grams, span, room(words.first, width))
         asked_grams = asked["gram"].to_numpy().view(np.uint64)
-        place = place[np.isin(grams[place], asked_grams)]
-        gram, one = np.unique(grams[place], return_index=True)
-        place = place[one]
+        place = first_places(grams, place, asked_grams)
+        gram = grams[place]
         hot = np.isin(gram, asked_grams[asked["total"].to_numpy() > HOT_PHRASE])
-        return pa.Table.from_arrays([pa.array(gram.view(np.int64)), pa.array(hot), words.passages(place, place + phrase)], names=names)
+        shard = np.full(len(place), docs["shard"][0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(gram.view(np.int64)), pa.array(shard), pa.array(hot), words.passages(place, place + phrase)], names=names)
 
     def first_here(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         """Rows with words: windows that are the shard's first of their kind. Rows without: n windows that are not."""
-        names = ["gram", "salt", "shard", "flag", "key", "dup", "start", "n", "words"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["gram", "salt", "flag", "key", "dup", "start", "n", "words"]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         empty = pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         if not docs.num_rows or not wanted.num_rows:
             return empty
         docs, dup = ordered(docs)
         words = Words(strings(docs["text"]))
         first, (number, distinct) = words.first, words.numbered()
-        sent = pc.index_in(Words(strings(wanted["words"])).array(), value_set=distinct)
-        phrases = pc.fill_null(sent, -1).to_numpy().reshape(-1, phrase)
-        known = np.flatnonzero((phrases >= 0).all(axis=1))  # a phrase with a word that the shard does not have is none of its own
-        which = located(number, phrases[known])
         grams = window_hash(words.hashes, phrase)
         place, lo, hi = anchors(grams, span, room(first, width))
+        told = wanted.filter(pc.is_valid(wanted["told"]))
+        told_grams = told["told"].to_numpy().view(np.uint64)
+        own = first_places(grams, place, told_grams)
+        own_hot = np.isin(grams[own], told_grams[told["hot"].to_numpy(zero_copy_only=False)])
+        sent = wanted.filter(pc.is_null(wanted["told"]))
+        phrases = pc.fill_null(pc.index_in(Words(strings(sent["words"])).array(), value_set=distinct), -1).to_numpy().reshape(-1, phrase)
+        known = np.flatnonzero((phrases >= 0).all(axis=1))  # a phrase with a word that the shard does not have is none of its own
+        phrases = np.concatenate([number[own[:, None] + np.arange(phrase)], phrases[known]])
+        hot_phrase = np.concatenate([own_hot, sent["hot"].to_numpy(zero_copy_only=False)[known]])
+        which = located(number, phrases)
         hit = which[place] >= 0
         place, lo, hi = place[hit], lo[hit], hi[hit]
         if not len(place):
@@ -193,10 +206,10 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
         whole = window_hash(words.hashes, width)[at]
         later = not_the_first(whole, at, number, width)
         doc = np.searchsorted(first, lo, "right") - 1
-        hot = wanted["hot"].to_numpy()[known][which[place]][owner]
+        hot = hot_phrase[which[place]][owner]
         salt = np.where(hot, whole % SALTS, np.uint64(0)).astype(np.int64)
         parts = []
-        key, flag, shard = docs["key"].to_numpy(), docs["flag"].to_numpy(), docs["shard"].to_numpy()
+        key, flag = docs["key"].to_numpy(), docs["flag"].to_numpy()
         for is_later in (False, True):
             index = np.flatnonzero(later == is_later)
             group = doc[owner[index]] if is_later else np.where(hot[index], -1 - index, owner[index])  # windows of hot phrases go alone
@@ -205,11 +218,11 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
             g = mix(key[d].view(np.uint64)) if is_later else grams[place[owner[index[a]]]]  # later ones meet nothing: they are spread by document
             n = b - a + 1
             text = pa.nulls(len(a), pa.binary()) if is_later else words.passages(at[index[a]], at[index[a]] + n + width - 1)
-            parts.append(pa.Table.from_arrays([pa.array(g.view(np.int64)), pa.array(np.where(is_later, 0, salt[index[a]]).astype(np.int32)), pa.array(shard[d].astype(np.int32)), pa.array(flag[d]), pa.array(key[d]), pa.array(dup[d]), pa.array((at[index[a]] - first[d]).astype(np.int32)), pa.array(n.astype(np.int32)), text], names=names))
+            parts.append(pa.Table.from_arrays([pa.array(g.view(np.int64)), pa.array(np.where(is_later, 0, salt[index[a]]).astype(np.int32)), pa.array(flag[d]), pa.array(key[d]), pa.array(dup[d]), pa.array((at[index[a]] - first[d]).astype(np.int32)), pa.array((n if is_later else 0 * n).astype(np.int32)), text], names=names))
         return pa.concat_tables(parts)
 
     def not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "flag", "key", "dup", "start", "n"]
+        names = ["flag", "key", "dup", "start", "n"]
         held = []
         for batch in batches:
             known = batch.column("words").is_null()
@@ -220,18 +233,18 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
         table = pa.Table.from_batches(held).combine_chunks()
         order = np.lexsort(tuple(table[c].to_numpy() for c in ("start", "dup", "key", "flag")))
         table = table.take(pa.array(order)).combine_chunks()
-        count = table["n"].to_numpy().astype(np.int64)
-        if not len(count):
+        if not table.num_rows:
             return
         words = Words(strings(table["words"]))
+        count = np.diff(words.first) - (width - 1)  # a passage of n windows has n + width - 1 words
         row = np.repeat(np.arange(len(count)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         at = inner + np.repeat(table["start"].to_numpy().astype(np.int64), count)
-        place = inner + words.first[:-1][row]  # a passage of n windows has n + width - 1 words
+        place = inner + words.first[:-1][row]
         later = not_the_first(window_hash(words.hashes, width)[place], place, words.numbered()[0], width)
         index = np.flatnonzero(later)
         a, b = runs(at[index], row[index])
-        out = table.take(pa.array(row[index[a]])).select(names[:4]).append_column("start", pa.array(at[index[a]].astype(np.int32))).append_column("n", pa.array((b - a + 1).astype(np.int32)))
+        out = table.take(pa.array(row[index[a]])).select(names[:3]).append_column("start", pa.array(at[index[a]].astype(np.int32))).append_column("n", pa.array((b - a + 1).astype(np.int32)))
         yield from out.combine_chunks().to_batches()
 
     def take_out(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -255,9 +268,11 @@ def repeated_phrases(docs: DataFrame, width: int = 20, phrase: int = 8, shard_by
     sampled = own.select("shard", "text").mapInArrow(sample, "gram long, shard int, n int")
     dealt = own.repartition(shards, "shard")
     asked = sampled.groupBy("gram").agg(F.sum("n").alias("total"), F.min("shard").alias("shard")).where("total >= 2")
-    spelt = dealt.groupBy("shard").cogroup(asked.repartition(shards, "shard").groupBy("shard")).applyInArrow(spell, "gram long, hot boolean, words binary")
+    spelt = dealt.groupBy("shard").cogroup(asked.repartition(shards, "shard").groupBy("shard")).applyInArrow(spell, "gram long, teller int, hot boolean, words binary")
     # in this join a phrase has one row on one side, and the other can be split
-    wanted = sampled.select("gram", "shard").join(spelt.hint("shuffle_merge"), "gram").select("shard", "hot", "words")
-    found = dealt.groupBy("shard").cogroup(wanted.repartition(shards, "shard").groupBy("shard")).applyInArrow(first_here, "gram long, salt int, shard int, flag boolean, key long, dup int, start int, n int, words binary")
-    repeats = found.repartition(shards, "gram", "salt").mapInArrow(not_first, "shard int, flag boolean, key long, dup int, start int, n int")
+    both = sampled.select("gram", "shard").join(spelt.hint("shuffle_merge"), "gram")
+    mine = F.col("shard") == F.col("teller")
+    wanted = both.select("shard", "hot", F.when(~mine, F.col("words")).alias("words"), F.when(mine, F.col("gram")).alias("told"))
+    found = dealt.groupBy("shard").cogroup(wanted.repartition(shards, "shard").groupBy("shard")).applyInArrow(first_here, "gram long, salt int, flag boolean, key long, dup int, start int, n int, words binary")
+    repeats = found.repartition(shards, "gram", "salt").mapInArrow(not_first, "flag boolean, key long, dup int, start int, n int").withColumn("shard", shard_of("key", shards))
     return dealt.groupBy("shard").cogroup(repeats.repartition(shards, "shard").groupBy("shard")).applyInArrow(take_out, RESULT)

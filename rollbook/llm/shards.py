@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHO = "flag boolean, key long, dup int"
@@ -22,7 +22,11 @@ def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     total = own.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     own = own.withColumn("flag", F.col("doc_id").isNull()).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    return own.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).select("shard", "flag", "key", "doc_id", "text"), n
+    return own.withColumn("shard", shard_of("key", n)).select("shard", "flag", "key", "doc_id", "text"), n
+
+
+def shard_of(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
 def ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
