@@ -1,8 +1,8 @@
 """Quality rules: per-document statistics, and lines that stand in too many documents of their host.
 
 A line is normalised (a-z for A-Z, digits as 0, single spaces) and hashed. For each host (the source of a document)
-the distinct documents with a line are counted; exact copies count as one document. Lines above the limit are taken
-out of the text (`cleaned`), and a document with too little left is rejected.
+the distinct documents with a line are counted; with `copies` false, exact copies count as one document. Lines above the
+limit are taken out of the text (`cleaned`), and a document with too little left is rejected.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.hashing import LOWER, room, segment_hash, texts, window_hash, word_spans
-from rollbook.llm.shared import written
+from rollbook.llm.shared import settled, written
 
 STATS = "doc_id long, host string, copy_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: int>>"
 REPEAT_WIDTH = 8
@@ -157,13 +157,15 @@ def document_stats(docs: DataFrame, along: list[str] | None = None) -> DataFrame
     return used.mapInArrow(run, STATS + "".join(f", {f.name} {f.dataType.simpleString()}" for f in used.schema.fields[2:] if along is not None))
 
 
-def quality(docs: DataFrame, least_words: int = 20, most_repeat_percent: int = 30, line_limit: int = 20, line_percent: float = 2, least_left_percent: float = 30,
-            cleaned: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Statistics and verdict for each document.
+def quality(docs: DataFrame, least_words: int = 20, most_repeat_percent: int = 30, line_limit: int = 20, line_percent: float = 2, line_most: int = 5000, least_left_percent: float = 30,
+            copies: bool = True, cleaned: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Statistics and verdict for each document; without cleaned, written in the shared folder.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, frequent_words, base_failed, kept.
-    A line is frequent in its host when more than line_limit distinct texts, and more than line_percent of the host's
-    distinct texts, have it. frequent_words counts the words on such lines. A document is kept if it passes the base
+    A line is frequent in its host when more than line_limit documents have it, and more than line_percent of the host's
+    documents or more than line_most of them. Without copies, documents with the same text count once, so that not all of
+    a large group of copies are rejected where duplicates are still to be removed. frequent_words counts the words on
+    such lines. A document is kept if it passes the base
     rules and has least_left_percent of its words without its frequent lines, so a short text under a footer stays.
 
     With cleaned, also `text`: the lines that are not frequent in the document's host, joined by line feeds (a null text
@@ -174,14 +176,21 @@ def quality(docs: DataFrame, least_words: int = 20, most_repeat_percent: int = 3
     each judged; an empty table gives an empty table; other columns are not looked at. A hot host or line is
     pre-aggregated before its shuffle; the join that brings counts back is one AQE can split.
     """
-    keep = keep or []
+    if not cleaned:
+        return settled(lambda: _quality(docs, least_words, most_repeat_percent, line_limit, line_percent, line_most, least_left_percent, copies, False, []), "quality")
+    return _quality(docs, least_words, most_repeat_percent, line_limit, line_percent, line_most, least_left_percent, copies, True, keep or [])
+
+
+def _quality(docs: DataFrame, least_words: int, most_repeat_percent: int, line_limit: int, line_percent: float, line_most: int, least_left_percent: float, copies: bool, cleaned: bool, keep: list[str]) -> DataFrame:
     stats = written(document_stats(docs, keep if cleaned else None).withColumn("row", F.monotonically_increasing_id()), "stats")
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit(""))
     stats = stats.withColumn("host", host)
     lines = stats.select("host", "row", "copy_hash", F.explode("lines").alias("l")).select("host", "row", "copy_hash", "l.line", "l.words")
-    texts_of = stats.select("host", "copy_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = lines.select("host", "line", "copy_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_limit)
-    often = often.join(texts_of, "host").where(F.col("n") * 100 > F.col("texts") * line_percent).select("host", "line")
+    # a document has each line once in `lines`, so documents with a line are counted without a distinct
+    each = (lambda df, *by: df.select(*by)) if copies else (lambda df, *by: df.select(*by, "copy_hash").distinct())
+    texts_of = each(stats, "host").groupBy("host").agg(F.count("*").alias("texts"))
+    often = each(lines, "host", "line").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_limit)
+    often = often.join(texts_of, "host").where((F.col("n") * 100 > F.col("texts") * line_percent) | (F.col("n") > line_most)).select("host", "line")
     taken = lines.join(often, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("frequent_words"), *[F.collect_list("line").alias("gone")] * cleaned)
     out = stats.drop("lines").join(taken, "row", "left").withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("frequent_words")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import written
+from rollbook.llm.shared import settled, written
 
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: No document is taken more often.
@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: flo
     return per.withColumn("t", F.least(F.col("cap"), F.col("w") * F.coalesce(first, F.lit(float("inf"))))).select("src", "source", "source_size", F.col("t").alias("target"))
 
 
-def tilts(cells: DataFrame, goal: DataFrame, tolerance: float = 1e-9, most_steps: int = 60) -> DataFrame:
+def tilts(cells: DataFrame, goal: DataFrame, tolerance: float = 1e-9, most_steps: int = 120) -> DataFrame:
     """(src, tilt, scale): the dual variable of each source's constraint.
 
     cells: src, size, n. A Newton step that leaves the interval known to hold the solution is replaced by its middle
@@ -60,7 +60,7 @@ def tilts(cells: DataFrame, goal: DataFrame, tolerance: float = 1e-9, most_steps
     open_ = goal.join(scale, "src").where("scale > 0 and target > 0 and target < source_size * %s * (1 - 1e-9)" % MOST_COPIES)
     inf = F.lit(float("inf"))
     state = written(open_.select("src", "target", "scale", F.lit(0.0).alias("tilt"), F.when(F.col("target") < F.col("source_size"), -inf).otherwise(F.lit(0.0)).alias("lo"), F.when(F.col("target") > F.col("source_size"), inf).otherwise(F.lit(0.0)).alias("hi")), "tilts")
-    for _ in range(most_steps):
+    for step in range(most_steps):
         rate = MOST_COPIES / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))))
         tokens = F.col("n") * F.col("size").cast("double")
         now = cells.join(state, "src").withColumn("rate", rate).groupBy("src", "target", "scale", "tilt", "lo", "hi").agg(
@@ -70,13 +70,15 @@ def tilts(cells: DataFrame, goal: DataFrame, tolerance: float = 1e-9, most_steps
         newton = F.col("tilt") + F.try_divide(F.col("target") - F.col("got"), F.col("slope"))
         inner = F.when(F.col("hi") == inf, F.greatest(F.lit(1.0), F.col("lo") * 2)).when(F.col("lo") == -inf, F.least(F.lit(-1.0), F.col("hi") * 2)).otherwise((F.col("lo") + F.col("hi")) / 2)
         now = now.withColumn("newton", newton)
-        held = F.col("newton").isNotNull() & ~F.isnan("newton") & (F.col("newton") >= F.col("lo")) & (F.col("newton") <= F.col("hi"))
+        held = F.lit(step < most_steps // 3) & F.col("newton").isNotNull() & ~F.isnan("newton") & (F.col("newton") >= F.col("lo")) & (F.col("newton") <= F.col("hi"))
         ahead = F.when(F.abs(F.col("got") / F.col("target") - 1) <= tolerance, F.col("tilt")).when(held, F.col("newton")).otherwise(inner)
         state = written(now.select("src", "target", "scale", ahead.alias("tilt"), "lo", "hi", F.abs(F.col("got") / F.col("target") - 1).alias("off")), "tilts")
         off = state.agg(F.max("off")).first()[0]
         state = state.drop("off")
         if off is None or off <= tolerance:
             break
+    if off is not None and off > 1e-6:
+        raise ArithmeticError(f"a source's target is missed by {off:.2g} of it after {most_steps} steps")
     return state.select("src", "tilt", "scale")
 
 
@@ -103,13 +105,17 @@ def cell_copies(cells: DataFrame, goal: DataFrame, tilt: DataFrame, mends: int =
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each document; copies is 0, 1 or 2.
+    """(doc_id, source, size, source_size, target, copies) for each document, written in the shared folder; copies is 0, 1 or 2.
 
     Null text has size 0; null source is a source of its own, the last; a null doc_id is a document. Documents without
     words get one copy. Repeated rows are documents of their own, and which of them has more copies makes no
     difference to the result. Reruns agree: nothing random is drawn, ties go by a hash of doc_id. An empty table gives
     an empty table. Other columns are not looked at.
     """
+    return settled(lambda: _mix(docs, weights, total), "mixed")
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], total: float) -> DataFrame:
     sizes = docs.select("doc_id", "source", n_words("text").alias("size"))
     sizes = written(sizes, "sizes")
     goal = written(targets(sizes, weights, total), "targets")

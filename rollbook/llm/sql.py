@@ -16,9 +16,9 @@ raws AS (SELECT doc_id, source, text, parts[n] AS line, n FROM (SELECT doc_id, s
 lines AS (SELECT *, len(regexp_extract_all(line, {WORDS})) AS words,
                  array_to_string(regexp_extract_all(translate(line, '{UPPER}123456789', '{LOWER}000000000'), {WORDS}), ' ') AS norm FROM raws),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE words > 0 GROUP BY 1),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
 often AS (SELECT l.source, norm FROM lines l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE words > 0
-          GROUP BY l.source, norm, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) * 100 > texts * 2),
+          GROUP BY l.source, norm, docs HAVING count(DISTINCT doc_id) > 20 AND (count(DISTINCT doc_id) * 100 > docs * 2 OR count(DISTINCT doc_id) > 5000)),
 taken AS (SELECT doc_id, sum(words) AS n FROM lines l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm WHERE words > 0 GROUP BY 1),
 s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,

@@ -1,9 +1,11 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 
-from rollbook.llm.mixing import mix
+from rollbook.llm.mixing import mix, n_words, targets, tilts
 
 
 def water_level(sizes, total):
@@ -38,7 +40,28 @@ def test_targets_and_copies(spark, sf, odd_docs):
             taken[r.source] += r.copies * r.size
         if near:
             for s in sizes:
-                assert abs(taken[s] - want[s]) <= max(20, near * want[s])
+                assert abs(taken[s] - want[s]) <= max(20, min(near * want[s], max(len(words(r.text)) for r in docs.where(F.col("source") == s).collect())))
+
+
+def test_tilts_are_those_of_plain_newton_steps(spark, sf):
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").select("source", n_words("text").alias("size"))
+    goal = targets(sizes)
+    cells = sizes.join(goal.select("source", "src"), "source").groupBy("src", "size").agg(F.count("*").alias("n"))
+    got = {r.src: r for r in tilts(cells, goal).collect()}
+    by = defaultdict(list)
+    for r in cells.collect():
+        by[r.src].append((r.size, r.n))
+    solved = 0
+    for r in goal.where("target < source_size * 1.999").collect():
+        size, n = np.array(by[r.src], float).T
+        x = 0.0
+        for _ in range(200):  # damped, so that it ends wherever it starts
+            rate = 2 / (1 + np.exp(-x * size))
+            x += 0.5 * (r.target - (n * size * rate).sum()) / (n * size * size * rate * (1 - rate / 2)).sum()
+        assert (n * size * 2 / (1 + np.exp(-x * size))).sum() == pytest.approx(r.target, rel=1e-6)
+        assert got[r.src].tilt / got[r.src].scale == pytest.approx(x, rel=1e-4, abs=1e-9)
+        solved += 1
+    assert solved > 0
 
 
 def test_reruns_agree_and_no_rows(spark, odd_docs, no_docs):

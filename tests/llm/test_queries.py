@@ -6,6 +6,7 @@ from conftest import words
 
 import __spark_entry__
 import corpus_pipeline
+from rollbook.llm.line_quality import quality
 from rollbook.llm.queries import QUERIES, SQL
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -42,7 +43,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if i < 4:
             assert seen[-1].dtypes == docs.dtypes
     good, unique, clean, mixed, packed = (x.collect() for x in seen[1:])
-    kept = {r.doc_id for r in QUERIES["op2_line_quality"](spark, sf).where("kept").collect()}
+    kept = {r.doc_id for r in quality(docs, copies=False).where("kept").collect()}
     assert sorted(r.doc_id for r in good) == sorted(kept)
     sets = {}
     for r in good:
