@@ -14,7 +14,7 @@ from rollbook.llm.mixing import mix
 from rollbook.llm.packing import pack
 from rollbook.llm.pii import personal_data
 from rollbook.llm.setsketch import near_duplicates
-from rollbook.llm.shared import dropped, new_path
+from rollbook.llm.shared import collecting, dropped, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL has no tokenizer, no tagger and no Newton steps; the stages are tested against brute-force versions.
@@ -27,8 +27,11 @@ def with_verdict(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the frequent lines of their hosts; n_chars follows the text."""
-    good = quality(docs, cleaned=True, keep=["lang", "source"]).where("kept")
+    """Documents that the quality rules keep, without the frequent lines of their hosts; n_chars follows the text.
+
+    Exact copies count once among the documents with a line, as one of each group has to reach the next stage.
+    """
+    good = quality(docs, copies=False, cleaned=True, keep=["lang", "source"]).where("kept")
     return good.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -37,9 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that share a doc_id the one with the first text stays; all rows without a doc_id stay.
     """
-    keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("judged").orderBy("text"))
-    return with_verdict(docs, keep).withColumn("copy", F.when(F.col("doc_id").isNotNull(), first).otherwise(1)).where("copy = 1").select(COLUMNS)
+    named, others = docs.where("doc_id is not null"), docs.where("doc_id is null").select(COLUMNS)
+    keep = near_duplicates(named).where("kept").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return named.select(COLUMNS).join(keep, "doc_id", "left_semi").withColumn("copy", first).where("copy = 1").select(COLUMNS).unionByName(others)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,14 +73,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each but the last written to the shared folder; a stage's input goes when it is done."""
+    """The stages one after another, each but the last written to the shared folder; a stage's input, and the tables that it
+    wrote on its way, go when it is done."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with collecting() as tables:
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         docs.written_at = path
-        if before is not None:
-            dropped(before)
+        for table in [*tables, before]:
+            if table is not None:
+                dropped(table)
         before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
