@@ -1,5 +1,10 @@
 """The entry module: every registered query runs on the smallest tables, and agrees with its SQL."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -34,3 +39,14 @@ def test_query_agrees_with_sql(spark, sf, duck, name, tmp_path):
     assert sorted(df.columns) == sorted(r[0] for r in duck.execute("describe want").fetchall())
     for a, b in (("want", "got"), ("got", "want")):
         assert duck.execute(f"select {columns} from {a} except all select {columns} from {b} limit 3").fetchall() == []
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_the_rest_works_without_the_llm_folders(tmp_path, with_pipeline):
+    home = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(f"{home}/rollbook", tmp_path / "rollbook", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * with_pipeline:
+        shutil.copy(f"{home}/{name}", tmp_path)
+    check = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, env=environment, check=True, timeout=120)
