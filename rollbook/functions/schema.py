@@ -33,6 +33,12 @@ LABELS = {
 }
 
 
+def worked_out(df: DataFrame) -> DataFrame:
+    """df, with its columns made before anything that follows. Spark would put long expressions into each place that names
+    their column, filters included, until the generated code is too long to be compiled; it does not move them past this."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def ensure_columns(df: DataFrame, schema: T.StructType, keep_others: bool = False) -> DataFrame:
     """The declared columns in their order and types, null where df has none; others only if wanted."""
     own = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]

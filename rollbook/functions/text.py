@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 
 # Words that mean "no value" when they are all a cell holds.
 EMPTY_WORDS = ("", "nan", "none", "null", "na", "<na>")
+LONGEST_EMPTY_WORD = max(map(len, EMPTY_WORDS))
+#: The characters with Unicode's property White_Space, which the expressions' (?U)\\s stands for too.
+WHITE_SPACE = "".join(chr(x) for x in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 # How positions of work are written, by position, in the order in which they are labelled.
 POSITIONS = ("flat", "horizontal", "vertical", "overhead")
@@ -27,10 +31,22 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out a single time, however often f names it.
+
+    Without it an expression over expressions doubles at every level, until the generated code is too long to be compiled.
+    """
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def trimmed(c: Column | str) -> Column:
+    """The text without white space at its ends. Trimming takes a fraction of the time of an expression that does the same."""
+    return F.trim(col(c).cast("string"), F.lit(WHITE_SPACE))
+
+
 def clean(c: Column | str) -> Column:
     """The trimmed text, or null where it means "no value"."""
-    text = F.regexp_replace(col(c).cast("string"), r"(?U)^\s+|\s+$", "")
-    return F.when(~F.lower(text).isin(*EMPTY_WORDS), text)
+    return once(trimmed(c), lambda t: F.when((F.length(t) > LONGEST_EMPTY_WORD) | ~F.lower(t).isin(*EMPTY_WORDS), t))
 
 
 def either(*cs: Column | str) -> Column:
@@ -39,7 +55,7 @@ def either(*cs: Column | str) -> Column:
 
 
 def strip_whitespace(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(c).cast("string"), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    return F.regexp_replace(trimmed(c), r"(?U)\s+", " ")
 
 
 @F.pandas_udf(T.StringType())
@@ -48,8 +64,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column | str) -> Column:
-    """Unicode compatibility composition; Spark has no such function, so texts go through Arrow in batches."""
-    return _nfkc(col(c).cast("string"))
+    """Unicode compatibility composition; Spark has no such function, so texts that are not ASCII go through Arrow in batches."""
+    text = col(c).cast("string")
+    return F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def license_key(c: Column | str, normal: bool = False) -> Column:
@@ -63,18 +80,20 @@ def name_key(c: Column | str, normal: bool = False) -> Column:
 
 def clean_name(c: Column | str) -> Column:
     """A name without white space; null if it has no letter, more than 30 % digits, or only digits and punctuation."""
-    tight = F.regexp_replace(clean(c), r"(?U)\s", "")
-    letters = F.length(F.regexp_replace(tight, r"[^\p{L}]", ""))
-    digits = F.length(F.regexp_replace(tight, r"[^\p{Nd}]", ""))
-    return F.when((letters > 0) & (digits * 10 <= F.length(tight) * 3), tight)
+    count = lambda t, kind: F.length(F.regexp_replace(t, rf"[^\p{{{kind}}}]", ""))
+    return once(F.regexp_replace(clean(c), r"(?U)\s", ""), lambda t: F.when((count(t, "L") > 0) & (count(t, "Nd") * 10 <= F.length(t) * 3), t))
 
 
 def whole_number(c: Column | str) -> Column:
     """Ids read as decimals ('12.0') without their fraction; other text as it is."""
-    text = clean(c)
-    value = text.try_cast("double")
-    number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(number & (F.abs(value) < 1e15) & (value == F.floor(value)), value.cast("long").cast("string")).otherwise(text)
+
+    def whole(text: Column) -> Column:
+        # most ids are plain digits without leading zeros, which need no number made of them
+        plain, number = text.rlike(r"^(?:0|[1-9]\d{0,14})$"), text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+        value = text.try_cast("double")
+        return F.when(plain, text).when(number & (F.abs(value) < 1e15) & (value == F.floor(value)), value.cast("long").cast("string")).otherwise(text)
+
+    return once(clean(c), whole)
 
 
 def person_key(name: Column, employee_id: Column, license_no: Column, qualification: Column, expiry: Column, normal: bool = False) -> Column:

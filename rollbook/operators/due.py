@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.dates import DueConfig, add_years, due_columns, validity_years
 from rollbook.functions.text import clean, ics_escape, license_key, name_key
 from rollbook.operators.identity import keep_first
+from rollbook.operators.issue import pages, searched
 from rollbook.operators.roster import active_only
 
 
@@ -80,6 +81,14 @@ def report(roster: DataFrame, as_of: Column | str, born: DataFrame | None = None
     return out
 
 
+def printed(roster: DataFrame, as_of: Column | str, born: DataFrame | None = None, workers: DataFrame | None = None, search: str | None = None, order: tuple[str, ...] = ("expiry_date", "name", "row_seq"), rows: int = 35, config: DueConfig = DueConfig(), normal: bool = False) -> DataFrame:
+    """The report as it is printed: due rows of active workers, with a text in them, in order, `rows` to a page."""
+    out = report(roster, as_of, born, config)
+    out = out if workers is None else active_only(out, workers, normal=normal)
+    out = out if not search else searched(out, search)
+    return pages(out.withColumn("print_sheet", F.lit("")), *order, rows=rows).drop("print_sheet", "sheet_page", "sheet_total")
+
+
 def calendar_lines(df: DataFrame, expiry: str = "expiry_date", summary: str = "{name} {license_no}") -> DataFrame:
     """One all-day event (text in column value) for each row with an expiry date."""
     text: list[Column] = []

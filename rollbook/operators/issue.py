@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.functions.schema import chosen_columns
 from rollbook.functions.text import clean, either
 from rollbook.operators.identity import keep_first
 from rollbook.operators.roster import sheet
 
 # What a continuation code stands for.
 CONTINUATION = {"0": "新規", "1": "継続", "2": "再試験"}
+# Headers that the list renames, and the words of the one that holds two windows.
+RENAMED = {"次回区分": "next_stage_label", "次回手続状況": "next_procedure_status"}
+COMBINED = ("次回受検期間", "再試験猶予")
 ROWS_PER_PAGE, PREVIEW_PAGES, EVERY_SHEET = 40, 12, "all"
 
 
@@ -73,8 +77,35 @@ def member_sheets(membership: DataFrame) -> DataFrame:
     return lists.select("license_key", F.col("l.print_sheet").alias("sheets"))
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """Columns under their own names; a column for both the exam window and the time of grace fills both. An exam window
+    stands for the surveillance window where there is none."""
+    out = df.withColumnsRenamed({c: name for c, name in RENAMED.items() if c in df.columns and name not in df.columns})
+    if "next_exam_window" in out.columns and "next_surveillance_window" not in out.columns:
+        out = out.withColumnRenamed("next_exam_window", "next_surveillance_window")
+    both = next((c for c in out.columns if all(word in c for word in COMBINED)), None)
+    if both is None:
+        return out
+    window = F.coalesce(F.col(f"`{both}`").cast("string"), F.lit(""))
+    return out.withColumns({"next_surveillance_window": window, "retest_window": window}).drop(both)
+
+
+def context(due: DataFrame, people: DataFrame, licences: DataFrame, sheets: DataFrame, membership: DataFrame, definitions: DataFrame | None = None, name: str | None = None, wanted: list[str] | None = None, rows: int = 40) -> dict[str, DataFrame]:
+    """What the list's page shows: the chosen columns of one sheet's rows by page, pages' digests, rows on each sheet, and
+    members of each report."""
+    listed = issue_list(due, people, licences, sheets, membership)
+    shown = pages(on_sheet(listed, name), "expiry_date", "name", "row_seq", rows=rows)
+    columns = chosen_columns(listed.columns, wanted, ("name", "license_no", "qualification", "category", "expiry_date"))
+    keep = ["page", "sheet_page", "sheet_total", "total_pages", "print_sheet", "row_seq"]
+    out = {"rows": shown.select(*keep, *(c for c in columns if c not in keep)), "digests": page_digests(shown, columns), "sheets": sheet_counts(listed, membership)}
+    if definitions is not None and "report_ids" in listed.columns:
+        out["reports"] = report_counts(listed, definitions)
+    return out
+
+
 def issue_rows(due: DataFrame) -> DataFrame:
     """The list's columns: continuation text, exam windows and display names filled, sheets defaulted."""
+    due = renamed(due)
     code = F.col("continuation_code") if "continuation_code" in due.columns else F.lit(None).cast("string")
     out = due.withColumn("category", F.coalesce(clean("category"), continuation(code, F.col("continuation_status"))))
     out = out.withColumn("next_surveillance_window", F.coalesce(either("next_surveillance_window", "next_exam_window", "next_exam_period"), F.lit("")))

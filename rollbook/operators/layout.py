@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from rollbook.functions.dates import any_date, paren_year
 from rollbook.functions.headers import DATE_COLUMNS, canonical_name, header_map
 from rollbook.functions.schema import coalesce_doubles
 from rollbook.functions.text import clean, position_columns, strip_whitespace
+from rollbook.operators.due import missing_expiry
 
 SHEET = ["source", "sheet"]
 REGISTRATION = r"^(?:[A-Z]{1,2}\d{6,}|\d{1,6}(?:-\d{1,6})?)$"
@@ -106,7 +109,7 @@ def blocks(scores: DataFrame, cells: DataFrame) -> DataFrame:
     island = F.col("col") - F.row_number().over(Window.partitionBy(*SHEET).orderBy("col"))
     ranges = dense.withColumn("_i", island).groupBy(*SHEET, "number_col", "_i").agg(F.min("col").alias("first"), F.max("col").alias("last")).join(person, SHEET)
     early = filled(cells).where(F.col("row") < 50).select(*SHEET, "col", F.lower("value").alias("v"))
-    words = early.join(F.broadcast(ranges), SHEET).where("col between first and last").groupBy(*SHEET, "first").agg(F.max(F.col("v").rlike("ボイラ|boiler|ﾎﾞｲﾗ")).alias("_boiler"), F.max(F.col("v").rlike("jis|ｊｉｓ")).alias("_jis"))
+    words = early.join(ranges, SHEET).where("col between first and last").groupBy(*SHEET, "first").agg(F.max(F.col("v").rlike("ボイラ|boiler|ﾎﾞｲﾗ")).alias("_boiler"), F.max(F.col("v").rlike("jis|ｊｉｓ")).alias("_jis"))
     label = F.when(F.col("_boiler"), "BOILER").when(F.col("_jis"), "JIS").otherwise("BLOCK")
     return ranges.join(words, [*SHEET, "first"], "left").select(*SHEET, "person_col", "number_col", "first", "last", label.alias("label"))
 
@@ -136,7 +139,7 @@ def assigned_dates(days: Column, label: Column) -> dict[str, Column]:
 def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: int) -> DataFrame:
     """One record for each row and block with any value: name, registration, raw values (a map), dates, qualification, licence."""
     who = carried(cells, person, number).where("name is not null and registration is not null")
-    own = filled(cells).join(F.broadcast(found), SHEET).where("col between first and last")
+    own = filled(cells).join(found, SHEET).where("col between first and last")
     own = own.withColumn("head", F.when(F.col("value").rlike(DATE_LIKE), F.regexp_extract("value", r"^([^(（]*)", 1)))
     own = own.withColumn("day", F.when(F.col("head").isNotNull(), any_date("head"))).withColumn("place", F.col("col") - F.col("first"))
     text = F.when(F.col("day").isNull() & ~F.col("value").rlike(DATE_LIKE) & ~F.col("value").rlike(HEADER_WORDS), F.col("value"))
@@ -151,5 +154,58 @@ def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: in
     return rows.select(*SHEET, "row", "first", "label", "name", "registration", "license_no", "sequence", "qualification", "first_issue_date", "issue_date", "expiry_date", "issue_year", "values")
 
 
+def column_number(letters: str) -> int:
+    """The number, from 0, of a column that is named by letters."""
+    text = letters.strip().upper()
+    if not text or not all("A" <= x <= "Z" for x in text):
+        raise ValueError(f"{letters!r} names no column")
+    return reduce(lambda n, x: 26 * n + ord(x) - ord("A") + 1, text, 0) - 1
+
+
+def column_range(text: str) -> tuple[int, int]:
+    """First and last column of 'C:H', in either order, or of 'C'."""
+    first, _, last = text.partition(":")
+    a, b = column_number(first), column_number(last or first)
+    return min(a, b), max(a, b)
+
+
+def column_letters(c: Column | str) -> Column:
+    """The letters that name a column by its number, up to three of them."""
+    n = F.col(c) if isinstance(c, str) else c
+    letter = lambda x: F.char(F.lit(ord("A")) + F.pmod(x, F.lit(26)))
+    return F.concat(F.when(n >= 702, letter(F.floor((n - 702) / 676))).otherwise(""), F.when(n >= 26, letter(F.floor((n - 26) / 26))).otherwise(""), letter(n))
+
+
+def in_columns(cells: DataFrame, text: str) -> DataFrame:
+    """The cells in a range of columns such as 'C:H'."""
+    first, last = column_range(text)
+    return cells.where(F.col("col").between(first, last))
+
+
+def ingest(rows: DataFrame, areas: DataFrame | None = None, known: dict[str, str] | None = None, years: int | None = None, base: str = "issue_date") -> DataFrame:
+    """A sheet's rows (with its own headers; sheet, row and first_col too if areas are given) as roster rows: canonical
+    columns, of print areas only the active and current rows, positions, missing expiry dates by years, tidy text and days."""
+    place = ["sheet", "row", "first_col"] if areas is not None else []
+    out = canonical(rows, known)
+    if areas is not None:
+        out = areas_marked(out, areas, keep_active_current=True).drop("area", "history")
+    if "qualification" in out.columns:
+        out = out.withColumns(position_columns("qualification"))
+    if years is not None and "expiry_date" in out.columns:
+        out = missing_expiry(out, base, years)
+    return normalised(out.drop(*place))
+
+
+def ingest_vertical(cells: DataFrame, person: int, number: int, columns: str | None = None, areas: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """Sheets in blocks as roster rows: records of the blocks found (in a range of columns, if one is given), those in active
+    print areas, with positions and raw values as JSON; then the rows of ingested tables."""
+    some = cells if columns is None else cells.where(F.col("col").isin(person, number)).unionByName(in_columns(cells.where(~F.col("col").isin(person, number)), columns))
+    out = vertical_records(some, blocks(column_scores(some), some), person, number)
+    if areas is not None:
+        out = areas_marked(out.withColumn("first_col", F.lit(person)), areas, keep_active_current=True).drop("area", "history", "first_col")
+    out = raw_json(out.withColumns(position_columns("qualification")))
+    return normalised(out if tables is None else out.unionByName(tables, allowMissingColumns=True))
+
+
 def raw_json(records: DataFrame) -> DataFrame:
     return records.withColumn("values", F.to_json("values"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.schema import ROSTER, ensure_columns
+from rollbook.functions.schema import ROSTER, ensure_columns, worked_out
 from rollbook.functions.text import clean, either, name_key, whole_number
-from rollbook.operators.identity import attach_keys, fill_names, keep_first
+from rollbook.operators.identity import attach_keys, fill_names, keep_first, least_row
 
+# The columns that other rows of a licence fill, and of these the ones in which ingested rows win.
 FALLBACK = ("registration_date", "first_issue_date", "issue_date", "expiry_date", "qualification", "category", "continuation_status", "next_stage_label", "next_exam_period", "next_exam_window", "next_surveillance_window", "next_procedure_status", "name", "display_name", "employee_id", "birth_year_west", "birth_date", "address", "web_publish_no", "last_updated")
 INGEST_WINS = ("next_surveillance_window", "next_exam_period", "birth_date", "address", "web_publish_no", "birth_year_west")
 DEFAULT_SHEET = "default"
@@ -30,9 +31,11 @@ def effective_date(now: Column) -> Column:
     return F.coalesce(*(F.col(c).cast("timestamp") for c in ("registration_date", "issue_date", "expiry_date", "first_issue_date", "last_updated")), now)
 
 
-def precedence(partition: Sequence[str] = ("license_key",)) -> Window:
-    """Ingest before others before manual, then the latest effective date, the latest update, and the rows' own order."""
-    return Window.partitionBy(*partition).orderBy(F.when(F.col("source") == "ingest", 0).when(F.col("source") == "manual", 2).otherwise(1), F.col("effective").desc(), F.col("last_updated").desc(), "row_seq")
+def precedence() -> Column:
+    """What orders the rows of a licence, least first: ingest before others before manual, then the latest effective date,
+    the latest update, and the rows' own order."""
+    rank = F.when(F.col("source") == "ingest", 0).when(F.col("source") == "manual", 2).otherwise(1)
+    return F.struct(rank.alias("rank"), (-F.unix_micros("effective")).alias("effective"), (-F.unix_micros("last_updated")).alias("updated"), F.col("row_seq").alias("row_seq"))
 
 
 def sources(ingest: DataFrame, manual: DataFrame, workers: DataFrame | None, now: str, normal: bool) -> DataFrame:
@@ -47,17 +50,28 @@ def sources(ingest: DataFrame, manual: DataFrame, workers: DataFrame | None, now
 
 
 def merged(both: DataFrame) -> DataFrame:
-    """The best row of each licence. All windows share one partitioning and order, so they cost one shuffle and one sort."""
-    order = precedence()
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = {c: F.coalesce(value(c), F.first(value(c), ignorenulls=True).over(whole)) for c in FALLBACK}
-    for c in INGEST_WINS:
-        filled[c] = F.coalesce(F.first(F.when(F.col("source") == "ingest", value(c)), ignorenulls=True).over(whole), filled[c])
-    by_hand = lambda c: F.first(F.when((F.col("source") == "manual") & (clean(c).isNotNull()), F.col(c)), ignorenulls=True).over(whole)
-    filled |= {"_rank": F.row_number().over(order), "_sheet": by_hand("print_sheet"), "_source_sheet": by_hand("source_sheet")}
-    best = both.withColumns(filled).where("_rank = 1")
-    best = best.withColumn("sheet_source", F.when(F.col("_sheet").isNotNull(), "manual").otherwise("auto"))
-    return best.withColumn("print_sheet", F.coalesce("_sheet", "print_sheet")).withColumn("source_sheet", F.coalesce("_source_sheet", "source_sheet")).drop("_rank", "_sheet", "_source_sheet", "effective")
+    """The best row of each licence, with what its other rows know.
+
+    One aggregation by licence: the least row, and for each column the value of the least row that has one. It combines
+    before its shuffle, so what is shuffled is one row for each licence and task, however many rows a licence has.
+    """
+    tidy = {c: value(c).alias(f"_v_{c}") for c in FALLBACK if KINDS.get(c) == "string"}
+    own = worked_out(both.select("*", precedence().alias("_order"), *tidy.values()))
+    known = lambda c: F.col(f"_v_{c}") if c in tidy else F.col(c)
+
+    def first(v: Column, some: Column) -> Column:
+        return F.min_by(v, F.when(some & v.isNotNull(), F.col("_order")))
+
+    every, ingest, by_hand = F.lit(True), F.col("source") == "ingest", F.col("source") == "manual"
+    columns = [c for c in both.columns if c != "license_key"]
+    best = own.groupBy("license_key").agg(
+        F.min_by(F.struct(*columns), "_order").alias("_best"),
+        *(first(known(c), every).alias(f"_any_{c}") for c in FALLBACK), *(first(known(c), ingest).alias(f"_in_{c}") for c in INGEST_WINS),
+        *(first(F.col(c), by_hand & clean(c).isNotNull()).alias(f"_hand_{c}") for c in ("print_sheet", "source_sheet")))
+    filled = {c: F.coalesce(f"_in_{c}", f"_any_{c}") if c in INGEST_WINS else F.col(f"_any_{c}") for c in FALLBACK}
+    filled |= {c: F.coalesce(f"_hand_{c}", f"_best.{c}") for c in ("print_sheet", "source_sheet")}
+    out = best.select("license_key", *(filled.get(c, F.col(f"_best.{c}")).alias(c) for c in columns if c != "effective"), F.when(F.col("_hand_print_sheet").isNotNull(), "manual").otherwise("auto").alias("sheet_source"))
+    return out.select(*(c for c in both.columns if c != "effective"), "sheet_source")
 
 
 def with_windows(df: DataFrame) -> DataFrame:
@@ -83,7 +97,7 @@ def current_roster(ingest: DataFrame, manual: DataFrame, now: str, workers: Data
 
 def sheet_pairs(both: DataFrame) -> DataFrame:
     """(license_key, print_sheet, person_key): every sheet on which a licence stands, before rows are merged."""
-    return keep_first(both.select("license_key", "print_sheet", "person_key", "row_seq"), ["license_key", "print_sheet"], "row_seq").drop("row_seq")
+    return least_row(both.select("license_key", "print_sheet", "person_key", "row_seq"), ["license_key", "print_sheet"], "row_seq").drop("row_seq")
 
 
 def with_report_ids(roster: DataFrame, entries: DataFrame) -> DataFrame:
@@ -158,6 +172,13 @@ def person_view(roster: DataFrame, manual: DataFrame, name: str) -> DataFrame:
     return both.orderBy(F.col("expiry_date").desc_nulls_last(), F.col("issue_date").desc_nulls_last())
 
 
+def review(roster: DataFrame, manual: DataFrame, decisions: DataFrame, name: str, workers: DataFrame | None = None, normal: bool = False) -> DataFrame:
+    """A person's rows from both tables with what was decided about each, of active workers only if they are given."""
+    own = roster if workers is None else active_only(roster, workers, normal=normal)
+    both = own.unionByName(manual, allowMissingColumns=True).where(F.col("name") == name)
+    return with_decisions(both, decisions, normal).orderBy(F.col("expiry_date").desc_nulls_last(), F.col("issue_date").desc_nulls_last())
+
+
 def with_departments(df: DataFrame, workers: DataFrame) -> DataFrame:
     """department by name, the first of each name."""
     small = keep_first(workers.select("name", "department").where(clean("department").isNotNull()), ["name"], "department")

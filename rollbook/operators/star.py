@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.dates import any_date, window_bounds
+from rollbook.functions.schema import worked_out
 from rollbook.functions.text import clean, star_license_id, star_person_id
-from rollbook.operators.identity import keep_first
+from rollbook.operators.identity import least_row
 
 STAGE = ("row_no", "license_no", "qualification", "category", "registration_date", "continuation_code", "expiry_date", "name", "birth_date", "address", "employer", "certifier", "next_stage_label", "next_exam_period", "next_procedure_status", "web_publish_no")
 MANDATORY = STAGE[:-1]
@@ -22,15 +23,19 @@ def staged(raw: DataFrame) -> DataFrame:
     out = raw.select(*(v.alias(c) for c, v in text.items()))
     out = out.withColumns({c: any_date(c) for c in ("registration_date", "expiry_date", "birth_date")})
     out = out.withColumns({c: F.col(c).try_cast("int") for c in ("row_no", "continuation_code")})
+    out = worked_out(out)
     start, end = window_bounds("next_exam_period")
     return out.withColumns({"window_start": start, "window_end": end, "person_id": star_person_id("name", "birth_date", "row_no"), "license_id": star_license_id("license_no", "row_no")})
 
 
 def split(stage: DataFrame) -> dict[str, DataFrame]:
-    """dim_person and dim_license with one row for each id, fact_qualification with every row."""
+    """dim_person and dim_license with one row for each id, fact_qualification with every row.
+
+    Each dimension is an aggregation that combines before its shuffle. Who writes all three tables caches the stage.
+    """
     return {
-        "dim_person": keep_first(stage.select("person_id", "name", "birth_date", "address", "employer", "row_no"), ["person_id"], "row_no").drop("row_no"),
-        "dim_license": keep_first(stage.select("license_id", "license_no", "qualification", "category", "certifier", "row_no"), ["license_id"], "row_no").drop("row_no"),
+        "dim_person": least_row(stage.select("person_id", "name", "birth_date", "address", "employer", "row_no"), ["person_id"], "row_no").drop("row_no"),
+        "dim_license": least_row(stage.select("license_id", "license_no", "qualification", "category", "certifier", "row_no"), ["license_id"], "row_no").drop("row_no"),
         "fact_qualification": stage.select("row_no", "person_id", "license_id", "registration_date", "expiry_date", "continuation_code", "next_stage_label", "window_start", "window_end", "next_procedure_status"),
     }
 

@@ -35,7 +35,7 @@ def intervals(snapshots: DataFrame, attributes: tuple[str, ...] = (), named_only
     dates = dates.withColumn("_n", F.row_number().over(along)).withColumn("_next", F.lead("snapshot_date").over(along))
     # a key's last row of a date: the greatest of its attributes
     once = some.groupBy("rec_key", "snapshot_date").agg(F.max(F.struct(*(attributes or ("rec_key",)))).alias("_a"))
-    placed = once.join(F.broadcast(dates), "snapshot_date")
+    placed = once.join(dates, "snapshot_date")
     island = F.col("_n") - F.row_number().over(Window.partitionBy("rec_key").orderBy("_n"))
     runs = placed.withColumn("_run", island).groupBy("rec_key", "_run").agg(
         F.min("snapshot_date").alias("valid_from"), F.date_sub(F.max_by("_next", "snapshot_date"), 1).alias("valid_to"), F.max_by("_a", "snapshot_date").alias("_a"))
@@ -48,8 +48,17 @@ def as_of(runs: DataFrame, date: str) -> DataFrame:
 
 
 def as_of_dates(runs: DataFrame, dates: DataFrame) -> DataFrame:
-    """The state at each of several dates (column as_of)."""
-    return runs.join(F.broadcast(dates), (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("as_of"))))
+    """The state at each of several dates (column as_of).
+
+    Intervals meet dates by month: each has a row for every month that it touches up to the last date's, so the join is on
+    equal months and no pair of interval and date from different ones is looked at.
+    """
+    month = lambda c: F.trunc(c, "MM")
+    ends = dates.agg(F.min("as_of").alias("_first"), F.max("as_of").alias("_last"))  # one row
+    start, end = F.greatest("valid_from", "_first"), F.least(F.coalesce("valid_to", "_last"), "_last")
+    spread = runs.crossJoin(ends).where(start <= end).withColumn("_month", F.explode(F.sequence(month(start), month(end), F.expr("interval 1 month")))).drop("_first", "_last")
+    at = dates.withColumn("_month", month("as_of"))
+    return spread.join(at, "_month").where((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("as_of")))).drop("_month")
 
 
 def as_of_list(runs: DataFrame, people: DataFrame, date: str) -> DataFrame:

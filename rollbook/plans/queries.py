@@ -13,6 +13,7 @@ from rollbook.operators import extraction, identity, issue, layout, runs, star,
 from rollbook.operators import roster as roster_ops
 from rollbook.plans import standins as s
 from rollbook.plans.standins import AS_OF, NOW, sql
+from rollbook.sources.files import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,10 +101,16 @@ def due_calendar(spark, d):
     return due_ops.calendar_lines(s.roster(spark, d), summary="{name}, {license_no}")
 
 
-@query("SELECT 'o_orderdate' AS expiry_date, 'o_orderdate' AS issue_date, 'l_shipdate' AS first_issue_date WHERE false")
-def due_guessed_dates_none(spark, d):
-    found = due_ops.guessed_dates(s.roster(spark, d).select(F.lit(None).cast("date").alias("empty")), ["empty"])
-    return s.table(spark, d, "region").where(F.lit(bool(found))).select(*(F.lit("x").alias(c) for c in ("expiry_date", "issue_date", "first_issue_date")))
+GUESSED = {"a": "issue_date", "b": "CASE WHEN row_seq % 10 = 0 THEN expiry_date END", "c": "CASE WHEN row_seq % 2 = 0 THEN issue_date + 400 END"}
+
+
+@query(f""", c AS ({" UNION ALL ".join(f"SELECT '{k}' AS col, {v} AS day FROM roster" for k, v in GUESSED.items())}),
+good AS (SELECT col, quantile_disc(day, 0.5) AS median FROM c GROUP BY 1 HAVING count(day) >= greatest(3, 0.2 * count(*)))
+SELECT arg_min(col, median) AS first_issue_date, arg_max(col, median) AS issue_date, arg_max(col, median) AS expiry_date FROM good""", "roster")
+def guessed_dates_mostly_null(spark, d):
+    own = s.roster(spark, d).select(F.col("issue_date").alias("a"), F.when(F.col("row_seq") % 10 == 0, F.col("expiry_date")).alias("b"), F.when(F.col("row_seq") % 2 == 0, F.date_add("issue_date", 400)).alias("c"))
+    found = due_ops.guessed_dates(own, own.columns)
+    return s.table(spark, d, "region").limit(1).select(*(F.lit(v).alias(k) for k, v in found.items()))
 
 
 # --- keys, names, scalar functions -------------------------------------------------------------------------------
@@ -199,7 +206,7 @@ ranked AS (SELECT *, row_number() OVER w AS rn, first_value(qualification IGNORE
 
 def roster_inputs(spark, d):
     """Line items as rows of licences (several for each), in their own order, and the manual rows."""
-    own = s.table(spark, d, "lineitem")
+    own = spread(s.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity", "l_linestatus"))
     key = F.col("l_orderkey").cast("string")
     # the order of rows of a licence is that of line, part and supplier: a number made of them is unique within it
     seq = (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("row_seq")
@@ -528,7 +535,11 @@ def latest_row(spark, d):
     return state.nearest(own).select(F.col("license_key").alias("rec_key"), F.col("last_updated").cast("date").alias("snapshot_date"))
 
 
-@query(None)
+ROW_JSON = " || ',' || ".join(f"""'"{c}":' || """ + (c if c == "row_seq" else f"""'"' || {f"strftime({c}, '%Y-%m-%d')" if c.endswith("_date") else c} || '"'""") for c in ("category", "employee_id", "expiry_date", "issue_date", "license_key", "license_no", "name", "person_key", "print_sheet", "qualification", "row_seq"))
+
+
+@query(f""", h AS (SELECT sha256('{{' || {ROW_JSON} || '}}') AS h FROM roster)
+SELECT 'run-1' AS run_id, '{NOW}' AS printed, count(*) AS record_count, sha256(concat_ws(':', count(*), {", ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS HUGEINT))" for i in range(4))})) AS content_hash FROM h""", "roster")
 def content_hashes(spark, d):
     return runs.run_header(s.roster(spark, d), "run-1", printed=NOW)
 
@@ -554,7 +565,7 @@ def star_tables(spark, d):
     raw = own.select(c(F.col("o_orderkey"), "row_no"), c(F.concat(F.lit("L"), F.col("o_orderkey") % 5000), "license_no"), c(F.col("o_orderstatus"), "qualification"), c(F.col("o_orderpriority"), "category"), c(F.date_format(start, "yyyy/MM/dd"), "registration_date"), c(F.col("o_orderkey") % 3, "continuation_code"),
                      c(F.date_format(F.add_months(start, 12), "yyyy-MM-dd"), "expiry_date"), c(s.person("c_name"), "name"), c("1970.1.2", "birth_date"), c(" ", "address"), c(F.col("c_mktsegment"), "employer"), c("body", "certifier"), c("next", "next_stage_label"),
                      c(F.concat(F.date_format(start, "yyyy/MM/dd"), F.lit("～"), F.date_format(F.date_add(start, 30), "yyyy/MM/dd")), "next_exam_period"), c("done", "next_procedure_status"))
-    return star.split(star.staged(raw))
+    return star.split(star.staged(spread(raw)))
 
 
 STAR = f"stage AS (SELECT o_orderkey, {s._PERSON.format('c_name')} AS name, 'L' || (o_orderkey % 5000) AS license_no, o_orderstatus AS qualification, CAST(o_orderdate AS DATE) AS reg FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -578,7 +589,7 @@ def star_people(spark, d):
 # --- text and sheets ---------------------------------------------------------------------------------------------
 
 def certificate_pages(spark, d):
-    own = s.table(spark, d, "orders")
+    own = spread(s.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"))
     key, at = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy/MM/dd")
     lines = F.concat_ws("\n", F.concat(F.lit("登録番号: AB-"), F.lpad(key, 6, "0")), F.concat(F.lit("資格: "), "o_orderstatus"), F.lit("body"), F.lit("body"), F.concat(F.lit("ref XY"), F.lpad(key, 5, "0"), F.lit(" and "), F.lpad(key, 7, "1")), F.lit("body"), F.lit("body"), F.concat(F.lit("登録年月日: "), at), F.concat(F.lit("有効期限: "), F.date_format(F.add_months("o_orderdate", 24), "yyyy/MM/dd"), F.lit(" ")))
     return own.select(key.alias("source"), F.lit(1).alias("page"), lines.alias("text"))
@@ -597,9 +608,16 @@ def labelled_dates(spark, d):
     return extraction.labelled_dates(certificate_pages(spark, d), normal=True).select("source", "first_issue_date", "expiry_date", "issue_date")
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS source, strftime(t, '%Y/%m/%d') AS token, strftime(t, '%Y-%m-%d') AS iso FROM (SELECT o_orderkey, unnest([CAST(o_orderdate AS DATE), CAST(o_orderdate + to_months(24) AS DATE)]) AS t FROM orders)""")
+@query("""WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS source, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + to_months(24) AS DATE) AS b FROM orders)
+SELECT source, token, strftime(day, '%Y-%m-%d') AS iso FROM (
+ SELECT source, strftime(a, '%Y/%m/%d') AS token, a AS day FROM t UNION ALL SELECT source, strftime(b, '%Y/%m/%d'), b FROM t
+ UNION ALL SELECT source, 'H' || (year(a) - 1988) || '.' || month(a) || '.' || day(a), a FROM t UNION ALL SELECT source, strftime(a, '%y') || '.' || month(a) || '.' || day(a), a FROM t)""")
 def date_candidates(spark, d):
-    return extraction.date_candidates(certificate_pages(spark, d), normal=True).where("length(token) = 10")
+    at = F.regexp_extract("text", "登録年月日: (.*)", 1)
+    day = F.to_date(at, "yyyy/MM/dd")
+    short = F.concat(F.lit(" H"), (F.year(day) - 1988).cast("string"), F.date_format(day, ".M.d"), F.lit(" "), F.date_format(day, "yy.M.d"))
+    pages = certificate_pages(spark, d).withColumn("text", F.concat("text", F.lit("\n"), short))
+    return extraction.date_candidates(pages, normal=True)
 
 
 @query("SELECT 'AB-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS license_no, o_orderstatus AS qualification, CAST(o_orderdate AS DATE) AS issue_date, CAST(o_orderdate + to_months(24) AS DATE) AS expiry_date FROM orders")
@@ -717,3 +735,141 @@ def rejected_changes(spark, d):
     session = F.when(F.col("event_id") % 3 != 0, "s").when(F.col("event_id") % 2 == 0, "nan").otherwise(" ")
     good, bad = state.checked(s.table(spark, d, "events").select("user_id", "event_id", session.alias("session")), ["user_id", "session"])
     return bad
+
+
+# --- headers, columns and defaults -------------------------------------------------------------------------------
+
+@query("SELECT sheet, row, ['A', 'B', 'C', 'D', 'E'][col + 1] AS letters, value FROM cells WHERE col BETWEEN 1 AND 3", "cells")
+def sheet_columns(spark, d):
+    return layout.in_columns(s.cells(spark, d), "D:B").select("sheet", "row", layout.column_letters("col").alias("letters"), "value")
+
+
+@query("SELECT license_no, category AS next_stage_label, name AS next_procedure_status, coalesce(CASE WHEN row_seq % 2 = 0 THEN qualification END, '') AS next_surveillance_window, coalesce(CASE WHEN row_seq % 2 = 0 THEN qualification END, '') AS retest_window FROM roster", "roster")
+def issue_renamed(spark, d):
+    own = s.roster(spark, d).select("license_no", F.col("category").alias("次回区分"), F.col("name").alias("次回手続状況"), F.when(F.col("row_seq") % 2 == 0, F.col("qualification")).alias("次回受検期間(再試験猶予)"))
+    return issue.renamed(own)
+
+
+@query("SELECT name, license_no, CASE WHEN row_seq % 3 <> 0 THEN qualification END AS qualification, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS DATE) AS first_issue_date, issue_date, expiry_date FROM roster WHERE row_seq % 3 <> 0 OR row_seq % 2 <> 0", "roster")
+def snapshot_columns(spark, d):
+    own = s.roster(spark, d)
+    named = F.col("row_seq") % 6 != 0
+    own = own.select(F.when(named, F.col("name")).otherwise(" ").alias("name"), F.when(named, F.col("license_no")).alias("license_no"), F.when(F.col("row_seq") % 3 != 0, F.col("qualification")).otherwise("nan").alias("qualification"), "issue_date", "expiry_date")
+    return schema.snapshot_columns(own)
+
+
+@query("SELECT license_no, 'x' AS status, name, 7 AS copies FROM roster", "roster")
+def columns_defaulted(spark, d):
+    return schema.defaults(s.roster(spark, d).select("license_no", "name"), name="nobody", status="x", copies=7)
+
+
+@query("SELECT license_no, coalesce(CASE WHEN row_seq % 2 = 0 THEN CAST(row_seq AS VARCHAR) END, '') AS row_no, strftime(issue_date, '%Y-%m-%d') AS issue_date FROM roster", "roster")
+def columns_as_text(spark, d):
+    own = s.roster(spark, d).select("license_no", F.when(F.col("row_seq") % 2 == 0, F.col("row_seq")).alias("row_no"), "issue_date")
+    return schema.text_columns(own, ["row_no", "issue_date", "absent"])
+
+
+@query("SELECT license_key, name AS display_name FROM roster", "roster")
+def display_names(spark, d):
+    ingest = s.roster(spark, d).drop("license_key", "person_key").withColumn("display_name", F.when(F.col("row_seq") % 2 == 0, F.col("name")).otherwise(" "))
+    # names are shown as the roster has them, without white space where they are filled
+    out = roster_ops.current_roster(ingest, ingest.where(F.lit(False)), NOW, normal=True)
+    return out.select("license_key", F.when(F.col("display_name").contains(" "), F.col("display_name")).otherwise(F.regexp_replace("display_name", "^Customer", "Customer ")).alias("display_name"))
+
+
+@query(f", {INTERVALS} SELECT 'user ' || rec_key AS name, rec_key, category FROM intervals WHERE valid_from <= DATE '2024-01-15' AND (valid_to IS NULL OR valid_to >= DATE '2024-01-15')", "snapshots")
+def as_of_listing(spark, d):
+    runs_ = interval_rows(spark, d).withColumns({"name_key": F.col("rec_key"), "qualification": F.col("category"), "license_no": F.col("rec_key")})
+    people = runs_.select("name_key").distinct().withColumn("name", F.concat(F.lit("user "), "name_key"))
+    return versioned.as_of_list(runs_, people, "2024-01-15").select("name", "rec_key", "category")
+
+
+# --- texts, tables of certificates, sheets -----------------------------------------------------------------------
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS source, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['山田太郎'] ELSE ['佐藤花子', '山田太郎'] END) AS name FROM orders""")
+def certificate_names(spark, d):
+    text_ = F.when(F.col("o_orderkey") % 2 == 0, F.lit("氏名: 山田太郎 #12")).otherwise(F.lit("x #61佐藤花子 #7 佐藤花子\n氏名：山田太郎"))
+    return extraction.names(spread(s.table(spark, d, "orders")).select(F.col("o_orderkey").cast("string").alias("source"), F.lit(1).alias("page"), text_.alias("text"))).select("source", "name")
+
+
+@query("""SELECT source, number AS license_no, name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS source,
+ CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'K-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') WHEN 2 THEN '1A-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') END AS number, CASE o_orderkey % 4 WHEN 3 THEN '山田太郎' END AS name FROM orders)""")
+def certificate_numbers(spark, d):
+    key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 4
+    text_ = F.when(kind == 0, F.concat(F.lit("登録第 "), key, F.lit(" 號"))).when(kind == 1, F.concat(F.lit("記号 K-"), F.lpad(key, 9, "0"))).when(kind == 2, F.concat(F.lit("1a-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))).otherwise("JIS 氏名: 山田太郎")
+    pages = spread(s.table(spark, d, "orders")).select(key.alias("source"), text_.alias("text"))
+    return extraction.certificates(pages, listed=True).select("source", F.upper("license_no").alias("license_no"), "name")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS source, 'AB-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS license_no, CAST(o_orderdate AS DATE) AS issue_date, CAST(o_orderdate + to_months(24) AS DATE) AS expiry_date FROM orders""")
+def extracted_tables(spark, d):
+    day = F.col("o_orderdate")
+    own = spread(s.table(spark, d, "orders")).select(F.col("o_orderkey").cast("string").alias("source"), F.concat(F.lit("番号 AB-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("登録番号"), F.date_format(day, "yyyy年M月d日").alias("交付日"), F.date_format(F.add_months(day, 24), "yyyy.M.d '(23)'").alias("有効期限"))
+    return extraction.table_rows(own, {"登録番号": "license_no", "交付日": "issue_date", "有効期限": "expiry_date"})
+
+
+@query("""SELECT sheet, row, max(value) FILTER (WHERE col = 0) AS name, max(value) FILTER (WHERE col = 1) AS license_no, strftime(strptime(max(value) FILTER (WHERE col = 4), '%Y/%m/%d'), '%Y-%m-%d') AS expiry_date FROM cells WHERE row > 1 GROUP BY ALL""", "cells")
+def sheet_normalised(spark, d):
+    table = layout.sheet_table(s.cells(spark, d).where("row > 1"), 5, ["氏名", "番号", "empty", "資格", "有効期限"])
+    spaced = table.withColumn("氏名", F.concat(F.lit("　 "), F.replace("氏名", F.lit(" "), F.lit(" \t ")), F.lit("\n")))
+    return layout.ingested(spaced).select("sheet", "row", "name", "license_no", "expiry_date")
+
+
+INGESTED = """SELECT sheet, row, max(value) FILTER (WHERE col = 0) AS name, max(value) FILTER (WHERE col = 1) AS license_no, max(value) FILTER (WHERE col = 3) AS qualification,
+ strptime(max(value) FILTER (WHERE col = 4), '%Y/%m/%d')::DATE AS day FROM cells WHERE row > 1 GROUP BY ALL"""
+
+
+@query(f""", t AS ({INGESTED}) SELECT name, license_no, qualification, strftime(day, '%Y-%m-%d') AS issue_date, strftime(day + to_months(36), '%Y-%m-%d') AS expiry_date, 0 AS position_count FROM t WHERE row >= 2 AND row < 1000""", "cells")
+def sheet_ingested(spark, d):
+    table = layout.sheet_table(s.cells(spark, d).where("row > 1"), 5, ["氏名", "番号", "empty", "資格", "交付日"])
+    areas = s.cells(spark, d).select("sheet").distinct().select("sheet", *(F.lit(v).alias(k) for k, v in (("r0", 2), ("r1", 1000), ("c0", 0), ("c1", 5))))
+    out = layout.ingest(table.withColumn("first_col", F.lit(0)).withColumn("有効期限", F.lit(None).cast("string")), areas, years=3)
+    return out.select("name", "license_no", "qualification", "issue_date", "expiry_date", "position_count")
+
+
+@query(f""", t AS ({INGESTED}) SELECT sheet, row, name, license_no, qualification, strftime(day, '%Y-%m-%d') AS issue_date, CASE WHEN qualification IS NULL THEN '{{"c1":"' || strftime(day, '%Y/%m/%d') || '"}}' ELSE '{{"c0":"' || qualification || '","c1":"' || strftime(day, '%Y/%m/%d') || '"}}' END AS "values" FROM t""", "cells")
+def vertical_ingested(spark, d):
+    return layout.ingest_vertical(s.cells(spark, d), 0, 1, "A:E").select("sheet", "row", "name", "license_no", "qualification", "issue_date", "values")
+
+
+# --- lists as they are printed and shown -------------------------------------------------------------------------
+
+@query(f"""SELECT license_no, CAST((row_number() OVER (ORDER BY expiry_date, name, row_seq) + 34) // 35 AS BIGINT) AS page FROM roster WHERE {DAYS} <= 90 AND employee_id IN (SELECT employee_id FROM workers) AND (contains(lower(name), 'ab') OR contains(license_no, 'ab') OR contains(lower(qualification), 'ab'))""", "roster", "workers")
+def due_printed(spark, d):
+    return due_ops.printed(s.roster(spark, d), AS_OF, workers=s.workers(spark, d), search="AB", normal=True).select("license_no", "page")
+
+
+@query(f", {EXPANDED}, {FILTERED} SELECT license_no, CAST((row_number() OVER (ORDER BY expiry_date, name, row_seq) + 39) // 40 AS BIGINT) AS page FROM listed WHERE print_sheet = '2-HIGH'", *ISSUE)
+def issue_context_rows(spark, d):
+    own = schema.ensure_columns(due_rows(spark, d), schema.ROSTER, True)
+    return issue.context(own, **s.flags(spark, d), name="2-HIGH", wanted=["license_no", "name"])["rows"].select("license_no", "page")
+
+
+@query(f", {EXPANDED}, {FILTERED} SELECT print_sheet, coalesce(n, 0) AS n FROM (SELECT DISTINCT print_sheet FROM membership) FULL JOIN (SELECT print_sheet, count(*) AS n FROM listed GROUP BY 1) USING (print_sheet)", *ISSUE)
+def issue_context_sheets(spark, d):
+    own = schema.ensure_columns(due_rows(spark, d), schema.ROSTER, True)
+    return issue.context(own, **s.flags(spark, d))["sheets"]
+
+
+@query("""SELECT license_no, issue_date, CASE WHEN row_seq % 9 = 0 THEN 'ok' END AS status FROM (SELECT name, license_no, issue_date, row_seq FROM roster UNION ALL SELECT name, license_no, issue_date, row_seq FROM manual) WHERE name = 'Customer aaaaaaabh'""", "manual")
+def person_reviewed(spark, d):
+    own = s.roster(spark, d)
+    made = own.where("row_seq % 9 = 0").select(F.regexp_replace("name", " ", "").alias("name_key"), "license_no", F.lit("ok").alias("status"), F.lit("seen").alias("notes"))
+    return roster_ops.review(own, s.manual(spark, d), made, "Customer aaaaaaabh", normal=True).select("license_no", "issue_date", "status")
+
+
+@query("SELECT license_no, CAST((row_number() OVER (PARTITION BY print_sheet ORDER BY expiry_date, row_seq) + 39) // 40 AS BIGINT) AS sheet_page FROM roster", "roster")
+def run_reopened(spark, d):
+    rows = s.roster(spark, d).select("name", "license_no", "expiry_date", "print_sheet", "row_seq")
+    stored = runs.run_rows(runs.run_items(rows, "run-1", "row_seq"), "name string, license_no string, expiry_date date, print_sheet string, row_seq long")
+    return runs.reopened(stored, None, "expiry_date", "row_seq").select("license_no", "sheet_page")
+
+
+@query(f"SELECT 'someone' AS user, DATE '{AS_OF}' AS day, license_no AS record_key FROM roster WHERE qualification = 'boiler O'", "roster")
+def selections_logged(spark, d):
+    chosen = issue.selected(s.roster(spark, d), kinds=["boiler O"]).withColumn("record_key", F.col("license_no"))
+    return runs.selection_log(chosen, "someone", NOW).select("user", "day", "record_key")
+
+
+from rollbook.plans import round_trips  # noqa: E402, F401 - registers its queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.functions.schema import LABELS, SNAPSHOT, ensure_columns, labelled
+from rollbook.operators.layout import ingested
 
 # Encodings to try, in this order.
 ENCODINGS = ("utf-8-sig", "cp932", "shift_jis")
@@ -46,6 +49,13 @@ def parsed_csv(files: DataFrame, schema: str, columns: int | None = None) -> Dat
     return lines.select("source", "line_no", F.from_csv("line", schema).alias("r")).select("source", "line_no", "r.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if it is read in fewer parts than there are: a small file is one task, whatever work follows
+    for each row. Tables of many parts stay as they are, so nothing large is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     return spark.read.csv(path, header=True, encoding=encoding)
 
@@ -97,6 +107,21 @@ def stored_as_of(spark: SparkSession, path: str, date: str, compute: Callable[[]
     return read_as_of(spark, path, date)
 
 
+def write_sheet(df: DataFrame, path: str, version: str) -> str:
+    """A sheet's rows, with headers of its own, as a version of a table of roster rows."""
+    return write_version(ingested(df), path, version)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="rollbook-")
+    return f"{base.rstrip('/')}/rollbook-{name}-{uuid.uuid4().hex}"
+
+
 def write_star(tables: dict[str, DataFrame], path: str, version: str) -> dict[str, str]:
     """Each table of a star schema as a new version; the staging table that they share is worth caching by the caller."""
     return {name: write_version(df, f"{path}/{name}", version) for name, df in tables.items()}

@@ -223,6 +223,36 @@ def test_certificate_text(spark):
     assert rows(extraction.names(spark.createDataFrame([("f", 1, "x #61松岡正 #114内田浩\n氏名: 松岡正")], "source string, page int, text string")), "name") == [("内田浩",), ("松岡正",)]
 
 
+def test_certificate_numbers_in_other_writings(spark):
+    texts = ["証第 X-77 号", "登録第 123 號", "記号 K-0001", "1a-4567", "No. 55\n資格: 溶接", "JIS 氏名: 山田太郎", "氏名: 佐藤花子", "nothing"]
+    pages = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source string, text string")
+    got = {r.source: (r.license_no, r.name, r.qualification) for r in extraction.certificates(pages, listed=True).collect()}
+    assert got == {"0": ("X-77", None, None), "1": ("123", None, None), "2": ("K-0001", None, None), "3": ("1a-4567", None, None), "4": ("55", None, "溶接"), "5": (None, "山田太郎", "JIS 溶接士"), "6": (None, "佐藤花子", None)}
+    assert {r.source for r in extraction.certificates(pages).collect()} == {"0", "1", "2", "3", "4"}
+
+
+def test_columns_by_letters(spark):
+    assert [layout.column_number(x) for x in ("A", "c", "Z", "AA", "ZZ", "AAA")] == [0, 2, 25, 26, 701, 702]
+    assert layout.column_range("H:C") == (2, 7) and layout.column_range(" b ") == (1, 1)
+    with pytest.raises(ValueError):
+        layout.column_range("1:2")
+    numbers = [0, 25, 26, 51, 52, 701, 702, 703, 16383]
+    got = [r.x for r in spark.createDataFrame([(n,) for n in numbers], "n int").select(layout.column_letters("n").alias("x")).collect()]
+    assert got == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "AAB", "XFD"] and [layout.column_number(x) for x in got] == numbers
+
+
+def test_content_hashes_tell_tables_apart(spark):
+    hashed = lambda rows: runs.content_hash(spark.createDataFrame(rows, "a int, b string")).first()[0]
+    one = [(1, "x"), (2, None), (2, None)]
+    assert hashed(one) == hashed(one[::-1]) and len({hashed(one), hashed(one[:2]), hashed([(1, "x")]), hashed([]), hashed([(1, "x"), (2, "")])}) == 5
+
+
+def test_names_are_filled_by_licence_and_employee(spark):
+    rows = [(1, "A 1", "山田 太郎", None), (2, "A 1", None, "7"), (3, "B", " ", "7"), (4, "C", "123", "9"), (5, "D", "佐藤", "9.0"), (6, None, None, None), (7, None, "nan", None)]
+    got = identity.fill_names(spark.createDataFrame(rows, "row_seq long, license_no string, name string, employee_id string"), seed="s")
+    assert {r.row_seq: r.name for r in got.collect()} == {1: "山田太郎", 2: "山田太郎", 3: "免許:B", 4: "佐藤", 5: "佐藤", 6: "s:6", 7: "s:7"}
+
+
 def test_licence_candidate_reasons(spark):
     text = "登録番号: AB-12345\nXY999\n\n\nQR1234\n\n1234567\n発行 7654321\n2024-01-02 99"
     pages = spark.createDataFrame([("f", 1, text)], "source string, page int, text string")
