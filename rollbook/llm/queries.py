@@ -80,13 +80,16 @@ def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_mail(messages: DataFrame) -> DataFrame:
-    """The conversations as mail is written: a turn t > 0 with t % 4 < 3 puts the text before it, and for t % 4 = 2 the
-    one before that, each line behind > and >> signs, above its own text. Nothing else quotes in this table."""
+    """The conversations as mail is written, which quotes what is before it in ways that go by turn % 6: the text before, each
+    line behind a > sign (0), all of it on one line (1), below the one before that, behind >> (2) or > > (4), or its
+    first line only (3); nothing (5). Nothing else quotes in this table."""
     one = messages.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("t1")).groupBy("conv_id", "turn").agg(F.max("t1").alias("t1"))
     two = messages.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("t2")).groupBy("conv_id", "turn").agg(F.max("t2").alias("t2"))
     both = messages.select("conv_id", "turn", "role", "text").join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
-    quoted = lambda c, mark: F.concat(F.lit(mark), F.replace(F.col(c), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
-    above = F.concat(F.when(F.col("turn") % 4 == 2, F.coalesce(quoted("t2", ">> "), F.lit(""))).otherwise(F.lit("")), F.when(F.col("turn") % 4 < 3, F.coalesce(quoted("t1", "> "), F.lit(""))).otherwise(F.lit("")))
+    quoted = lambda c, mark: F.coalesce(F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n")), F.lit(""))
+    t1, t2 = F.col("t1"), F.col("t2")
+    ways = {0: quoted(t1, "> "), 1: quoted(F.replace(t1, F.lit("\n"), F.lit(" ")), "> "), 2: F.concat(quoted(t2, ">> "), quoted(t1, "> ")), 3: quoted(F.substring_index(t1, "\n", 1), "> "), 4: F.concat(quoted(t2, "> > "), quoted(t1, "> "))}
+    above = F.coalesce(*(F.when(F.col("turn") % 6 == n, way) for n, way in ways.items()), F.lit(""))
     return both.withColumn("text", F.concat(above, F.col("text"))).select("conv_id", "turn", "role", "text")
 
 

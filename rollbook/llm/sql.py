@@ -95,14 +95,18 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-#: Mail made of the conversations as the query makes it; then levels, lines, their writers, and chains of replies.
+#: Mail made of the conversations as the query makes it; then levels, passages and lines, their writers, and chains of replies.
 QUOTES = r"""
 WITH RECURSIVE one AS (SELECT conv_id, turn + 1 AS turn, max(text) AS t1 FROM conversations GROUP BY ALL),
 two AS (SELECT conv_id, turn + 2 AS turn, max(text) AS t2 FROM conversations GROUP BY ALL),
 mail AS (
   SELECT conv_id, turn, role,
-         (CASE WHEN turn % 4 = 2 THEN coalesce('>> ' || replace(t2, chr(10), chr(10) || '>> ') || chr(10), '') ELSE '' END)
-         || (CASE WHEN turn % 4 < 3 THEN coalesce('> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10), '') ELSE '' END) || text AS text
+         CASE turn % 6 WHEN 0 THEN coalesce('> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10), '')
+                       WHEN 1 THEN coalesce('> ' || replace(t1, chr(10), ' ') || chr(10), '')
+                       WHEN 2 THEN coalesce('>> ' || replace(t2, chr(10), chr(10) || '>> ') || chr(10), '') || coalesce('> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10), '')
+                       WHEN 3 THEN coalesce('> ' || split_part(t1, chr(10), 1) || chr(10), '')
+                       WHEN 4 THEN coalesce('> > ' || replace(t2, chr(10), chr(10) || '> > ') || chr(10), '') || coalesce('> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10), '')
+                       ELSE '' END || text AS text
   FROM conversations LEFT JOIN one USING (conv_id, turn) LEFT JOIN two USING (conv_id, turn)),
 raws AS (SELECT conv_id, turn, parts[n] AS raw, n
          FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS parts FROM mail), unnest(range(1, len(parts) + 1)) AS r(n)),
@@ -110,12 +114,21 @@ lines AS (
   SELECT conv_id, turn, n, raw, length(regexp_replace(mark, '[^>]', '', 'g')) AS level,
          regexp_replace(substr(raw, length(mark) + 1), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
   FROM (SELECT *, regexp_extract(raw, '^([ \t]*>)+') AS mark FROM raws)),
-hashed AS (SELECT *, lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM lines WHERE line <> ''),
-wrote AS (SELECT DISTINCT conv_id, turn AS writer, h FROM hashed WHERE level = 0),
+placed AS (
+  SELECT *, sum(new::INT) OVER (PARTITION BY conv_id, turn ORDER BY n) AS p, lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS h
+  FROM (SELECT *, coalesce(lag(level) OVER w <> level OR line = '' OR lag(line) OVER w = '', true) AS new FROM lines WINDOW w AS (PARTITION BY conv_id, turn ORDER BY n))),
+passages AS (SELECT conv_id, turn, p, level, string_agg(h, ' ' ORDER BY n) AS h, count(*) AS lines FROM placed WHERE line <> '' GROUP BY ALL),
 found AS (
-  SELECT q.conv_id, q.turn, q.n, q.level, max(w.writer) AS writer
-  FROM hashed q JOIN wrote w ON w.conv_id = q.conv_id AND w.h = q.h AND w.writer < q.turn WHERE q.level > 0 GROUP BY ALL),
-votes AS (SELECT conv_id, turn, level, writer, count(*) AS votes FROM found GROUP BY ALL),
+  SELECT q.conv_id, q.turn, q.p, q.level, q.lines, max(w.turn) AS writer
+  FROM passages q JOIN passages w ON w.conv_id = q.conv_id AND w.h = q.h AND w.level = 0 AND w.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+long_lines AS (SELECT * FROM placed WHERE len(string_split(h, ' ')) >= 4),
+found_lines AS (
+  SELECT q.conv_id, q.turn, q.n, q.level, max(w.turn) AS writer
+  FROM long_lines q JOIN long_lines w ON w.conv_id = q.conv_id AND w.h = q.h AND w.level = 0 AND w.turn < q.turn
+  WHERE q.level > 0 AND NOT EXISTS (FROM found f WHERE f.conv_id = q.conv_id AND f.turn = q.turn AND f.p = q.p) GROUP BY ALL),
+votes AS (
+  SELECT conv_id, turn, level, writer, sum(lines) AS votes
+  FROM (SELECT conv_id, turn, level, writer, lines FROM found UNION ALL SELECT conv_id, turn, level, writer, 1 FROM found_lines) GROUP BY ALL),
 best AS (
   SELECT conv_id, turn, writer AS reply_to, all_votes FROM (
     SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, writer DESC) AS rn,
