@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rollbook.llm.packing import best_windows, pack
+from rollbook.llm.packing import best_windows, pack, tokenizer
 
 
 def tokens(text):
@@ -68,3 +68,12 @@ def test_windows_are_the_cheapest(seed):
     chosen = np.array(best_windows(at, cost, window, 4))
     assert np.diff(chosen).max() <= window
     assert price(chosen) == pytest.approx(least[len(at) - 1])
+
+
+def test_fast_ids_are_those_of_the_tokenizer_file(spark, sf):
+    encode, _ = tokenizer("byte_bpe_50k")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["", " ", "\n\n \t", "don't I'LL we're 'S", "１２３ 4567890", "日本語のテキスト。漢字", "é é ﬁ ​", "\x00\x07\x1b", "<|endoftext|> <|x|> <|", "a" * 5000, "🙂👩‍👩‍👧 ok", "x\r\ny\x85z　", "...!!!??", "snake_case CamelCase 3.14e-10"]
+    texts = odd + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").limit(200).collect()]
+    for text in texts:
+        assert list(encode(text)) == whole.encode(text, add_special_tokens=False).ids
