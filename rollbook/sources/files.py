@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import types as T
 
 from rollbook.functions.schema import LABELS, SNAPSHOT, ensure_columns, labelled
 from rollbook.operators.layout import ingested
+from rollbook.sources.shared import shared_folder  # noqa: F401
 
 # Encodings to try, in this order.
 ENCODINGS = ("utf-8-sig", "cp932", "shift_jis")
@@ -112,16 +111,6 @@ def write_sheet(df: DataFrame, path: str, version: str) -> str:
     return write_version(ingested(df), path, version)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="rollbook-")
-    return f"{base.rstrip('/')}/rollbook-{name}-{uuid.uuid4().hex}"
-
-
 def write_star(tables: dict[str, DataFrame], path: str, version: str) -> dict[str, str]:
     """Each table of a star schema as a new version; the staging table that they share is worth caching by the caller."""
     return {name: write_version(df, f"{path}/{name}", version) for name, df in tables.items()}
