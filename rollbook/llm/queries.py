@@ -93,7 +93,13 @@ def as_mail(messages: DataFrame) -> DataFrame:
     return both.withColumn("text", F.concat(above, F.col("text"))).select("conv_id", "turn", "role", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.filter_audit import audit
+
+    return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes, op11_filter_audit)}
 SQL: dict[str, str] = {
     "op2_line_quality": sql.LINE_QUALITY,
     "op3_embedding_dedup": sql.EMBEDDING_DEDUP,
@@ -102,4 +108,5 @@ SQL: dict[str, str] = {
     "op8_warc": sql.WARC,
     "op9_quotes": sql.QUOTES,
     "op10_repeated_bytes": sql.REPEATED_BYTES,
+    "op11_filter_audit": sql.FILTER_AUDIT,
 }

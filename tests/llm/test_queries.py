@@ -30,7 +30,7 @@ def test_query(spark, sf, name, tmp_path):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert "pipeline" in __spark_entry__.queries()
 
 
