@@ -99,7 +99,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes, op11_filter_audit)}
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.bpe import decoded, encoded
+
+    out = decoded(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes, op11_filter_audit, op13_bpe)}
 SQL: dict[str, str] = {
     "op2_line_quality": sql.LINE_QUALITY,
     "op3_embedding_dedup": sql.EMBEDDING_DEDUP,
