@@ -99,6 +99,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollbook.llm.merkle import FIELDS, leaf, manifest, proofs
+
+    tampered = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    claimed = leaf(**{f: tampered if f == "n_chars" else F.col(f) for f in FIELDS})
+    out = proofs(manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), carried={"claimed": claimed}), "claimed")
+    text = lambda c: F.lower(F.hex(c))
+    return out.select(F.col("key").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"), text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollbook.llm.bpe import decoded, encoded
 
@@ -106,7 +116,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes, op11_filter_audit, op13_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_quality, op3_embedding_dedup, op4_pii, op5_setsketch, op6_mixing, op7_repeated_phrases, op8_warc, op9_quotes, op10_repeated_bytes, op11_filter_audit, op12_merkle, op13_bpe)}
 SQL: dict[str, str] = {
     "op2_line_quality": sql.LINE_QUALITY,
     "op3_embedding_dedup": sql.EMBEDDING_DEDUP,
@@ -116,4 +126,5 @@ SQL: dict[str, str] = {
     "op9_quotes": sql.QUOTES,
     "op10_repeated_bytes": sql.REPEATED_BYTES,
     "op11_filter_audit": sql.FILTER_AUDIT,
+    "op12_merkle": sql.MERKLE,
 }

@@ -169,3 +169,30 @@ told AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT f
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told
 """
+
+VALUES = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+#: The checksum of a decimal id, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda r, c: list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+#: All levels of both kinds of trees, then each leaf's walk to the root.
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {CRC32} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS said FROM documents),
+leaves AS (SELECT doc_id, lang, sha256({VALUES.replace("{n_chars}", "n_chars")}) AS leaf, sha256({VALUES.replace("{n_chars}", "said")}) AS claimed,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, lvl AS height FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM subs
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n),
+root AS (SELECT h AS root, lvl AS top FROM tops WHERE n = 1),
+places AS (SELECT doc_id, leaf, claimed, subroot, root, l.lang, l.pos, s.pos AS of_lang, height, top FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang, root),
+steps AS (SELECT doc_id, pos, places.lang, lvl, pos >> lvl AS own, height + top AS total FROM places, range(0, height) AS r(lvl)),
+walk AS (SELECT s.doc_id, s.pos, s.lang, s.lvl, own, h FROM steps s LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM s.lang AND n.lvl = s.lvl AND n.pos = xor(own, 1)
+  UNION ALL SELECT doc_id, p.pos, lang, height + r.lvl, of_lang >> r.lvl, h FROM places p CROSS JOIN range(0, top) AS r(lvl) LEFT JOIN tops t ON t.lvl = r.lvl AND t.pos = xor(of_lang >> r.lvl, 1)),
+proofs AS (SELECT doc_id, pos, lang, list(struct_pack(odd := own & 1 = 1, h := h) ORDER BY lvl) AS path FROM walk GROUP BY ALL),
+folded AS (SELECT p.*, path, list_reduce(list_concat([struct_pack(odd := false, h := claimed)], coalesce(path, [])), lambda x, s: struct_pack(odd := false, h := sha256(
+    CASE WHEN s.h IS NULL THEN x.h WHEN s.odd THEN s.h || x.h ELSE x.h || s.h END))).h AS folded_root
+  FROM places p LEFT JOIN proofs q ON q.doc_id IS NOT DISTINCT FROM p.doc_id AND q.pos = p.pos AND q.lang IS NOT DISTINCT FROM p.lang)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s.h), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
