@@ -110,9 +110,9 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rollbook.llm.bpe import decoded, encoded
+    from rollbook.llm.bpe import round_trip
 
-    out = decoded(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

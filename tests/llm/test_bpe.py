@@ -16,8 +16,10 @@ from rollbook.llm.hashing import texts
 
 def check(docs, vocabulary="byte_bpe_50k.tiktoken", **options):
     core = bpe.encoding(vocabulary)
-    out = bpe.decoded(bpe.encoded(docs, vocabulary, **options), vocabulary).collect()
-    got = sorted((r.doc_id is None, r.doc_id or 0, list(np.frombuffer(r.ids, "<u4")), r.n_tokens, bytes(r.decoded)) for r in out)
+    out = bpe.decoded(bpe.encoded(docs, vocabulary, **options), vocabulary)
+    both = bpe.round_trip(docs, vocabulary, **options)
+    assert both.columns == out.columns and sorted(map(str, both.collect())) == sorted(map(str, out.collect()))
+    got = sorted((r.doc_id is None, r.doc_id or 0, list(np.frombuffer(r.ids, "<u4")), r.n_tokens, bytes(r.decoded)) for r in out.collect())
     want = []
     for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect():
         ids = core.encode_ordinary(r.text)
@@ -29,10 +31,9 @@ def test_given_documents(spark, sf):
     check(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
-def test_odd_documents(spark, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK_BYTES", 4000)
-    check(odd_docs)
-    check(odd_docs.repartition(5), "byte_bpe_multi_50k.tiktoken", keep=("doc_id", "n_words", "row"))
+def test_odd_documents(spark, odd_docs, no_docs):
+    check(odd_docs, chunk_bytes=4000)
+    check(odd_docs.repartition(5), "byte_bpe_multi_50k.tiktoken", keep=("doc_id", "n_words", "row"), chunk_bytes=1)
     assert bpe.encoded(no_docs).isEmpty()
     assert bpe.encoded(odd_docs.where("text is null")).collect()[0].n_tokens == 0
 
@@ -54,8 +55,7 @@ def test_pretokens_are_those_of_the_pattern():
     assert got == [x for text in every for x in regex.findall(public_tokenizers.PATTERN, text)]
 
 
-def test_each_distinct_pretoken_is_encoded_once(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1000)
+def test_each_distinct_pretoken_is_encoded_once(monkeypatch):
     words = [b"a", b"a", b"b", b"b", b"c"]
     class Core:
         seen = []
@@ -63,9 +63,11 @@ def test_each_distinct_pretoken_is_encoded_once(spark, odd_docs, monkeypatch):
             self.seen.append(word)
             return [1, 2]
     monkeypatch.setattr(bpe, "encoding", lambda name: type("E", (), {"_core_bpe": Core()}))
-    batches = [pa.record_batch([pa.array(w, pa.binary()), pa.array(["x"] * len(w)), pa.array(range(len(w)), pa.int32())], ["word", "_chunk", "number"]) for w in (words[:3], words[3:])]
+    batches = [pa.record_batch([pa.array(w, pa.binary()), pa.array([7, 8, 7][:len(w)]), pa.array(range(at, at + len(w)), pa.int32())], ["word", "_chunk", "number"]) for at, w in ((0, words[:3]), (3, words[3:]))]
     out = list(bpe.encoding_by("any")(iter(batches)))
-    assert Core.seen == [b"a", b"b", b"c"] and sum(len(b) for b in out) == 5
+    assert Core.seen == [b"a", b"b", b"c"]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["_chunk"] for r in rows] == [7, 8, 7, 8] and [bpe.from_varints(np.frombuffer(r["numbers"], np.uint8)).tolist() for r in rows] == [[0, 2], [1], [3], [4]]
 
 
 def test_chunks_are_split_once(spark, sf):
