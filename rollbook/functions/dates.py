@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import clean, col
+from rollbook.functions.text import clean, col, once
 
 # The year before each era's first one, by the letter that stands for it.
 ERA_START = {"R": 2018, "H": 1988, "S": 1925, "T": 1911, "M": 1867}
@@ -16,10 +16,16 @@ ERA_NAMES = {"令和": "R", "平成": "H", "昭和": "S", "大正": "T", "明治
 VALIDITY_YEARS = (("ﾎﾞｲﾗ", 2), ("ボイラ", 2), ("boiler", 2), ("jis", 1), ("ｊｉｓ", 1))
 OTHER_VALIDITY_YEARS = 3
 
-YEAR_FIRST = r"(\d{4})[./年](\d{1,2})[./月](\d{1,2})日?"
-ERA = r"(令和?|平成?|昭和?|大正?|明治?|[RrHhSsTtMm])\s*(\d{1,2})\s*[./年]\s*(\d{1,2})\s*[./月]\s*(\d{1,2})日?"
-SHORT = r"(\d{2})[./](\d{1,2})[./](\d{1,2})"
-GENERAL = ("yyyy-M-d", "yyyy-M-d H:m:s", "yyyyMMdd", "M/d/yyyy")
+# Signs that stand for "until" between two days.
+UNTIL = "〜~-－—–至から"
+
+#: A day as numbers with signs between them, an era's name before the first, or eight digits. One form for all: what it found is
+#: told apart by its first number.
+_ERA = "[RHSTMrhstm令和平成昭大正明治]{1,2}"
+SIGNED_DAY = rf"(?:{_ERA}\s*\d{{1,2}}|\d{{2,4}})\s*[-./年]\s*\d{{1,2}}\s*[-./月]\s*\d{{1,2}}日?"
+ANY_DAY = rf"{SIGNED_DAY}|\d{{8}}"
+FULL, OF_ERA, SHORT = 1, 2, 3
+GAP = 16
 
 
 @dataclass(frozen=True)
@@ -50,23 +56,47 @@ def general_date(c: Column | str) -> Column:
     return F.when(iso, F.translate(F.substring_index(F.substring_index(text, "T", 1), " ", 1), "/.", "--").try_cast("date")).when(tight, whole.try_cast("date"))
 
 
-def jp_date(c: Column | str) -> Column:
-    """A date written with the year first, in an era, or with a two-digit year (under 70: 20xx), the first that stands there.
+def signed_day(x: Column) -> Column:
+    """(form, day) of what SIGNED_DAY found. A full year or two digits of one (under 70: 20xx) stand without blanks or
+    hyphens, two digits with no words either; an era counts years from its first. Form is null for anything else."""
+    name = F.regexp_extract(x, r"^\D*", 0)
+    numbers = F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))
+    tight = ~x.rlike(r"[-\s]")
+    starts = F.create_map(*[F.lit(v) for k, start in ERA_START.items() for v in (k, start)], *[F.lit(v) for k, letter in ERA_NAMES.items() for w in (k, k[0]) for v in (w, ERA_START[letter])])
+    base = F.coalesce(F.try_element_at(starts, F.upper(F.right(F.trim(name), F.lit(1)))), F.try_element_at(starts, F.trim(name)))
+    year = numbers[0]
+    form = F.when((F.length(year) == 4) & tight, FULL).when((F.length(year) <= 2) & base.isNotNull() & ~x.contains("-"), OF_ERA).when(F.length(year).isin(2, 3) & tight & ~x.rlike("[年月]"), SHORT)
+    century = F.when(F.right(year, F.lit(2)).try_cast("int") < 70, "20").otherwise("19")
+    whole = F.when(form == FULL, year).when(form == OF_ERA, (base + year.try_cast("int")).cast("string")).otherwise(F.concat(century, F.right(year, F.lit(2))))
+    return F.struct(form.alias("form"), F.concat_ws("-", whole, numbers[1], numbers[2]).try_cast("date").alias("day"))
 
-    Each form is found by one expression; what it found is short, and taken apart without more of them over the text.
-    """
+
+def jp_date(c: Column | str) -> Column:
+    """The day a text holds: the first one with a full year, else the first of an era, else the first with a short year, else
+    what its general form says. A day that no calendar has is null."""
     text = col(c).cast("string")
-    first, era, short = (F.regexp_extract(text, pattern, 0) for pattern in (YEAR_FIRST, ERA, SHORT))
-    letter = F.upper(F.translate(F.substring(era, 1, 1), "".join(n[0] for n in ERA_NAMES), "".join(ERA_NAMES.values())))
-    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in ERA_START.items() for x in pair]), letter)
-    numbers = F.regexp_extract_all(era, F.lit(r"(\d+)"), F.lit(1))
-    number = lambda i: F.try_element_at(numbers, F.lit(i))
-    century = F.when(F.substring(short, 1, 2).try_cast("int") < 70, "20").otherwise("19")
-    return (
-        F.when(first != "", F.translate(first, "./年月日", "----").try_cast("date"))
-        .when(era != "", F.concat_ws("-", (base + number(1).try_cast("int")).cast("string"), number(2), number(3)).try_cast("date"))
-        .when(short != "", F.concat(century, F.translate(short, "./", "--")).try_cast("date"))
-        .otherwise(general_date(text)))
+
+    def read(found: Column) -> Column:
+        days = F.filter(F.transform(found, lambda x, i: once(signed_day(x), lambda d: F.struct(d["form"].alias("form"), i.alias("i"), d["day"].alias("day")))), lambda d: d["form"].isNotNull())
+        return once(F.array_min(days), lambda d: F.when(d.isNotNull(), d["day"]).otherwise(general_date(text)))
+
+    return F.when(F.length(text) > 0, once(F.regexp_extract_all(text, F.lit(SIGNED_DAY), F.lit(0)), read))
+
+
+def any_form(c: Column) -> Column:
+    """A day in signs or in its general form."""
+    return once(c, lambda x: F.coalesce(jp_date(x), general_date(x)))
+
+
+def period(c: Column) -> Column:
+    """(start, end) of the first two days in a text with little more than a sign for "until" between them; null without."""
+    def read(days: Column, gaps: Column) -> Column:
+        between = lambda i: F.element_at(gaps, i + 1)
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(days) - 1, F.lit(1))), lambda i: (i < F.size(days)) & (F.length(between(i)) <= GAP) & between(i).rlike(f"[{UNTIL.replace('-', chr(92) + '-')}]") & ~between(i).contains("\n"))
+        at = F.try_element_at(places, F.lit(1))
+        return once(at, lambda i: F.when(i.isNotNull(), F.struct(any_form(F.element_at(days, i)).alias("start"), any_form(F.element_at(days, i + 1)).alias("end"))))
+
+    return once(F.struct(F.regexp_extract_all(c, F.lit(ANY_DAY), F.lit(0)).alias("days"), F.split(c, ANY_DAY).alias("gaps")), lambda x: read(x["days"], x["gaps"]))
 
 
 def any_date(c: Column | str) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.dates import general_date, jp_date
+from rollbook.functions.dates import general_date, jp_date, period
 from rollbook.functions.schema import worked_out
 from rollbook.functions.text import clean, nfkc, once, redact
 from rollbook.operators.identity import least_row
@@ -29,40 +29,23 @@ FIRST_ISSUE, ISSUE, EXPIRY = ("登録年月日",), ("継続年月日", "交付
 NAME_LABELS = ("氏名",)
 # The qualification of a list of names under this word.
 LISTED_KIND = {"JIS": "JIS 溶接士"}
-# Characters written for a hyphen, signs of a range, first letters of eras with what may follow them.
-HYPHENS = "‐‑‒–—−ー－"
-RANGE_SIGNS = "〜~-－—–至から"
-ERA_LETTERS, ERA_REST = "RrHhSsTtMm令平昭大明", "和成治正"
-
-
-def one_of(words: Sequence[str]) -> str:
-    return "(?:" + "|".join(w.replace(".", "\\.") for w in words) + ")"
-
-
-def any_char(characters: str) -> str:
-    return "[" + characters.replace("-", "\\-") + "]"
-
-
-def labelled(words: Sequence[str], value: str, mark: str = "[：:]?\\s*") -> str:
-    """A label, what separates it from its value, and the value."""
-    return one_of(words) + mark + value
-
+# The forms of licence numbers, of a hyphen, of a person's name, and of days in running text.
+LETTERS_DIGITS, MANY_DIGITS = r"[A-Za-z]{1,4}-?\d{3,}", r"\d{6,}"
+HYPHEN = "[‐‑‒–—−ー－]"
+PERSON, LISTED_PERSON = "[一-鿿\u3040-ヿ]{2,8}", "[一-鿿㐀-䶿\u3040-ヿ]{2,8}"
+NUMERIC_DAY, ERA_DAY = r"\d{1,4}[-./]\d{1,2}[-./]\d{1,2}", r"[RrHhSsTtMm令平昭大明][和成治正]?\s*\d{1,2}[./年]\s*\d{1,2}[./月]\s*\d{1,2}日?"
 
-def day_of(year: str, marks: str) -> str:
-    return rf"{year}{any_char(marks)}\d{{1,2}}{any_char(marks)}\d{{1,2}}"
+#: No letter or digit stands on this side.
+OPEN, CLOSED = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Private characters that stand before a label and before its value while a text is cut into sections.
+BEGIN, THEN = "\ue000", "\ue001"
+#: A day counts for a label in so many characters behind it; a period in so many of its line.
+NEAR, LINE = 21, 80
 
 
-HYPHEN, WORD = any_char(HYPHENS), any_char("-" + HYPHENS)[:-1] + "A-Za-z0-9]"
-LABEL = one_of(LABELS)
-LABELLED = labelled(LABELS, f"({WORD}{{3,}})", r"[：:\-\s]*")
-LETTERS_DIGITS, MANY_DIGITS = r"[A-Za-z]{1,4}-?\d{3,}", r"\d{6,}"
-GENERIC = rf"\b({LETTERS_DIGITS}|{MANY_DIGITS})\b"
-DAY, SHORT_DAY = day_of(r"\d{4}", "./-"), day_of(r"\d{2}", "./-")
-ERA_DAY = any_char(ERA_LETTERS) + "".join(f"{c}?" for c in ERA_REST) + r"\s*\d{1,2}[./年]\s*\d{1,2}[./月]\s*\d{1,2}日?"
-DATE_TOKENS = (rf"\b({DAY})\b", rf"\b({SHORT_DAY})\b", f"({ERA_DAY})", "\\b(" + day_of(r"\d{1,2}", "./") + r"\s*\(\d{1,2}\))")
-RANGE_END = r"(\d{2,4}" + r"[^\d\n]{0,2}\d{1,2}" * 2 + ")"
-RANGE = RANGE_END + ".{0,8}" + any_char(RANGE_SIGNS) + "+.{0,8}?" + RANGE_END
-ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+def one_of(words: Sequence[str]) -> str:
+    """An expression for any of these words, the longest that fits."""
+    return "(?:" + "|".join(w.replace(".", "\\.") for w in sorted(words, key=len, reverse=True)) + ")"
 
 
 def plain(c: Column | str, normal: bool) -> Column:
@@ -79,16 +62,43 @@ def tidy(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, HYPHEN, "-"))
 
 
+def sections(c: Column, labels: Sequence[str]) -> Column:
+    """The text cut at every label: an array of (label, value), where a value goes on to the next label or the end."""
+    marked = F.regexp_replace(F.translate(c, BEGIN + THEN, ""), one_of(labels), f"{BEGIN}$0{THEN}")
+    parts = F.filter(F.split(marked, BEGIN), lambda p: p.contains(THEN))
+    return F.transform(parts, lambda p: F.struct(F.substring_index(p, THEN, 1).alias("label"), F.substring_index(p, THEN, -1).alias("value")))
+
+
+def read_first(parts: Column, labels: Sequence[str], read: Callable[[Column], Column]) -> Column:
+    """What the first section under one of the labels holds for read; null if none holds anything."""
+    values = F.transform(F.filter(parts, lambda s: s["label"].isin(*labels)), lambda s: once(F.ltrim(s["value"], F.lit(" \t：:")), read))
+    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
+
+
+def line_of(value: Column, length: int) -> Column:
+    return F.substring(F.substring_index(F.ltrim(value, F.lit(" \t\n\r：:")), "\n", 1), 1, length)
+
+
+def number_after(c: Column, labels: Sequence[str], between: str, value: str) -> Column:
+    """The first value right behind a label."""
+    return found(c, f"{one_of(labels)}{between}({value})")
+
+
 def license_number(c: Column) -> Column:
     """The number after a label, unless it is a date; else letters with digits; else six or more digits that are no date."""
-    after = once(tidy(found(c, labelled(NUMBER_LABELS, f"([A-Za-z0-9]{WORD}{{2,}})", r"[：:\-\s]*"))), lambda x: F.when(~x.rlike(ISO_SHAPE), x))
+    after = once(tidy(number_after(c, NUMBER_LABELS, r"[：:\-\s]*", f"[A-Za-z0-9](?:[-A-Za-z0-9]|{HYPHEN}){{2,}}")), lambda x: F.when(~is_iso(x), x))
     pattern = F.upper(found(c, rf"\b({LETTERS_DIGITS})\b"))
     digits = F.try_element_at(F.filter(F.regexp_extract_all(c, F.lit(rf"\b({MANY_DIGITS})\b"), F.lit(1)), lambda x: ~x.rlike(r"^\d{8}")), F.lit(1))
     return F.coalesce(after, pattern, digits)
 
 
+def is_iso(c: Column) -> Column:
+    return c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
+
+
 def looks_like_date(c: Column) -> Column:
-    return c.rlike(rf"\b{DAY}\b") | c.rlike(rf"\b{SHORT_DAY}\b") | F.coalesce(jp_date(c).isNotNull(), F.lit(False))
+    """Whether numbers stand as in a day, or a day can be read."""
+    return c.rlike(rf"{OPEN}(?:\d{{4}}|\d{{2}})[-./]\d{{1,2}}[-./]\d{{1,2}}{CLOSED}") | F.coalesce(jp_date(c).isNotNull(), F.lit(False))
 
 
 def license_candidates(pages: DataFrame, window: int = 1, rejected: bool = False, normal: bool = False) -> DataFrame:
@@ -97,18 +107,19 @@ def license_candidates(pages: DataFrame, window: int = 1, rejected: bool = False
     Labels count on the line and within `window` lines of it. A text's lines stay an array, in which neighbours are found by
     their place, so nothing is shuffled; only lines with a candidate become rows, and only these are searched for dates.
     """
+    labelled, generic = f"{one_of(LABELS)}[：:\\-\\s]*((?:[-A-Za-z0-9]|{HYPHEN}){{3,}})", rf"\b({LETTERS_DIGITS}|{MANY_DIGITS})\b"
     split = F.split(F.regexp_replace(plain("text", normal), "\r\n?", "\n"), "\n")
     lines = pages.select("source", "page", split.alias("lines"))
     near = lambda i: F.slice("lines", F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)) + window + 1)
     placed = F.transform("lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"), near(i).alias("near")))
-    some = F.filter(placed, lambda p: p["line"].rlike(f"{LABELLED}|{GENERIC}"))
+    some = F.filter(placed, lambda p: p["line"].rlike(f"{labelled}|{generic}"))
     each = lines.select("source", "page", F.explode(some).alias("p")).select("source", "page", "p.*")
-    all_found = F.filter(F.concat(F.array(found(F.col("line"), LABELLED)), F.regexp_extract_all("line", F.lit(GENERIC), F.lit(1))), lambda x: x.isNotNull())
-    each = worked_out(each.withColumn("has_label", F.col("line").rlike(LABEL)).withColumn("label_near", F.exists("near", lambda x: x.rlike(LABEL))))
+    all_found = F.filter(F.concat(F.array(found(F.col("line"), labelled)), F.regexp_extract_all("line", F.lit(generic), F.lit(1))), lambda x: x.isNotNull())
+    each = worked_out(each.withColumn("has_label", F.col("line").rlike(one_of(LABELS))).withColumn("label_near", F.exists("near", lambda x: x.rlike(one_of(LABELS)))))
 
     def judged(c: Column) -> Column:
         reason = (
-            F.when(c.rlike(ISO_SHAPE) | looks_like_date(c), "reject:date_like").when(F.col("has_label"), "accept:labeled")
+            F.when(looks_like_date(c), "reject:date_like").when(F.col("has_label"), "accept:labeled")
             .when(F.col("label_near"), "accept:adjacent_label").when(c.rlike(r"^[A-Z]{1,4}-?\d{3,}$"), "accept:pattern")
             .when(c.rlike(f"^{MANY_DIGITS}$"), "accept:numeric_long").otherwise("reject:weak_pattern"))
         return F.struct(c.alias("candidate"), reason.alias("reason"))
@@ -123,8 +134,12 @@ def license_candidates(pages: DataFrame, window: int = 1, rejected: bool = False
 
 
 def date_tokens(c: Column) -> Column:
-    """Date-like parts of a text, in the order of their kinds, each once."""
-    return F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in DATE_TOKENS)), lambda x: F.trim(x)))
+    """Date-like parts of a text, each once: numbers of four or two digits first, then with any year before a note in
+    parentheses, then of an era."""
+    numeric = F.regexp_extract_all(c, F.lit(rf"{OPEN}{NUMERIC_DAY}{CLOSED}(?:\s*\(\d{{1,2}}\))?"), F.lit(0))
+    bare = F.filter(F.transform(numeric, lambda x: F.trim(F.substring_index(x, "(", 1))), lambda x: x.rlike(r"^(?:\d{4}|\d{2})\D"))
+    noted = F.filter(numeric, lambda x: x.rlike(r"^\d{1,2}[./]\d+[./].*\("))
+    return F.array_distinct(F.transform(F.concat(bare, noted, F.regexp_extract_all(c, F.lit(ERA_DAY), F.lit(0))), lambda x: F.trim(x)))
 
 
 def token_date(c: Column) -> Column:
@@ -140,8 +155,8 @@ def date_candidates(pages: DataFrame, normal: bool = False) -> DataFrame:
 
 def names_in(c: Column) -> Column:
     """Names after '#12' and after the word for a name, each once."""
-    person = "([一-鿿{}぀-ヿ]{{2,8}})"
-    return F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"#\s*\d+\s*" + person.format("㐀-䶿")), F.lit(1)), F.regexp_extract_all(c, F.lit(labelled(NAME_LABELS, person.format(""))), F.lit(1))))
+    numbered, after_word = rf"#\s*\d+\s*({LISTED_PERSON})", rf"{one_of(NAME_LABELS)}[：:]?\s*({PERSON})"
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(c, F.lit(way), F.lit(1)) for way in (numbered, after_word))))
 
 
 def names(pages: DataFrame, normal: bool = False) -> DataFrame:
@@ -149,61 +164,50 @@ def names(pages: DataFrame, normal: bool = False) -> DataFrame:
     return pages.select("source", "page", F.explode(names_in(plain("text", normal))).alias("name"))
 
 
-def after_label(c: Column, labels: Sequence[str]) -> Column:
-    """The first day in the 21 characters after the first of the labels that has one."""
-    tail = lambda label: F.regexp_extract(c, labelled((label,), r"(\S.{0,20}| .{0,20})"), 1)
-    day = lambda label: F.try_element_at(F.filter(F.transform(date_tokens(tail(label)), token_date), lambda d: d.isNotNull()), F.lit(1))
-    return F.coalesce(*(day(x) for x in labels))
-
-
-def range_ends(span: Column | str) -> list[Column]:
-    """The two days of a range in a text, as dates."""
-    span = F.col(span) if isinstance(span, str) else span
-    return [jp_date(F.replace(found(span, RANGE, n), F.lit("-"), F.lit("/"))) for n in (1, 2)]
+def first_day(c: Column) -> Column:
+    return F.try_element_at(F.filter(F.transform(date_tokens(c), token_date), lambda d: d.isNotNull()), F.lit(1))
 
 
 def labelled_dates(pages: DataFrame, normal: bool = False) -> DataFrame:
-    """(source, page, first_issue_date, issue_date, expiry_date) of pages on which a label has a date, or a range has."""
-    t = F.col("_t")
-    out = pages.select("source", "page", plain("text", normal).alias("_t"))
-    out = out.withColumn("_span", F.regexp_extract(t, labelled(PERIOD_LABELS[:1], r"([^\n\r]{4,80})"), 1))
-    start, end = range_ends("_span")
-    out = out.withColumns({"first_issue_date": after_label(t, FIRST_ISSUE), "_issue": after_label(t, ISSUE), "_expiry": after_label(t, EXPIRY), "_start": start, "_end": end})
-    out = worked_out(out).withColumn("expiry_date", F.coalesce("_expiry", "_end")).withColumn("issue_date", F.coalesce("_issue", F.when(F.col("_expiry").isNull() & F.col("_end").isNotNull(), F.col("_start"))))
+    """(source, page, first_issue_date, issue_date, expiry_date) of pages on which a label has a date, or a period has.
+
+    A day under a label comes before a period's; a period's start is the issue only where its end is the expiry.
+    """
+    cut = pages.select("source", "page", sections(plain("text", normal), (*FIRST_ISSUE, *ISSUE, *EXPIRY, *PERIOD_LABELS[:1])).alias("_parts"))
+    day = lambda labels: F.coalesce(*(read_first(F.col("_parts"), (label,), lambda v: first_day(line_of(v, NEAR))) for label in labels))
+    out = worked_out(cut).select("source", "page", day(FIRST_ISSUE).alias("first_issue_date"), day(ISSUE).alias("_issue"), day(EXPIRY).alias("_expiry"), read_first(F.col("_parts"), PERIOD_LABELS[:1], lambda v: period(line_of(v, LINE))).alias("_period"))
+    out = worked_out(out).withColumn("expiry_date", F.coalesce("_expiry", "_period.end")).withColumn("issue_date", F.coalesce("_issue", F.when(F.col("_expiry").isNull() & F.col("_period.end").isNotNull(), F.col("_period.start"))))
     return out.where(F.coalesce("first_issue_date", "issue_date", "expiry_date").isNotNull()).select("source", "page", "first_issue_date", "issue_date", "expiry_date")
 
 
 def certificate_number(c: Column) -> Column:
     """The number after a label, between the words that enclose one, or after a sign; else as in running text; else two or
     three letters or digits with four digits or more."""
-    value = "([A-Za-z0-9\\-]+)"
-    ways = [labelled(CERTIFICATE_LABELS, value), one_of(BEFORE_NUMBER) + r"\s*" + value + r"\s*" + one_of(AFTER_NUMBER), one_of(NUMBER_SIGNS) + r"\s*([A-Za-z0-9\-]{4,})\b"]
-    return F.coalesce(*(found(c, way) for way in ways), license_number(c), found(c, r"(?i)\b([A-Z0-9]{2,3}-?\d{4,})\b"))
+    enclosed = found(c, rf"{one_of(BEFORE_NUMBER)}\s*([A-Za-z0-9\-]+)\s*{one_of(AFTER_NUMBER)}")
+    return F.coalesce(number_after(c, CERTIFICATE_LABELS, r"[：:]?\s*", r"[A-Za-z0-9\-]+"), enclosed, found(c, rf"{one_of(NUMBER_SIGNS)}\s*([A-Za-z0-9\-]{{4,}})\b"), license_number(c), found(c, r"(?i)\b([A-Z0-9]{2,3}-?\d{4,})\b"))
 
 
 def certificates(pages: DataFrame, normal: bool = False, listed: bool = False) -> DataFrame:
     """(source, license_no, qualification, issue_date, expiry_date): one row for each text that has a number or a date.
 
+    A period comes first: its end is the expiry, its start the issue. Days under labels fill what it leaves open; a label
+    whose line holds a period has no day of its own. Without an expiry by then, the days with full years in the text do:
+    the last is the expiry and the first the issue, if that is open; a single one is both.
     With listed also name (null for these), and one row for each other text with names: its first name, and the
     qualification that its word for a list stands for.
     """
-    t, value = F.col("_t"), r"([\S ]{4,}?)(?:\s|$)"
-    out = pages.select("source", plain("text", normal).alias("_t"))
-    # each text is cut out once, as a column of its own, before the expressions over it
-    out = out.select("source", certificate_number(t).alias("license_no"), F.trim(found(t, labelled(KIND_LABELS, r"([^\n\r]{1,120})"))).alias("qualification"), date_tokens(t).alias("_tokens"),
-                     F.regexp_extract(t, labelled(PERIOD_LABELS, r"([^\n\r]{4,80})"), 1).alias("_span"), found(t, labelled(ISSUE_LABELS, value)).alias("_at1"), found(t, labelled(EXPIRY_LABELS, value)).alias("_at2"),
-                     *([F.try_element_at(names_in(t), F.lit(1)).alias("_person"), F.coalesce(*(F.when(t.contains(w), kind) for w, kind in LISTED_KIND.items())).alias("_listed")] if listed else []))
-    written = lambda c: F.replace(F.substring_index(F.substring_index(c, "(", 1), "（", 1), F.lit("-"), F.lit("/"))
-    ends = range_ends("_span")
-    out = worked_out(out)
-    out = out.withColumns({f"_d{n}": F.coalesce(jp_date(written(F.col(f"_at{n}"))), ends[n - 1]) for n in (1, 2)})
-    out = worked_out(out)
-    # days are only looked for in texts that lack one
-    lacking = F.col("_d1").isNull() | F.col("_d2").isNull()
-    days = F.array_sort(F.array_distinct(F.filter(F.transform("_tokens", token_date), lambda d: d.isNotNull())))
-    out = worked_out(out.withColumn("_days", F.when(lacking, days)))
-    several = F.size("_days") > 1
-    out = out.withColumn("issue_date", F.coalesce("_d1", F.when(several, F.array_min("_days")))).withColumn("expiry_date", F.coalesce("_d2", F.when(several, F.array_max("_days"))))
+    t = F.col("_t")
+    parts = F.col("_parts")
+    out = worked_out(pages.select("source", plain("text", normal).alias("_t")))
+    full = F.filter(F.transform(F.filter(date_tokens(t), lambda x: x.rlike(r"^\d{4}[^(]*$")), token_date), lambda d: d.isNotNull())
+    kind = read_first(sections(t, KIND_LABELS), KIND_LABELS, lambda v: F.nullif(F.trim(line_of(v, 120)), F.lit("")))
+    more = [F.try_element_at(names_in(t), F.lit(1)).alias("_person"), F.coalesce(*(F.when(t.contains(w), kind) for w, kind in LISTED_KIND.items())).alias("_listed")] if listed else []
+    # each text is cut once, into columns of their own, before the expressions over them
+    out = worked_out(out.select("source", certificate_number(t).alias("license_no"), kind.alias("qualification"), full.alias("_days"), sections(t, (*ISSUE_LABELS, *EXPIRY_LABELS, *PERIOD_LABELS)).alias("_parts"), *more))
+    alone = lambda v: once(line_of(v, LINE), lambda x: F.when(period(x).isNull(), first_day(F.substring(x, 1, NEAR))))
+    out = worked_out(out.withColumns({"_period": read_first(parts, (*PERIOD_LABELS, *EXPIRY_LABELS), lambda v: period(line_of(v, LINE))), "_issue": read_first(parts, ISSUE_LABELS, alone), "_expiry": read_first(parts, EXPIRY_LABELS, alone)}))
+    out = worked_out(out.withColumns({"issue_date": F.coalesce("_period.start", "_issue"), "_until": F.coalesce("_period.end", "_expiry")}))
+    out = out.withColumn("issue_date", F.coalesce("issue_date", F.when(F.col("_until").isNull(), F.array_min("_days")))).withColumn("expiry_date", F.coalesce("_until", F.array_max("_days")))
     some = F.coalesce("license_no", F.col("issue_date").cast("string"), F.col("expiry_date").cast("string")).isNotNull()
     if listed:
         out = out.withColumn("name", F.when(~some, F.col("_person"))).withColumn("qualification", F.coalesce("qualification", F.when(~some, F.col("_listed"))))
@@ -219,7 +223,7 @@ def newest(records: DataFrame) -> DataFrame:
 
 def redacted_lines(pages: DataFrame, normal: bool = False) -> DataFrame:
     """Lines that hold a label or a date word, with digits and letters masked."""
-    lines = F.filter(F.split(plain("text", normal), "\n"), lambda x: x.rlike(LABEL) | x.rlike(one_of(DATE_WORDS)))
+    lines = F.filter(F.split(plain("text", normal), "\n"), lambda x: x.rlike(one_of(LABELS)) | x.rlike(one_of(DATE_WORDS)))
     return pages.select("source", "page", F.array_join(F.transform(lines, redact), "\n").alias("text"))
 
 

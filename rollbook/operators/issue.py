@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rollbook.functions.schema import chosen_columns
 from rollbook.functions.text import clean, either
 from rollbook.operators.identity import keep_first
+from rollbook.operators.ranges import ROWS_PER_RANGE, ranked
 from rollbook.operators.roster import sheet
+from rollbook.sources.shared import stored
 
 # What a continuation code stands for.
 CONTINUATION = {"0": "新規", "1": "継続", "2": "再試験"}
@@ -119,20 +121,20 @@ def issue_list(due: DataFrame, people: DataFrame, licences: DataFrame, sheets: D
     return out.orderBy("print_sheet", "expiry_date", "name", "row_seq")
 
 
-def pages(df: DataFrame, *order: str, rows: int = ROWS_PER_PAGE, most: int | None = None) -> DataFrame:
+def pages(df: DataFrame, *order: str, rows: int = ROWS_PER_PAGE, most: int | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """page (over all), sheet_page, sheet_total and total_pages of each row; sheets in order, rows of a sheet by `order`.
 
-    A page's number in its sheet is that of the row there; pages before the sheet come from one row for each sheet. With
-    `most`, only so many pages are given, while total_pages counts all.
+    A row's number in its sheet comes range by range, so a sheet may have any number of rows; pages before a sheet come from
+    one row for each sheet. With `most`, only so many pages are given, while total_pages counts all.
     """
     rows = ROWS_PER_PAGE if rows <= 0 else rows
-    own = df.withColumn("print_sheet", sheet("print_sheet"))
+    own = stored(df.withColumn("print_sheet", sheet("print_sheet")), "pages")
     totals = own.groupBy("print_sheet").agg(F.ceil(F.count("*") / rows).alias("sheet_total"))
     before = Window.orderBy("print_sheet").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = totals.withColumn("_before", F.coalesce(F.sum("sheet_total").over(before), F.lit(0))).withColumn("total_pages", F.sum("sheet_total").over(everything))
-    place = F.row_number().over(Window.partitionBy("print_sheet").orderBy(*order))
-    out = own.withColumn("sheet_page", F.ceil(place / rows)).join(totals, "print_sheet").withColumn("page", F.col("_before") + F.col("sheet_page")).drop("_before")
+    placed = ranked(own, ["print_sheet"], list(order), rows_per_range).withColumn("sheet_page", F.ceil(F.col("place") / rows)).drop("place", "total")
+    out = placed.join(totals, "print_sheet").withColumn("page", F.col("_before") + F.col("sheet_page")).drop("_before")
     return out if most is None else out.where(F.col("page") <= most)
 
 

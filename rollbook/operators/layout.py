@@ -12,6 +12,8 @@ from rollbook.functions.headers import DATE_COLUMNS, canonical_name, header_map
 from rollbook.functions.schema import coalesce_doubles
 from rollbook.functions.text import clean, position_columns, strip_whitespace
 from rollbook.operators.due import missing_expiry
+from rollbook.operators.ranges import ROWS_PER_RANGE, carried_down
+from rollbook.sources.shared import stored
 
 SHEET = ["source", "sheet"]
 REGISTRATION = r"^(?:[A-Z]{1,2}\d{6,}|\d{1,6}(?:-\d{1,6})?)$"
@@ -101,7 +103,11 @@ def column_scores(cells: DataFrame) -> DataFrame:
 
 
 def blocks(scores: DataFrame, cells: DataFrame) -> DataFrame:
-    """(source, sheet, person_col, number_col, first, last, label): dense ranges of columns right of the registration number."""
+    """(source, sheet, person_col, number_col, first, last, label): dense ranges of columns right of the registration number.
+
+    Scores, a row for each column, are written once for their readers; cells are worth storing by the caller.
+    """
+    scores = stored(scores, "scores")
     number = scores.groupBy(*SHEET).agg(F.max_by("col", F.struct("registration", -F.col("col"))).alias("number_col"))
     left = scores.join(number, SHEET)
     person = left.where("col < number_col").groupBy(*SHEET).agg(F.max_by("col", F.struct("name", -F.col("col"))).alias("person_col"))
@@ -114,18 +120,19 @@ def blocks(scores: DataFrame, cells: DataFrame) -> DataFrame:
     return ranges.join(words, [*SHEET, "first"], "left").select(*SHEET, "person_col", "number_col", "first", "last", label.alias("label"))
 
 
-def carried(cells: DataFrame, person: int, number: int) -> DataFrame:
+def carried(cells: DataFrame, person: int, number: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(source, sheet, row, name, registration): both carried down from the row where a registration number stands.
 
-    A name on that row counts unless it is a header; else the earlier one goes on.
+    A name on that row counts unless it is a header; else the earlier one goes on. Values go on from range to range, so a
+    sheet may have any number of rows.
     """
-    own = filled(cells).where(F.col("col").isin(person, number))
-    wide = own.groupBy(*SHEET, "row").agg(F.max(F.when(F.col("col") == person, F.col("value"))).alias("p"), F.max(F.when(F.col("col") == number, F.regexp_replace("value", r"(?U)\s", ""))).alias("n"))
-    everyone = filled(cells).select(*SHEET, "row").distinct().join(wide, [*SHEET, "row"], "left")
+    own = filled(cells)
+    at = lambda col: F.max(F.when(F.col("col") == col, F.col("value")))
+    wide = own.groupBy(*SHEET, "row").agg(at(person).alias("p"), F.regexp_replace(at(number), r"(?U)\s", "").alias("n"))
     start = F.col("n").rlike(REGISTRATION)
-    down = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     name = F.when(start & ~F.col("p").rlike(HEADER_WORDS), F.col("p"))
-    return everyone.select(*SHEET, "row", F.last(name, ignorenulls=True).over(down).alias("name"), F.last(F.when(start, F.col("n")), ignorenulls=True).over(down).alias("registration"))
+    found = wide.select(*SHEET, "row", name.alias("name"), F.when(start, F.col("n")).alias("registration"))
+    return carried_down(found, SHEET, ["row"], ["name", "registration"], rows_per_range)
 
 
 def assigned_dates(days: Column, label: Column) -> dict[str, Column]:
@@ -138,6 +145,7 @@ def assigned_dates(days: Column, label: Column) -> dict[str, Column]:
 
 def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: int) -> DataFrame:
     """One record for each row and block with any value: name, registration, raw values (a map), dates, qualification, licence."""
+    cells, found = stored(cells, "cells"), stored(found, "blocks")
     who = carried(cells, person, number).where("name is not null and registration is not null")
     own = filled(cells).join(found, SHEET).where("col between first and last")
     own = own.withColumn("head", F.when(F.col("value").rlike(DATE_LIKE), F.regexp_extract("value", r"^([^(（]*)", 1)))
@@ -200,6 +208,7 @@ def ingest_vertical(cells: DataFrame, person: int, number: int, columns: str | N
     """Sheets in blocks as roster rows: records of the blocks found (in a range of columns, if one is given), those in active
     print areas, with positions and raw values as JSON; then the rows of ingested tables."""
     some = cells if columns is None else cells.where(F.col("col").isin(person, number)).unionByName(in_columns(cells.where(~F.col("col").isin(person, number)), columns))
+    some = stored(some, "cells")
     out = vertical_records(some, blocks(column_scores(some), some), person, number)
     if areas is not None:
         out = areas_marked(out.withColumn("first_col", F.lit(person)), areas, keep_active_current=True).drop("area", "history", "first_col")

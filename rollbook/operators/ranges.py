@@ -42,38 +42,38 @@ def range_of(keys: list[str], types: list[str], cut: list[tuple]) -> Column:
 
 
 def ranged(df: DataFrame, group: list[str], order: list[str], rows_per_range: int) -> DataFrame:
-    """df, stored, with column _range: rows of a group that come later have no lower one."""
+    """df, stored, with _group, which tells groups apart though they hold nulls, and _range: rows of a group that come later
+    have no lower one."""
     rows, keys = stored(df, "ranges"), [*group, *order]
     types = dict(rows.dtypes)
-    return rows.withColumn("_range", range_of(keys, [types[k] for k in keys], bounds(rows, keys, rows_per_range)))
+    place = range_of(keys, [types[k] for k in keys], bounds(rows, keys, rows_per_range))
+    return rows.withColumns({"_group": F.struct(*group) if group else F.struct(F.lit(0).alias("all")), "_range": place})
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """df with place (from 1) and total, the row's number within its group and the group's rows, as long.
 
-    Groups hold no nulls. Order is ascending, nulls first, and its last column should differ between rows: among rows that
+    Nulls are one group. Order is ascending, nulls first, and its last column should differ between rows: among rows that
     agree in all of it, any may come first. An empty table gives none. df is evaluated once, when this is called.
     """
-    rows = ranged(df, group, order, rows_per_range)
-    keys = [*group, "_range"]
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    rows, keys = ranged(df, group, order, rows_per_range), ["_group", "_range"]
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_group")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     counts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("total"))
     here = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_here", here).join(counts, keys).withColumn("place", F.col("_before") + F.col("_here")).drop("_here", "_before", "_range")
+    return rows.withColumn("_here", here).join(counts, keys).withColumn("place", F.col("_before") + F.col("_here")).drop("_here", "_before", *keys)
 
 
 def carried_down(df: DataFrame, group: list[str], order: list[str], values: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """df with each of `values` filled by the last one in its group that is not null, at or before the row.
 
-    Groups hold no nulls; order is ascending and tells rows of a group apart. Each range has its own last values at hand,
+    Nulls are one group; order is ascending and tells rows of a group apart. Each range has its own last values at hand,
     and those of the ranges before it come from one row a range.
     """
-    rows = ranged(df, group, order, rows_per_range)
-    keys = [*group, "_range"]
+    rows, keys = ranged(df, group, order, rows_per_range), ["_group", "_range"]
     last = rows.groupBy(*keys).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_c{i}") for i, v in enumerate(values)))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*keys, *(F.last(f"_c{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(values))))
     down = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumns({f"_d{i}": F.last(v, ignorenulls=True).over(down) for i, v in enumerate(values)}).join(carry, keys)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.issue import pages
+from rollbook.operators.ranges import ROWS_PER_RANGE, ranked
 
 #: A row's SHA-256 is added up in pieces of so many hexadecimal digits, each below 2**60.
 PIECE = 15
@@ -36,10 +37,11 @@ def run_header(rows: DataFrame, run_id: str, **values: object) -> DataFrame:
     return counted.select(F.lit(run_id).alias("run_id"), *(F.lit(v).alias(k) for k, v in values.items()), "record_count", "content_hash")
 
 
-def run_items(rows: DataFrame, run_id: str, *order: str) -> DataFrame:
-    """(run_id, item, payload): numbered JSON rows. Numbers run within a sheet, so no window holds all rows."""
-    place = F.row_number().over(Window.partitionBy("print_sheet").orderBy(*order)) - 1
-    return rows.select(F.lit(run_id).alias("run_id"), "print_sheet", place.alias("item"), row_text(rows).alias("payload"))
+def run_items(rows: DataFrame, run_id: str, *order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(run_id, print_sheet, item, payload): JSON rows, numbered from 0 within a sheet of any size."""
+    own = rows.select("print_sheet", *(c for c in order if c != "print_sheet"), row_text(rows).alias("payload"))
+    placed = ranked(own, ["print_sheet"], list(order), rows_per_range)
+    return placed.select(F.lit(run_id).alias("run_id"), "print_sheet", (F.col("place") - 1).alias("item"), "payload")
 
 
 def run_rows(items: DataFrame, schema: str) -> DataFrame:

@@ -14,6 +14,7 @@ from rollbook.operators import roster as roster_ops
 from rollbook.plans import standins as s
 from rollbook.plans.standins import AS_OF, NOW, sql
 from rollbook.sources.files import spread
+from rollbook.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -620,9 +621,30 @@ def date_candidates(spark, d):
     return extraction.date_candidates(pages, normal=True)
 
 
-@query("SELECT 'AB-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS license_no, o_orderstatus AS qualification, CAST(o_orderdate AS DATE) AS issue_date, CAST(o_orderdate + to_months(24) AS DATE) AS expiry_date FROM orders")
+def certificate_texts(spark, d):
+    """Certificates whose days stand, by order key: under labels (0), in a period (1, 2), in a period and a label that
+    contradicts it (3), twice without a label (4), once (5), and under an issue label beside a period whose line wraps (6)."""
+    own = spread(s.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"))
+    key = F.col("o_orderkey").cast("string")
+    day = lambda months, form: F.date_format(F.add_months("o_orderdate", months), form)
+    a, b, c = day(0, "yyyy/MM/dd"), day(24, "yyyy/MM/dd"), day(36, "yyyy/MM/dd")
+    ways = [
+        F.concat(F.lit("交付日: "), a, F.lit("\n有効期限: "), b), F.concat(F.lit("有効期間: "), a, F.lit("〜"), b), F.concat(F.lit("有効 "), day(0, "yyyy年M月d日"), F.lit(" から "), day(24, "yyyy年M月d日")),
+        F.concat(F.lit("有効期限: "), c, F.lit("\n有効期間: "), day(0, "yyyy.M.d"), F.lit(" - "), day(24, "yyyy.M.d")), F.concat(F.lit("on "), b, F.lit(" and "), a), F.concat(F.lit("on "), a), F.concat(F.lit("交付日 "), c, F.lit("\n有効期間："), a, F.lit("～"), b, F.lit("\n"))]
+    text_ = F.concat_ws("\n", F.concat(F.lit("登録番号: AB-"), F.lpad(key, 6, "0")), F.concat(F.lit("資格種別: "), "o_orderstatus"), F.coalesce(*(F.when(F.col("o_orderkey") % 7 == i, way) for i, way in enumerate(ways))))
+    return own.select(key.alias("source"), text_.alias("text"))
+
+
+@query("""SELECT 'AB-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS license_no, o_orderstatus AS qualification, CAST(o_orderdate AS DATE) AS issue_date,
+ CAST(CASE WHEN o_orderkey % 7 = 5 THEN o_orderdate ELSE o_orderdate + to_months(24) END AS DATE) AS expiry_date FROM orders""")
 def certificate_records(spark, d):
-    return extraction.newest(extraction.certificates(certificate_pages(spark, d), normal=True)).select("license_no", "qualification", "issue_date", "expiry_date")
+    return extraction.newest(extraction.certificates(certificate_texts(spark, d))).select("license_no", "qualification", "issue_date", "expiry_date")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS source, CAST(NULL AS DATE) AS issue_date, CAST(o_orderdate + to_months(24) AS DATE) AS expiry_date FROM orders""")
+def certificate_expiries(spark, d):
+    """A first registration is no issue: with an expiry under its label, no other day counts."""
+    return extraction.certificates(certificate_pages(spark, d), normal=True).select("source", "issue_date", "expiry_date")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS source, '登録番号: XX-000000' || chr(10) || '登録年月日: 0000/00/00' || chr(10) || '有効期限: 0000/00/00 ' AS text FROM orders""")
@@ -659,14 +681,14 @@ def sheet_canonical(spark, d):
 
 @query("""SELECT sheet, 0 AS person_col, 1 AS number_col, 3 AS first, 4 AS last, 'JIS' AS label FROM (SELECT DISTINCT sheet FROM cells)""", "cells")
 def sheet_blocks(spark, d):
-    own = s.cells(spark, d)
+    own = stored(s.cells(spark, d), "cells")
     return layout.blocks(layout.column_scores(own), own).select("sheet", "person_col", "number_col", "first", "last", "label")
 
 
 @query("""SELECT sheet, row, max(value) FILTER (WHERE col = 0) AS name, max(value) FILTER (WHERE col = 1) AS license_no, max(value) FILTER (WHERE col = 3) AS qualification,
  strptime(max(value) FILTER (WHERE col = 4), '%Y/%m/%d')::DATE AS issue_date, CAST(strptime(max(value) FILTER (WHERE col = 4), '%Y/%m/%d')::DATE + to_months(12) AS DATE) AS expiry_date FROM cells WHERE row > 1 GROUP BY ALL""", "cells")
 def sheet_records(spark, d):
-    own = s.cells(spark, d)
+    own = stored(s.cells(spark, d), "cells")
     found = layout.blocks(layout.column_scores(own), own)
     return layout.vertical_records(own, found, 0, 1).select("sheet", "row", "name", "license_no", "qualification", "issue_date", "expiry_date")
 
@@ -833,6 +855,24 @@ def vertical_ingested(spark, d):
     return layout.ingest_vertical(s.cells(spark, d), 0, 1, "A:E").select("sheet", "row", "name", "license_no", "qualification", "issue_date", "values")
 
 
+# --- sheets that hold most of the rows ---------------------------------------------------------------------------
+
+@query("""SELECT license_no, print_sheet, CAST((row_number() OVER (PARTITION BY print_sheet ORDER BY expiry_date, row_seq) + 6) // 7 AS BIGINT) AS sheet_page, CAST((count(*) OVER (PARTITION BY print_sheet) + 6) // 7 AS BIGINT) AS sheet_total
+FROM (SELECT license_no, expiry_date, row_seq, CASE WHEN row_seq % 10 = 0 THEN 'few' ELSE 'most' END AS print_sheet FROM roster)""", "roster")
+def hot_sheet_pages(spark, d):
+    own = s.roster(spark, d).select("license_no", "expiry_date", "row_seq", F.when(F.col("row_seq") % 10 == 0, "few").otherwise("most").alias("print_sheet"))
+    return issue.pages(own, "expiry_date", "row_seq", rows=7, rows_per_range=1000).select("license_no", "print_sheet", "sheet_page", "sheet_total")
+
+
+@query("""SELECT row, last_value(name IGNORE NULLS) OVER down AS name, last_value(number IGNORE NULLS) OVER down AS registration FROM (
+ SELECT row, max(value) FILTER (WHERE col = 0 AND row % 6 = 0) AS name, max(value) FILTER (WHERE col = 1 AND row % 6 = 0) AS number FROM cells WHERE row > 1 AND sheet = '2-HIGH' GROUP BY 1)
+ WINDOW down AS (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "cells")
+def long_sheet_carried(spark, d):
+    """One long sheet in which names and numbers stand on every sixth row and go on below."""
+    own = s.cells(spark, d).where("sheet = '2-HIGH' and row > 1 and (col > 1 or row % 6 = 0)")
+    return layout.carried(own, 0, 1, rows_per_range=1000).select("row", "name", "registration")
+
+
 # --- lists as they are printed and shown -------------------------------------------------------------------------
 
 @query(f"""SELECT license_no, CAST((row_number() OVER (ORDER BY expiry_date, name, row_seq) + 34) // 35 AS BIGINT) AS page FROM roster WHERE {DAYS} <= 90 AND employee_id IN (SELECT employee_id FROM workers) AND (contains(lower(name), 'ab') OR contains(license_no, 'ab') OR contains(lower(qualification), 'ab'))""", "roster", "workers")

@@ -19,7 +19,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its work is done once, and rows read again are the same rows."""
+    """df as a table in the shared folder: its work is done once, and rows read again are the same rows. What this returned
+    before is given back as it is."""
+    if hasattr(df, "stored_at"):
+        return df
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out

@@ -231,6 +231,18 @@ def test_certificate_numbers_in_other_writings(spark):
     assert {r.source for r in extraction.certificates(pages).collect()} == {"0", "1", "2", "3", "4"}
 
 
+@pytest.mark.parametrize(("text", "issue", "expiry"), [
+    ("有効期間: 2024/04/01〜2027/03/31", D(2024, 4, 1), D(2027, 3, 31)), ("有効期間 2024/04/01 〜 2027/03/31 ", D(2024, 4, 1), D(2027, 3, 31)),
+    ("有効期間：R6.4.1～R9.3.31\n", D(2024, 4, 1), D(2027, 3, 31)), ("有効 令和6年4月1日から令和9年3月31日まで", D(2024, 4, 1), D(2027, 3, 31)), ("有効期間 2024-04-01-2027-03-31", D(2024, 4, 1), D(2027, 3, 31)),
+    ("有効期間 20240401 - 20270331", D(2024, 4, 1), D(2027, 3, 31)), ("有効期限: 2028/01/01\n有効期間: 2024/04/01〜2027/03/31", D(2024, 4, 1), D(2027, 3, 31)),
+    ("交付日: R6.09.01  有効期限: 2028/09/01\n有効期間: 2024/09/01〜2028/09/01", D(2024, 9, 1), D(2028, 9, 1)), ("交付日: 2023/01/01\n有効期間: 24.04.01〜27.03.31", D(2024, 4, 1), D(2027, 3, 31)),
+    ("交付日: 2024/04/01", D(2024, 4, 1), D(2024, 4, 1)), ("有効期限: 2027/03/31", None, D(2027, 3, 31)), ("on 2024/04/01", D(2024, 4, 1), D(2024, 4, 1)), ("2027/03/31 2024/04/01 2025/01/01", D(2024, 4, 1), D(2027, 3, 31)),
+    ("登録年月日: 2020/01/01\n有効期限: 2027/03/31", None, D(2027, 3, 31)), ("有効期間満了日 2027/03/31", None, D(2027, 3, 31)), ("有効期間: なし\n2024/04/01", D(2024, 4, 1), D(2024, 4, 1)), ("有効期間: 2027/13/31〜2027/14/31 no", None, None)])
+def test_certificate_days(spark, text, issue, expiry):
+    got = extraction.certificates(spark.createDataFrame([("f", "No. A-1\n" + text)], "source string, text string")).collect()
+    assert [(r.issue_date, r.expiry_date) for r in got] == [(issue, expiry)]
+
+
 def test_columns_by_letters(spark):
     assert [layout.column_number(x) for x in ("A", "c", "Z", "AA", "ZZ", "AAA")] == [0, 2, 25, 26, 701, 702]
     assert layout.column_range("H:C") == (2, 7) and layout.column_range(" b ") == (1, 1)
