@@ -42,6 +42,55 @@ def intervals(snapshots: DataFrame, attributes: tuple[str, ...] = (), named_only
     return runs.select("rec_key", "valid_from", "valid_to", *(F.col(f"_a.{c}").alias(c) for c in attributes))
 
 
+def numbered_dates(dates: DataFrame) -> DataFrame:
+    """(snapshot_date, n, next) of distinct snapshot dates, one row each."""
+    along = Window.orderBy("snapshot_date")
+    return dates.select("snapshot_date").distinct().select("snapshot_date", F.row_number().over(along).alias("n"), F.lead("snapshot_date").over(along).alias("next"))
+
+
+def advanced(stretches: DataFrame, known: DataFrame, incoming: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Stretches (rec_key, first, last, attributes) after more snapshots; a stretch is a run of snapshots in a row that hold
+    a key with the same attributes.
+
+    known: the snapshot dates so far. Snapshots may come in any order: a date between others cuts the stretches of keys that
+    it does not hold, and joins those on its two sides for keys that it does. A date that comes again adds its rows, and of
+    a key's attributes on a date the greatest count. A key's stretches depend on nothing but the key's own and the dates.
+    """
+    names = list(attributes)
+    new = incoming.select("snapshot_date").distinct().join(known.select("snapshot_date").distinct().withColumn("_old", F.lit(True)), "snapshot_date", "left")
+    dates = numbered_dates(known.select("snapshot_date").unionByName(incoming.select("snapshot_date"))).drop("next")
+    came = new.join(dates, "snapshot_date").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce("_old", F.lit(False)).alias("old")))).alias("_came"))  # a row, of the batch's dates
+    at = lambda c, n: dates.select(F.col("snapshot_date").alias(c), F.col("n").alias(n))
+    placed = stretches.join(at("first", "a"), "first").join(at("last", "b"), "last").crossJoin(F.broadcast(came))
+    own = F.filter("_came", lambda d: d["n"].between(F.col("a"), F.col("b")))
+    cut = placed.withColumn("_own", own)
+    between = F.transform(F.arrays_zip(F.concat(F.array(F.col("a")), F.transform("_own", lambda d: d["n"] + 1)).alias("a"), F.concat(F.transform("_own", lambda d: d["n"] - 1), F.array(F.col("b"))).alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    left = F.filter(between, lambda x: x["a"] <= x["b"])
+    held = F.transform(F.filter("_own", lambda d: d["old"]), lambda d: F.struct(d["n"].alias("a"), d["n"].alias("b")))
+    value = F.struct(*names) if names else F.struct(F.lit(0).alias("none"))
+    pieces = cut.select("rec_key", value.alias("v"), F.explode(F.concat(left, held)).alias("p")).select("rec_key", "v", "p.*")
+    points = incoming.join(dates, "snapshot_date").select("rec_key", value.alias("v"), F.col("n").alias("a"), F.col("n").alias("b"))
+    # a date's pieces of one key become one, with the greatest attributes
+    pieces = pieces.unionByName(points).groupBy("rec_key", "a", "b").agg(F.max("v").alias("v"))
+    along = Window.partitionBy("rec_key").orderBy("a")
+    starts = ~F.coalesce((F.lag("b").over(along) + 1 == F.col("a")) & F.lag("v").over(along).eqNullSafe(F.col("v")), F.lit(False))
+    runs = pieces.withColumn("_new", starts.cast("int")).withColumn("_run", F.sum("_new").over(along)).groupBy("rec_key", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("v").alias("v"))
+    out = runs.join(at("first", "a"), "a").join(at("last", "b"), "b")
+    return out.select("rec_key", "first", "last", *(F.col(f"v.{c}").alias(c) for c in names))
+
+
+def intervals_of(stretches: DataFrame, known: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(rec_key, valid_from, valid_to, attributes), as intervals() has them, of stretches and the snapshot dates."""
+    dates = numbered_dates(known)
+    at = lambda c, n: dates.select(F.col("snapshot_date").alias(c), F.col("n").alias(n), *([F.col("next").alias("_next")] if c == "last" else []))
+    placed = stretches.join(at("first", "a"), "first").join(at("last", "b"), "last")
+    along = Window.partitionBy("rec_key").orderBy("a")
+    starts = (~F.coalesce(F.lag("b").over(along) + 1 == F.col("a"), F.lit(False))).cast("int")
+    runs = placed.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(along)).groupBy("rec_key", "_run").agg(
+        F.min("first").alias("valid_from"), F.date_sub(F.max_by("_next", "b"), 1).alias("valid_to"), *(F.max_by(c, "b").alias(c) for c in attributes))
+    return runs.drop("_run")
+
+
 def as_of(runs: DataFrame, date: str) -> DataFrame:
     day = F.lit(date).cast("date")
     return runs.where((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day)))

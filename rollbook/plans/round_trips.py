@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.operators import runs
+from rollbook.operators import runs, state
 from rollbook.operators.due import calendar_lines
 from rollbook.plans import standins as s
 from rollbook.plans.queries import AS_OF, INTERVALS, STAR, due_rows, query, star_tables
-from rollbook.sources import files
+from rollbook.sources import buckets, files
 from rollbook.streaming import feeds
 
 
@@ -87,16 +87,41 @@ def due_feed(spark, d):
     return spark.read.parquet(f"{path}/out").select("license_no", "days_to_expiry")
 
 
-@query(f", {INTERVALS} SELECT rec_key, valid_from, valid_to FROM intervals", "snapshots")
+@query(f", {INTERVALS} SELECT rec_key, valid_from, valid_to, category FROM intervals", "snapshots")
 def snapshot_feed(spark, d):
-    """The days of the table arrive in two parts, the later days first."""
+    """The days of the table arrive in three parts: the later days, every second of the earlier ones, then what lies between."""
     path, own = files.shared_folder(spark, "feed"), s.snapshots(spark, d)
-    late = F.col("snapshot_date") >= F.lit("2024-01-15").cast("date")
+    early, even = F.col("snapshot_date") < F.lit("2024-01-15").cast("date"), F.day("snapshot_date") % 2 == 0
 
     def changed(runs_, number):
         runs_.write.mode("overwrite").parquet(f"{path}/intervals")
 
-    for part in (late, ~late):
+    for part in (~early, early & even, early & ~even):
         own.where(part).write.mode("append").parquet(f"{path}/inbox")
-        feeds.snapshot_feed(spark, f"{path}/inbox", own.schema, f"{path}/store", f"{path}/checkpoint", changed).awaitTermination()
-    return spark.read.parquet(f"{path}/intervals").select("rec_key", "valid_from", "valid_to")
+        feeds.snapshot_feed(spark, f"{path}/inbox", own.schema, f"{path}/store", f"{path}/checkpoint", changed, ("category",), 8).awaitTermination()
+    return spark.read.parquet(f"{path}/intervals").select("rec_key", "valid_from", "valid_to", "category")
+
+
+@query("""SELECT person_key, CASE WHEN c.person_key2 IS NOT NULL THEN c.include ELSE p.include END AS include, coalesce(c.notes, p.notes) AS notes
+FROM (SELECT person_key, include, 'old' AS notes FROM people_flags) p FULL JOIN (SELECT person_key, person_key AS person_key2, arg_max(include, seq) AS include, arg_max(notes, seq) FILTER (WHERE notes IS NOT NULL) AS notes, arg_max(deleted, seq) AS gone FROM changes GROUP BY 1) c USING (person_key)
+WHERE NOT coalesce(gone, false)""", "changes", "people_flags")
+def state_versions(spark, d):
+    """The filters of people as versions in buckets: the first, then a log that rewrites the buckets of its keys."""
+    path, old = files.shared_folder(spark, "state"), s.flags(spark, d)["people"].select("person_key", "include", F.lit("old").alias("notes"))
+    keys, rules = state.TABLES["person_filter"]
+    buckets.write(old, path, keys, 0, buckets=8)
+    buckets.merged(spark, path, keys, 0, 1, s.changes(spark, d), old.schema, lambda rows, log: state.applied(rows, log, keys, rules, "deleted"), 8)
+    return buckets.read(spark, path, 1, old.schema)
+
+
+@query("""SELECT person_key, CASE WHEN person_key LIKE '%7' THEN 'changed' ELSE 'removed' END AS change FROM people_flags WHERE person_key LIKE '%7' OR person_key LIKE '%13'
+UNION ALL SELECT DISTINCT 'new ' || person_key, 'added' FROM people_flags WHERE person_key LIKE '%27'""", "people_flags")
+def state_diff(spark, d):
+    """What differs between two versions, of which only the buckets with different hashes are read."""
+    path, old = files.shared_folder(spark, "state"), s.flags(spark, d)["people"].select("person_key", "include", F.lit("old").alias("notes"))
+    log = old.where("person_key like '%7' or person_key like '%13'").select("person_key", F.lit(None).cast("boolean").alias("include"), F.lit("new").alias("notes"), F.lit(1).alias("seq"), F.col("person_key").like("%13").alias("deleted"))
+    log = log.unionByName(old.where("person_key like '%27'").select(F.concat(F.lit("new "), "person_key").alias("person_key"), "include", "notes", F.lit(1).alias("seq"), F.lit(False).alias("deleted")))
+    keys, rules = state.TABLES["person_filter"]
+    buckets.write(old, path, keys, 0, buckets=256)
+    buckets.merged(spark, path, keys, 0, 1, log, old.schema, lambda rows, new: state.applied(rows, new, keys, rules, "deleted"), 256)
+    return buckets.diff(spark, path, keys, 0, 1, old.schema)

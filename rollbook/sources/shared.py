@@ -28,3 +28,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
