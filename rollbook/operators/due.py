@@ -90,11 +90,12 @@ def printed(roster: DataFrame, as_of: Column | str, born: DataFrame | None = Non
 
 
 def calendar_lines(df: DataFrame, expiry: str = "expiry_date", summary: str = "{name} {license_no}") -> DataFrame:
-    """One all-day event (text in column value) for each row with an expiry date."""
+    """One all-day event (text in column value) for each row with an expiry date; it ends on the day after, as the standard
+    has it, and blocks no time."""
     text: list[Column] = []
     for i, part in enumerate(summary.replace("}", "{").split("{")):
         text.append(F.coalesce(F.col(part).cast("string"), F.lit("")) if i % 2 else F.lit(part))
     day = F.date_format(expiry, "yyyyMMdd")
     uid = F.sha1(F.concat_ws("-", "name", day, "license_no"))
-    lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("DTSTART;VALUE=DATE:"), day), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(expiry, 1), "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), ics_escape(F.concat(*text))), F.lit("END:VEVENT")]
+    lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("DTSTART;VALUE=DATE:"), day), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(expiry, 1), "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), ics_escape(F.concat(*text))), F.lit("TRANSP:TRANSPARENT"), F.lit("END:VEVENT")]
     return df.where(F.col(expiry).isNotNull()).select(F.concat_ws("\r\n", *lines).alias("value"))

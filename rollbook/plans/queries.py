@@ -97,7 +97,7 @@ def due_report(spark, d):
 
 
 @query("""SELECT concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || sha1(concat_ws('-', name, strftime(expiry_date, '%Y%m%d'), license_no)),
- 'DTSTART;VALUE=DATE:' || strftime(expiry_date, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(expiry_date + 1, '%Y%m%d'), 'SUMMARY:' || name || '\\, ' || license_no, 'END:VEVENT') AS value FROM roster""", "roster")
+ 'DTSTART;VALUE=DATE:' || strftime(expiry_date, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(expiry_date + 1, '%Y%m%d'), 'SUMMARY:' || name || '\\, ' || license_no, 'TRANSP:TRANSPARENT', 'END:VEVENT') AS value FROM roster""", "roster")
 def due_calendar(spark, d):
     return due_ops.calendar_lines(s.roster(spark, d), summary="{name}, {license_no}")
 
@@ -429,6 +429,12 @@ def state_as_of_every_date(spark, d):
     return versioned.as_of_dates(interval_rows(spark, d), days).groupBy("as_of").agg(F.count("*").alias("n"))
 
 
+@query(f", {INTERVALS} SELECT snapshot_date AS as_of, rec_key, category FROM intervals JOIN dates ON valid_from <= snapshot_date AND (valid_to IS NULL OR valid_to >= snapshot_date)", "snapshots")
+def state_rows_as_of_every_date(spark, d):
+    days = s.snapshots(spark, d).select(F.col("snapshot_date").alias("as_of")).distinct()
+    return versioned.as_of_dates(interval_rows(spark, d), days).select("as_of", "rec_key", "category")
+
+
 def day(spark, d, date):
     return s.snapshots(spark, d).where(F.col("snapshot_date") == F.lit(date).cast("date"))
 

@@ -8,7 +8,7 @@ from rollbook.operators import runs, state
 from rollbook.operators.due import calendar_lines
 from rollbook.plans import standins as s
 from rollbook.plans.queries import AS_OF, INTERVALS, STAR, due_rows, query, star_tables
-from rollbook.sources import buckets, files
+from rollbook.sources import buckets, files, tolerant
 from rollbook.streaming import feeds
 
 
@@ -69,6 +69,35 @@ def calendar_files(spark, d):
     return lines.agg(F.count_if(F.col("value") == "BEGIN:VEVENT").alias("events"))
 
 
+@query(""", lines AS (SELECT unnest(['BEGIN:VEVENT', 'UID:' || sha1(concat_ws('-', name, strftime(expiry_date, '%Y%m%d'), license_no)), 'DTSTART;VALUE=DATE:' || strftime(expiry_date, '%Y%m%d'),
+ 'DTEND;VALUE=DATE:' || strftime(expiry_date + 1, '%Y%m%d'), 'SUMMARY:' || name || ' ' || license_no, 'TRANSP:TRANSPARENT', 'END:VEVENT']) AS value FROM roster WHERE expiry_date IS NOT NULL),
+ends AS (SELECT unnest(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//rollbook//JP', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH', 'END:VCALENDAR']) AS value FROM range(5))
+SELECT value, count(*) AS n FROM (SELECT * FROM lines UNION ALL SELECT * FROM ends) GROUP BY 1""", "roster")
+def calendar_contents(spark, d):
+    """Every line of five calendars, and how often it is there."""
+    path = files.shared_folder(spark, "calendar")
+    files.write_calendar(calendar_lines(s.roster(spark, d)), path, 5)
+    return spark.read.option("lineSep", "\r\n").text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT license_no, CASE row_seq % 4 WHEN 3 THEN name || chr(10) || '\"x\", y' ELSE name || chr(10) || chr(10) || '氏,名' END AS name, CASE WHEN row_seq % 4 <> 1 THEN strftime(expiry_date, '%Y-%m-%d') END AS expiry_date FROM roster", "roster")
+def tolerant_files(spark, d):
+    """A quarter each in UTF-8, UTF-8 with its mark, CP932 and UTF-16, with line breaks and quotes in names; columns stand in
+    different orders, and one kind of file lacks one of them."""
+    path, own = files.shared_folder(spark, "csv"), s.roster(spark, d)
+    odd = F.when(F.col("row_seq") % 4 == 3, F.concat("name", F.lit('\n"x", y'))).otherwise(F.concat("name", F.lit("\n\n氏,名")))
+    full = own.select("row_seq", F.col("license_no").alias("番号"), odd.alias("氏名"), F.date_format("expiry_date", "yyyy-MM-dd").alias("期限"))
+    for i, (encoding, columns) in enumerate((("UTF-8", ["番号", "氏名", "期限"]), ("UTF-8", ["氏名", "番号"]), ("windows-31j", ["期限", "氏名", "番号"]), ("UTF-16", ["氏名", "期限", "番号"]))):
+        part = full.where(F.col("row_seq") % 4 == i).select(columns)
+        part = part.withColumnRenamed(columns[0], "\ufeff" + columns[0]) if i == 1 else part
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # so that the writer knows all of them
+        try:
+            part.write.option("escape", '"').csv(f"{path}/{i}", header=True, encoding=encoding)
+        finally:
+            spark.conf.unset("spark.sql.legacy.javaCharsets")
+    return tolerant.read_csv(spark, f"{path}/*", ["番号", "氏名", "期限"]).select(F.col("番号").alias("license_no"), F.col("氏名").alias("name"), F.col("期限").alias("expiry_date"))
+
+
 @query("SELECT CAST(sum(strlen(concat_ws(',', name, license_no, qualification, issue_date, expiry_date)) + 1) AS BIGINT) AS bytes, CAST(2 AS BIGINT) AS files FROM roster", "roster")
 def source_hashes(spark, d):
     """A list that is written twice, as one file each, has one hash."""

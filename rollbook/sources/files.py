@@ -15,6 +15,8 @@ from rollbook.sources.shared import shared_folder  # noqa: F401
 
 # Encodings to try, in this order.
 ENCODINGS = ("utf-8-sig", "cp932", "shift_jis")
+# The first lines and the last of a calendar.
+CALENDAR_HEAD, CALENDAR_END = ("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//rollbook//JP", "CALSCALE:GREGORIAN", "METHOD:PUBLISH"), "END:VCALENDAR"
 AS_OF = SNAPSHOT
 
 
@@ -89,9 +91,18 @@ def write_export(df: DataFrame, path: str, labels: dict[str, str] = LABELS) -> N
     labelled(df).write.mode("overwrite").csv(path, header=True)
 
 
-def write_calendar(events: DataFrame, path: str) -> None:
-    """Events (column value) as calendar text, a file for each partition; each file is wrapped by whoever serves it."""
-    events.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+def calendars(events: DataFrame, n: int = 1) -> DataFrame:
+    """Events (column value) in n whole calendars, dealt out by their texts: lines (column value) in order within each
+    partition, which holds one calendar after another. n grows with the events; a calendar without any is valid too."""
+    deal = events.where("value is not null").select(F.pmod(F.xxhash64("value"), F.lit(n)).cast("int").alias("_p"), F.lit(1).alias("_o"), "value")
+    frame = F.explode(F.array(F.struct(F.lit(0).alias("_o"), F.lit("\r\n".join(CALENDAR_HEAD)).alias("value")), F.struct(F.lit(2).alias("_o"), F.lit(CALENDAR_END).alias("value"))))
+    ends = events.sparkSession.range(n).select(F.col("id").cast("int").alias("_p"), frame.alias("x")).select("_p", "x.*")
+    return deal.unionByName(ends).repartition(n, "_p").sortWithinPartitions("_p", "_o", "value").select("value")
+
+
+def write_calendar(events: DataFrame, path: str, n: int = 1) -> None:
+    """Events as n calendars; each file that is written holds whole ones."""
+    calendars(events, n).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def append_by(df: DataFrame, path: str, *partition: str) -> None:
