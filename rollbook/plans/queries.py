@@ -732,14 +732,17 @@ def person_history(spark, d):
     return versioned.history(runs_, people, "user 7", "2024-01-20").select("rec_key", "valid_from", "valid_to")
 
 
-@query("SELECT 'name' AS column_name FROM roster LIMIT 1", "roster")
+@query(""", texts AS (SELECT 'license_no' AS c, license_no AS v FROM roster UNION ALL SELECT 'category', category FROM roster UNION ALL SELECT 'name', translate(name, 'abcdefghij', 'klmnopqrst') FROM roster)
+SELECT c AS column_name FROM texts WHERE trim(v) <> '' GROUP BY c HAVING count(DISTINCT v) >= 20 AND count(*) FILTER (WHERE regexp_matches(v, '[0-9]')) <= 0.1 * count(*) AND count(*) FILTER (WHERE contains(v, '-')) <= 0.2 * count(*)
+ AND count(*) FILTER (WHERE regexp_matches(v, '[a-zA-Z]')) >= 0.7 * count(*)""", "roster")
 def name_columns(spark, d):
     own = s.roster(spark, d).select("license_no", "category", F.translate("name", "abcdefghij", "klmnopqrst").alias("name"))
     found = identity.name_columns(own)
     return s.table(spark, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, found))).alias("column_name"))
 
 
-@query("SELECT 'l_shipdate' AS expiry_date, 'o_orderdate' AS first_issue_date FROM lineitem LIMIT 1")
+@query("""SELECT arg_max(c, median) AS expiry_date, arg_min(c, median) AS first_issue_date FROM (
+ SELECT c, quantile_disc(v, 0.5) AS median FROM (SELECT 'l_shipdate' AS c, CAST(l_shipdate AS DATE) + 7 AS v FROM lineitem UNION ALL SELECT 'o_orderdate', CAST(l_shipdate AS DATE) FROM lineitem) GROUP BY c HAVING count(v) >= greatest(3, 0.2 * count(*)))""")
 def guessed_dates(spark, d):
     # line items are shipped after 1995 as orders are made; a week later than that is the later column
     own = s.table(spark, d, "lineitem").select(F.date_add("l_shipdate", 7).alias("l_shipdate"), F.col("l_shipdate").cast("date").alias("o_orderdate"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.operators import runs, state
+from rollbook.operators import profiles, runs, search, state
 from rollbook.operators.due import calendar_lines
 from rollbook.plans import standins as s
-from rollbook.plans.queries import AS_OF, INTERVALS, STAR, due_rows, query, star_tables
+from rollbook.plans.queries import AS_OF, GUESSED, INTERVALS, STAR, due_rows, query, star_tables
 from rollbook.sources import buckets, files, tolerant
 from rollbook.streaming import feeds
 
@@ -116,6 +116,50 @@ def due_feed(spark, d):
     return spark.read.parquet(f"{path}/out").select("license_no", "days_to_expiry")
 
 
+@query("SELECT license_no, days_to_expiry FROM due LEFT JOIN people_flags USING (person_key) WHERE coalesce(include, true) OR row_seq % 2 = 0", "due", "people_flags")
+def due_feed_redelivered(spark, d):
+    """Half of the roster comes before anyone is excluded; then all of it, the other half for the first time."""
+    path, own, flags = files.shared_folder(spark, "feed"), s.roster(spark, d), s.flags(spark, d)
+    nobody = {k: v.where("false") for k, v in flags.items()}
+    for part, known in ((own.where("row_seq % 2 = 0"), nobody), (own, nobody | {"people": flags["people"]})):
+        part.write.mode("append").parquet(f"{path}/inbox")
+        feeds.due_feed(spark, f"{path}/inbox", own.schema, f"{path}/out", f"{path}/checkpoint", AS_OF, flags=lambda known=known: known).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("license_no", "days_to_expiry")
+
+
+@query("SELECT license_no FROM roster WHERE contains(lower(name), 'aab') OR contains(license_no, 'aab') OR contains(lower(qualification), 'aab')", "roster")
+def indexed_search(spark, d):
+    path, own = files.shared_folder(spark, "index"), s.roster(spark, d).select("row_seq", "name", "license_no", "qualification")
+    search.write_index(own, "row_seq", path, parts=8)
+    return search.found(spark, path, own, "row_seq", "AAb", 8).select("license_no")
+
+
+LONG = """texts AS (SELECT 'license_no' AS c, license_no AS v, row_seq FROM roster UNION ALL SELECT 'category', category, row_seq FROM roster UNION ALL SELECT 'name', translate(name, 'abcdefghij', 'klmnopqrst'), row_seq FROM roster),
+chosen AS (SELECT c FROM texts WHERE trim(v) <> '' GROUP BY c HAVING count(DISTINCT v) >= 20 AND count(*) FILTER (WHERE regexp_matches(v, '[0-9]')) <= 0.1 * count(*) AND count(*) FILTER (WHERE contains(v, '-')) <= 0.2 * count(*) AND count(*) FILTER (WHERE regexp_matches(v, '[a-zA-Z]')) >= 0.7 * count(*))"""
+
+
+@query(f", {LONG} SELECT c AS column_name FROM chosen", "roster")
+def profiled_name_columns(spark, d):
+    """Profiles of three parts of the table, stored and merged."""
+    path, own = files.shared_folder(spark, "profiles"), s.roster(spark, d).select("row_seq", "license_no", "category", F.translate("name", "abcdefghij", "klmnopqrst").alias("name"))
+    for n in range(3):
+        profiles.profile(own.where(F.col("row_seq") % 3 == n), ("license_no", "category", "name")).write.parquet(f"{path}/part={n}")
+    found = profiles.name_columns(profiles.merged(spark.read.parquet(path)), own.drop("row_seq"))
+    return s.table(spark, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, found))).alias("column_name"))
+
+
+@query(f""", c AS ({" UNION ALL ".join(f"SELECT '{k}' AS col, {v} AS day FROM roster" for k, v in GUESSED.items())}),
+good AS (SELECT col, quantile_disc(day, 0.5) AS median FROM c GROUP BY 1 HAVING count(day) >= greatest(3, 0.2 * count(*)))
+SELECT arg_min(col, median) AS first_issue_date, arg_max(col, median) AS issue_date, arg_max(col, median) AS expiry_date FROM good""", "roster")
+def profiled_dates(spark, d):
+    own = s.roster(spark, d).select("row_seq", F.col("issue_date").alias("a"), F.when(F.col("row_seq") % 10 == 0, F.col("expiry_date")).alias("b"), F.when(F.col("row_seq") % 2 == 0, F.date_add("issue_date", 400)).alias("c"))
+    path = files.shared_folder(spark, "profiles")
+    for n in range(3):
+        profiles.profile(own.where(F.col("row_seq") % 3 == n), days=("a", "b", "c")).write.parquet(f"{path}/part={n}")
+    found = profiles.guessed_dates(profiles.merged(spark.read.parquet(path)), own)
+    return s.table(spark, d, "region").limit(1).select(*(F.lit(v).alias(k) for k, v in found.items()))
+
+
 @query(f", {INTERVALS} SELECT rec_key, valid_from, valid_to, category FROM intervals", "snapshots")
 def snapshot_feed(spark, d):
     """The days of the table arrive in three parts: the later days, every second of the earlier ones, then what lies between."""

@@ -11,17 +11,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollbook.functions.dates import DueConfig
 from rollbook.operators.due import due
+from rollbook.operators.issue import filtered
 from rollbook.operators.versioned import advanced, intervals_of
 from rollbook.sources import buckets
 
 
-def due_feed(spark: SparkSession, inbox: str, schema: T.StructType, out: str, checkpoint: str, as_of: str, config: DueConfig = DueConfig()) -> StreamingQuery:
-    """Whenever it is started, turns the roster files that have come since into due rows, appended by batch."""
+def due_feed(spark: SparkSession, inbox: str, schema: T.StructType, out: str, checkpoint: str, as_of: str, config: DueConfig = DueConfig(), keep: str = "90 days", flags: Callable[[], dict[str, DataFrame]] | None = None) -> StreamingQuery:
+    """Whenever it is started, turns the roster files that have come since into due rows, appended by batch.
 
+    A row that came before, in the same file or one delivered up to `keep` earlier (by the files' times), is not due again;
+    after that its state is given up. flags gives the tables of excluded people, licences, sheets and memberships, and is asked
+    anew for every batch, so that changes to them count from the next one on. A batch that is retried replaces itself.
+    """
     def batch(df: DataFrame, number: int) -> None:
-        due(df, as_of, config).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is retried replaces itself
+        rows = due(df, as_of, config)
+        rows = rows if flags is None else filtered(rows, **flags())
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return spark.readStream.schema(schema).parquet(inbox).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    arrived = spark.readStream.schema(schema).parquet(inbox).select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
+    fresh = arrived.withColumn("_row", buckets.row_hash(schema.names)).withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(["_row"]).drop("_row", "_arrived")
+    return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def snapshot_feed(spark: SparkSession, inbox: str, schema: T.StructType, store: str, checkpoint: str, on_change: Callable[[DataFrame, int], None], attributes: tuple[str, ...] = (), count: int = buckets.BUCKETS) -> StreamingQuery:
