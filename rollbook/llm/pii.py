@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from rollbook.llm.bilstm_crf import KINDS, WIDTH, Tagger, char_ids, labelled, luhn
 
 STRIDE, REACH = WIDTH // 2, 32
-#: A word is followed so far to its beginning; its end is followed to the last character.
-FAR = 256
 WORD = re.compile(r"\S*+")
 #: Rows that a task holds as Python texts at a time.
 ROWS = 512
@@ -85,7 +83,7 @@ def windows(text: str) -> list[tuple[int, int]]:
         if out and a <= out[-1][1]:
             a = out.pop()[0]
         elif a:
-            a -= WORD.match(text[max(out[-1][1] if out else 0, a - FAR):a][::-1]).end()
+            a -= WORD.match(text[out[-1][1] if out else 0:a][::-1]).end()  # what lies between two windows is looked at once
         out.append((a, WORD.match(text, b).end()))
     cut = []
     for lo, hi in out:
@@ -138,13 +136,31 @@ def reconciled(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def widened(text: str, kind: str, start: int, end: int, sure: float) -> tuple[str, int, int, float]:
-    """The span without blanks at its ends. An address that begins or ends inside a run of its characters takes in the run."""
+def run_before(text: str, at: int) -> int:
+    """Where the run of an address's characters that ends at a place begins; the look back doubles until it is there."""
+    size = 64
+    while True:
+        low = max(0, at - size)
+        begin = at - LOCAL.match(text[low:at][::-1]).end()
+        if begin > low or not low:
+            return begin
+        size *= 2
+
+
+def widened(text: str, kind: str, start: int, end: int, sure: float, runs: dict[str, tuple[int, int]] | None = None) -> tuple[str, int, int, float]:
+    """The span without blanks at its ends. An address that begins or ends inside a run of its characters takes in the run.
+
+    runs has the last run looked at before and behind a span, so that many spans in one long run cost no more than one.
+    """
     start, end = end - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())
     if kind != "email" or start >= end:
         return kind, start, end, sure
-    begin = start - LOCAL.match(text[max(0, start - FAR):start][::-1]).end()
-    return kind, begin, HOST_END.match(text, end).end(), sure
+    runs = {} if runs is None else runs
+    if not runs.get("before", (1, 0))[0] <= start <= runs.get("before", (1, 0))[1]:
+        runs["before"] = (run_before(text, start), LOCAL.match(text, start).end())
+    if not runs.get("behind", (1, 0))[0] <= end <= runs.get("behind", (1, 0))[1]:
+        runs["behind"] = (end, HOST_END.match(text, end).end())
+    return kind, runs["before"][0], runs["behind"][1], sure
 
 
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
@@ -160,7 +176,13 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
         found[n] += [(kind, a + start, a + end, sure, start == 0 and a > 0, end == b - a and b < len(texts[n])) for kind, start, end, sure in spans]
     out = []
     for text, text_found, known in zip(texts, found, base, strict=True):
-        spans = reconciled([s for s in (widened(text, *s) for s in joined(text_found)) if s[3] >= SURE and valid(s[0], text[s[1]:s[2]])])
+        # of an address that an edge cuts the rest is its run, if the part at hand has what is around its @
+        cut = [s[:4] for s in text_found if s[0] == "email" and (s[4] or s[5])]
+        runs: dict[str, tuple[int, int]] = {}
+        best: dict[tuple[str, int, int], float] = {}
+        for kind, start, end, sure in (widened(text, *s, runs) for s in joined(text_found) + cut if s[3] >= SURE):
+            best[kind, start, end] = max(sure, best.get((kind, start, end), 0.0))
+        spans = reconciled([(*s, sure) for s, sure in best.items() if valid(s[0], text[s[1]:s[2]])])
         out.append([s for s in spans if all(s[2] <= a or s[1] >= b for _, a, b in known)])
     return out
 

@@ -128,6 +128,37 @@ def test_spans_planted_in_documents_are_found(spark, sf):
     assert sum(span in got for (_, span), got in zip(planted, after, strict=True)) > 0.85 * len(texts)
 
 
+def test_long_spans_are_found_whole_at_any_place(spark, sf):
+    """Addresses of up to 200 characters, longer than a window, in the given documents: nine tenths of every class of length."""
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 100").orderBy("doc_id").collect()]
+    word = lambda: "".join(rng.choices("etaoinshrdlucmfwyp", k=rng.randint(3, 11)))
+    planted = []
+    for _ in range(500):
+        local, host, size = word(), word(), rng.choice([20, 50, 80, 120, 180])
+        while len(local) + len(host) < size:
+            local, host = (local + rng.choice("._") + word(), host) if rng.random() < 0.35 else (local, host + "." + word())
+        text, piece = rng.choice(texts), f"{local} @ {host}.edu"
+        at = text.find(" ", rng.randrange(len(text) - 50)) + 1
+        planted.append((text[:at] + piece + " " + text[at:], at, at + len(piece)))
+    got = pii.added_spans([t for t, _, _ in planted], [pii.base_spans(t) for t, _, _ in planted], pii.trained())
+    classes = {}
+    for (_, a, b), spans in zip(planted, got, strict=True):
+        classes.setdefault(min((b - a) // 40, 4), []).append(("email", a, b) in spans)
+    assert len(classes) == 5 and all(sum(x) >= 0.9 * len(x) for x in classes.values())
+
+
+def test_long_runs_are_followed_to_their_ends():
+    run = "ab." * 50_000
+    text = f"x {run}a @ {run}com y"
+    began = time.time()
+    assert pii.widened(text, "email", len(text) // 2 - 10, len(text) // 2 + 20, 1.0) == ("email", 2, len(text) - 2, 1.0)
+    cut = pii.windows(text)
+    assert cut[0][0] <= 2 and cut[-1][1] >= len(text) - 2 and all(b > c for (_, b), (c, _) in zip(cut, cut[1:], strict=False))
+    pii.added_spans([text], [pii.base_spans(text)], pii.trained())
+    assert time.time() - began < 60
+
+
 def test_reconciling_takes_the_best_set():
     assert pii.reconciled([("ip", 0, 5, 0.9), ("ip", 0, 5, 0.95), ("card", 3, 20, 0.99), ("phone", 20, 25, 0.9)]) == [("card", 3, 20), ("phone", 20, 25)]
     assert pii.reconciled([]) == []
