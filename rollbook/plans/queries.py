@@ -864,6 +864,14 @@ def vertical_ingested(spark, d):
     return layout.ingest_vertical(s.cells(spark, d), 0, 1, "A:E").select("sheet", "row", "name", "license_no", "qualification", "issue_date", "values")
 
 
+@query("SELECT license_no, name AS person, qualification AS kind FROM roster", "roster")
+def first_columns(spark, d):
+    """Of several names that a column may have, the first that the table has."""
+    own = s.roster(spark, d)
+    named = {"person": ("氏名", "name", "license_no"), "kind": ("資格", "qualification", "category")}
+    return own.select("license_no", *(F.col(schema.first_present(own, names)).alias(c) for c, names in named.items()))
+
+
 # --- sheets that hold most of the rows ---------------------------------------------------------------------------
 
 @query("""SELECT license_no, print_sheet, CAST((row_number() OVER (PARTITION BY print_sheet ORDER BY expiry_date, row_seq) + 6) // 7 AS BIGINT) AS sheet_page, CAST((count(*) OVER (PARTITION BY print_sheet) + 6) // 7 AS BIGINT) AS sheet_total
