@@ -74,27 +74,28 @@ def signed_day(x: Column) -> Column:
 def jp_date(c: Column | str) -> Column:
     """The day a text holds: the first one with a full year, else the first of an era, else the first with a short year, else
     what its general form says. A day that no calendar has is null."""
-    text = col(c).cast("string")
-
-    def read(found: Column) -> Column:
+    def read(text: Column, found: Column) -> Column:
         days = F.filter(F.transform(found, lambda x, i: once(signed_day(x), lambda d: F.struct(d["form"].alias("form"), i.alias("i"), d["day"].alias("day")))), lambda d: d["form"].isNotNull())
         return once(F.array_min(days), lambda d: F.when(d.isNotNull(), d["day"]).otherwise(general_date(text)))
 
-    return F.when(F.length(text) > 0, once(F.regexp_extract_all(text, F.lit(SIGNED_DAY), F.lit(0)), read))
+    return once(col(c).cast("string"), lambda text: F.when(F.length(text) > 0, once(F.regexp_extract_all(text, F.lit(SIGNED_DAY), F.lit(0)), lambda found: read(text, found))))
+
+
+_UNTIL = f"[{UNTIL.replace('-', chr(92) + '-')}]"
 
 
-def any_form(c: Column) -> Column:
-    """A day in signs or in its general form."""
-    return once(c, lambda x: F.coalesce(jp_date(x), general_date(x)))
+def holds_period(c: Column) -> Column:
+    """Whether two days stand in a text with a sign for "until" near between them."""
+    return c.rlike(rf"(?:{ANY_DAY})[^\n]{{0,{GAP}}}?{_UNTIL}[^\n]{{0,{GAP}}}?(?:{ANY_DAY})")
 
 
 def period(c: Column) -> Column:
     """(start, end) of the first two days in a text with little more than a sign for "until" between them; null without."""
     def read(days: Column, gaps: Column) -> Column:
         between = lambda i: F.element_at(gaps, i + 1)
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(days) - 1, F.lit(1))), lambda i: (i < F.size(days)) & (F.length(between(i)) <= GAP) & between(i).rlike(f"[{UNTIL.replace('-', chr(92) + '-')}]") & ~between(i).contains("\n"))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(days) - 1, F.lit(1))), lambda i: (i < F.size(days)) & (F.length(between(i)) <= GAP) & between(i).rlike(_UNTIL) & ~between(i).contains("\n"))
         at = F.try_element_at(places, F.lit(1))
-        return once(at, lambda i: F.when(i.isNotNull(), F.struct(any_form(F.element_at(days, i)).alias("start"), any_form(F.element_at(days, i + 1)).alias("end"))))
+        return once(at, lambda i: F.when(i.isNotNull(), F.struct(jp_date(F.element_at(days, i)).alias("start"), jp_date(F.element_at(days, i + 1)).alias("end"))))
 
     return once(F.struct(F.regexp_extract_all(c, F.lit(ANY_DAY), F.lit(0)).alias("days"), F.split(c, ANY_DAY).alias("gaps")), lambda x: read(x["days"], x["gaps"]))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.dates import general_date, jp_date, period
+from rollbook.functions.dates import holds_period, jp_date, period
 from rollbook.functions.schema import worked_out
 from rollbook.functions.text import clean, nfkc, once, redact
 from rollbook.operators.identity import least_row
@@ -69,10 +69,15 @@ def sections(c: Column, labels: Sequence[str]) -> Column:
     return F.transform(parts, lambda p: F.struct(F.substring_index(p, THEN, 1).alias("label"), F.substring_index(p, THEN, -1).alias("value")))
 
 
-def read_first(parts: Column, labels: Sequence[str], read: Callable[[Column], Column]) -> Column:
-    """What the first section under one of the labels holds for read; null if none holds anything."""
-    values = F.transform(F.filter(parts, lambda s: s["label"].isin(*labels)), lambda s: once(F.ltrim(s["value"], F.lit(" \t：:")), read))
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
+def read(parts: Column, **fields: Callable[[Column, Column], Column]) -> Column:
+    """For each section its label and what fields hold, of its label and its value; each is written once, whoever reads it."""
+    one = lambda s: once(F.ltrim(s["value"], F.lit(" \t：:")), lambda v: F.struct(s["label"].alias("label"), *(f(s["label"], v).alias(c) for c, f in fields.items())))
+    return F.transform(parts, one)
+
+
+def first_of(found: Column | str, labels: Sequence[str], field: str) -> Column:
+    """The field of the first section under one of the labels that has it."""
+    return F.try_element_at(F.filter(F.transform(F.filter(found, lambda s: s["label"].isin(*labels)), lambda s: s[field]), lambda v: v.isNotNull()), F.lit(1))
 
 
 def line_of(value: Column, length: int) -> Column:
@@ -144,7 +149,7 @@ def date_tokens(c: Column) -> Column:
 
 def token_date(c: Column) -> Column:
     """The day that a token names; what follows in parentheses does not count."""
-    return once(F.substring_index(F.substring_index(c, "(", 1), "（", 1), lambda text: F.coalesce(jp_date(text), general_date(text)))
+    return jp_date(F.substring_index(F.substring_index(c, "(", 1), "（", 1))
 
 
 def date_candidates(pages: DataFrame, normal: bool = False) -> DataFrame:
@@ -173,10 +178,12 @@ def labelled_dates(pages: DataFrame, normal: bool = False) -> DataFrame:
 
     A day under a label comes before a period's; a period's start is the issue only where its end is the expiry.
     """
-    cut = pages.select("source", "page", sections(plain("text", normal), (*FIRST_ISSUE, *ISSUE, *EXPIRY, *PERIOD_LABELS[:1])).alias("_parts"))
-    day = lambda labels: F.coalesce(*(read_first(F.col("_parts"), (label,), lambda v: first_day(line_of(v, NEAR))) for label in labels))
-    out = worked_out(cut).select("source", "page", day(FIRST_ISSUE).alias("first_issue_date"), day(ISSUE).alias("_issue"), day(EXPIRY).alias("_expiry"), read_first(F.col("_parts"), PERIOD_LABELS[:1], lambda v: period(line_of(v, LINE))).alias("_period"))
-    out = worked_out(out).withColumn("expiry_date", F.coalesce("_expiry", "_period.end")).withColumn("issue_date", F.coalesce("_issue", F.when(F.col("_expiry").isNull() & F.col("_period.end").isNotNull(), F.col("_period.start"))))
+    parts = sections(plain("text", normal), (*FIRST_ISSUE, *ISSUE, *EXPIRY, *PERIOD_LABELS[:1]))
+    found = read(parts, day=lambda label, v: first_day(line_of(v, NEAR)), period=lambda label, v: F.when(label == PERIOD_LABELS[0], period(line_of(v, LINE))))
+    out = worked_out(pages.select("source", "page", found.alias("_found")))
+    day = lambda labels: F.coalesce(*(first_of("_found", (label,), "day") for label in labels))
+    out = worked_out(out.select("source", "page", day(FIRST_ISSUE).alias("first_issue_date"), day(ISSUE).alias("_issue"), day(EXPIRY).alias("_expiry"), first_of("_found", PERIOD_LABELS[:1], "period").alias("_period")))
+    out = out.withColumn("expiry_date", F.coalesce("_expiry", "_period.end")).withColumn("issue_date", F.coalesce("_issue", F.when(F.col("_expiry").isNull() & F.col("_period.end").isNotNull(), F.col("_period.start"))))
     return out.where(F.coalesce("first_issue_date", "issue_date", "expiry_date").isNotNull()).select("source", "page", "first_issue_date", "issue_date", "expiry_date")
 
 
@@ -197,15 +204,15 @@ def certificates(pages: DataFrame, normal: bool = False, listed: bool = False) -
     qualification that its word for a list stands for.
     """
     t = F.col("_t")
-    parts = F.col("_parts")
     out = worked_out(pages.select("source", plain("text", normal).alias("_t")))
     full = F.filter(F.transform(F.filter(date_tokens(t), lambda x: x.rlike(r"^\d{4}[^(]*$")), token_date), lambda d: d.isNotNull())
-    kind = read_first(sections(t, KIND_LABELS), KIND_LABELS, lambda v: F.nullif(F.trim(line_of(v, 120)), F.lit("")))
+    kinds = read(sections(t, KIND_LABELS), kind=lambda label, v: F.nullif(F.trim(line_of(v, 120)), F.lit("")))
+    days = read(sections(t, (*ISSUE_LABELS, *EXPIRY_LABELS, *PERIOD_LABELS)), period=lambda label, v: F.when(~label.isin(*ISSUE_LABELS), period(line_of(v, LINE))),
+                day=lambda label, v: once(line_of(v, LINE), lambda x: F.when(~holds_period(x), first_day(F.substring(x, 1, NEAR)))))
     more = [F.try_element_at(names_in(t), F.lit(1)).alias("_person"), F.coalesce(*(F.when(t.contains(w), kind) for w, kind in LISTED_KIND.items())).alias("_listed")] if listed else []
     # each text is cut once, into columns of their own, before the expressions over them
-    out = worked_out(out.select("source", certificate_number(t).alias("license_no"), kind.alias("qualification"), full.alias("_days"), sections(t, (*ISSUE_LABELS, *EXPIRY_LABELS, *PERIOD_LABELS)).alias("_parts"), *more))
-    alone = lambda v: once(line_of(v, LINE), lambda x: F.when(period(x).isNull(), first_day(F.substring(x, 1, NEAR))))
-    out = worked_out(out.withColumns({"_period": read_first(parts, (*PERIOD_LABELS, *EXPIRY_LABELS), lambda v: period(line_of(v, LINE))), "_issue": read_first(parts, ISSUE_LABELS, alone), "_expiry": read_first(parts, EXPIRY_LABELS, alone)}))
+    out = worked_out(out.select("source", certificate_number(t).alias("license_no"), first_of(kinds, KIND_LABELS, "kind").alias("qualification"), full.alias("_days"), days.alias("_found"), *more))
+    out = worked_out(out.withColumns({"_period": first_of("_found", (*PERIOD_LABELS, *EXPIRY_LABELS), "period"), "_issue": first_of("_found", ISSUE_LABELS, "day"), "_expiry": first_of("_found", EXPIRY_LABELS, "day")}))
     out = worked_out(out.withColumns({"issue_date": F.coalesce("_period.start", "_issue"), "_until": F.coalesce("_period.end", "_expiry")}))
     out = out.withColumn("issue_date", F.coalesce("issue_date", F.when(F.col("_until").isNull(), F.array_min("_days")))).withColumn("expiry_date", F.coalesce("_until", F.array_max("_days")))
     some = F.coalesce("license_no", F.col("issue_date").cast("string"), F.col("expiry_date").cast("string")).isNotNull()

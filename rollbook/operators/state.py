@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollbook.functions.text import clean
 from rollbook.operators.identity import keep_first
 from rollbook.operators.roster import sheet
+from rollbook.sources import buckets
 
 REPLACE, KEEP, INSERT_ONLY = "replace", "keep", "insert only"
 #: How each state table's columns follow its log: replaced also by null, kept where the change has null, or set on insert only.
@@ -46,6 +48,16 @@ def applied(state: DataFrame, log: DataFrame, keys: Sequence[str], rules: Mappin
     return both.select(*keys, *(value(c, rule).alias(c) for c, rule in rules.items()))
 
 
+def logged(spark: SparkSession, path: str, table: str, base: int | None, version: int, log: DataFrame, schema: T.StructType, deleted: str | None = None, count: int = buckets.BUCKETS) -> list[int]:
+    """Writes a state table's next version after a log of changes, deletions among them; returns the buckets rewritten.
+
+    Only the buckets that the log's keys lie in are read and written; the version before stays as it is. base None: the
+    table is empty so far.
+    """
+    keys, rules = TABLES[table]
+    return buckets.merged(spark, path, keys, base, version, log, schema, lambda rows, new: applied(rows, new, keys, rules, deleted), count)
+
+
 def seeded(state: DataFrame, rows: DataFrame, keys: Sequence[str], **values: object) -> DataFrame:
     """The state and, for keys of rows that it does not have, new rows with default values; null keys seed nothing."""
     new = rows.select(*keys, *(c for c in rows.columns if c in state.columns and c not in keys)).dropna(subset=list(keys)).dropDuplicates(list(keys)).join(state.select(*keys), list(keys), "left_anti")

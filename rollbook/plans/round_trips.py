@@ -181,12 +181,22 @@ WHERE NOT coalesce(gone, false)""", "changes", "people_flags")
 def state_versions(spark, d):
     """The filters of people as versions in buckets: the first, then a log that rewrites the buckets of its keys."""
     path, old = files.shared_folder(spark, "state"), s.flags(spark, d)["people"].select("person_key", "include", F.lit("old").alias("notes"))
-    keys, rules = state.TABLES["person_filter"]
+    keys, _ = state.TABLES["person_filter"]
     buckets.write(old, path, keys, 0, buckets=8)
-    buckets.merged(spark, path, keys, 0, 1, s.changes(spark, d), old.schema, lambda rows, log: state.applied(rows, log, keys, rules, "deleted"), 8)
+    state.logged(spark, path, "person_filter", 0, 1, s.changes(spark, d), old.schema, "deleted", 8)
     return buckets.read(spark, path, 1, old.schema)
 
 
+@query("SELECT report_id, license_key FROM entries WHERE CAST(report_id AS INTEGER) % 3 <> 0", "entries")
+def state_entries_versions(spark, d):
+    """Entries of reports that come in two logs, on a table that is empty at first; the second one deletes some."""
+    path, own = files.shared_folder(spark, "state"), s.entries(spark, d).select("report_id", "license_key", "created")
+    first = own.withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False))
+    state.logged(spark, path, "report_entry", None, 0, first, own.schema, "deleted", 16)
+    state.logged(spark, path, "report_entry", 0, 1, first.where("cast(report_id as int) % 3 = 0").withColumn("deleted", F.lit(True)), own.schema, "deleted", 16)
+    return buckets.read(spark, path, 1, own.schema).select("report_id", "license_key")
+
+
 @query("""SELECT person_key, CASE WHEN person_key LIKE '%7' THEN 'changed' ELSE 'removed' END AS change FROM people_flags WHERE person_key LIKE '%7' OR person_key LIKE '%13'
 UNION ALL SELECT DISTINCT 'new ' || person_key, 'added' FROM people_flags WHERE person_key LIKE '%27'""", "people_flags")
 def state_diff(spark, d):
@@ -194,7 +204,7 @@ def state_diff(spark, d):
     path, old = files.shared_folder(spark, "state"), s.flags(spark, d)["people"].select("person_key", "include", F.lit("old").alias("notes"))
     log = old.where("person_key like '%7' or person_key like '%13'").select("person_key", F.lit(None).cast("boolean").alias("include"), F.lit("new").alias("notes"), F.lit(1).alias("seq"), F.col("person_key").like("%13").alias("deleted"))
     log = log.unionByName(old.where("person_key like '%27'").select(F.concat(F.lit("new "), "person_key").alias("person_key"), "include", "notes", F.lit(1).alias("seq"), F.lit(False).alias("deleted")))
-    keys, rules = state.TABLES["person_filter"]
+    keys, _ = state.TABLES["person_filter"]
     buckets.write(old, path, keys, 0, buckets=256)
-    buckets.merged(spark, path, keys, 0, 1, log, old.schema, lambda rows, new: state.applied(rows, new, keys, rules, "deleted"), 256)
+    state.logged(spark, path, "person_filter", 0, 1, log, old.schema, "deleted", 256)
     return buckets.diff(spark, path, keys, 0, 1, old.schema)

@@ -103,6 +103,11 @@ def merged(spark: SparkSession, path: str, keys: Sequence[str], base: str | int
     return hit
 
 
+def root(spark: SparkSession, path: str, version: str | int) -> str:
+    """The hash of a version's rows: equal for the same rows, however they came about and wherever they lie."""
+    return manifest(spark, path, version).orderBy(F.col("level").desc()).first().hash
+
+
 def differing(spark: SparkSession, path: str, one: str | int, other: str | int) -> list[int]:
     """Buckets whose rows differ between versions: from the root down, below nodes with different hashes only."""
     both = manifest(spark, path, one).alias("a").join(manifest(spark, path, other).alias("b"), ["level", "node"]).where("a.hash <> b.hash").select("level", "node")

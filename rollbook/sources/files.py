@@ -52,7 +52,8 @@ def parsed_csv(files: DataFrame, schema: str, columns: int | None = None) -> Dat
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores, if it is read in fewer parts than there are: a small file is one task, whatever work follows
-    for each row. Tables of many parts stay as they are, so nothing large is shuffled."""
+    for each row. Tables of many parts stay as they are, so nothing large is shuffled. For scans: to count the parts of a join
+    Spark would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import state, versioned
 from rollbook.sources import buckets
+from rollbook.streaming import feeds
 
 SCHEMA = "k string, v string"
 
@@ -33,6 +34,30 @@ def test_versions_rewrite_touched_buckets_only(spark, tmp_path):
     assert {int(f.split("bucket=")[1].split("/")[0]) for f in read} <= set(hit)
 
 
+def test_roots_are_of_rows_not_of_writes(spark, tmp_path):
+    rows_ = spark.range(50).select(F.col("id").cast("string").alias("k"), F.lit("a").alias("v"))
+    buckets.write(rows_, f"{tmp_path}/a", ["k"], 0, buckets=8)
+    buckets.write(rows_.where("k < '3'"), f"{tmp_path}/b", ["k"], 0, buckets=8)
+    log = rows_.where("k >= '3'").withColumn("seq", F.lit(1)).repartition(3)
+    buckets.merged(spark, f"{tmp_path}/b", ["k"], 0, 1, log, rows_.schema, lambda old, new: state.applied(old, new, ["k"], {"v": state.REPLACE}), 8)
+    assert buckets.root(spark, f"{tmp_path}/a", 0) == buckets.root(spark, f"{tmp_path}/b", 1) != buckets.root(spark, f"{tmp_path}/b", 0)
+
+
+def test_a_snapshot_of_one_key_writes_one_bucket(spark, tmp_path):
+    """A late date touches the keys it holds and those whose stretches it cuts; a later one only those it holds."""
+    schema, seen = "rec_key string, snapshot_date date, name string", {}
+    day = lambda n: dt.date(2024, 1, n)
+    first = [(f"k{i}", day(n), "x") for i in range(40) for n in (1, 5) if n == 1 or i < 3]
+    for part in (first, [("k7", day(9), "x")], [("k7", day(3), "x")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        feeds.snapshot_feed(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, f"{tmp_path}/store", f"{tmp_path}/c", lambda runs, n: seen.update({n: rows(runs)}), count=64).awaitTermination()
+    written = [{r.node for r in buckets.manifest(spark, f"{tmp_path}/store", n).where(f"level = 0 and at = '{n}'").collect()} for n in range(3)]
+    of = lambda *keys: set(buckets.touched(spark.createDataFrame([(k,) for k in keys], "k string"), ["k"], 64))
+    assert written[1] == of("k7") and written[2] == of("k7", "k0", "k1", "k2")
+    every = spark.createDataFrame(first + [("k7", day(9), "x"), ("k7", day(3), "x")], schema)
+    assert seen[2] == rows(versioned.intervals(every))
+
+
 def test_empty_versions_and_removed_rows(spark, tmp_path):
     path, none = f"{tmp_path}/t", spark.createDataFrame([], SCHEMA)
     buckets.write(none, path, ["k"], 0, buckets=4)
