@@ -205,6 +205,6 @@ def state_diff(spark, d):
     log = old.where("person_key like '%7' or person_key like '%13'").select("person_key", F.lit(None).cast("boolean").alias("include"), F.lit("new").alias("notes"), F.lit(1).alias("seq"), F.col("person_key").like("%13").alias("deleted"))
     log = log.unionByName(old.where("person_key like '%27'").select(F.concat(F.lit("new "), "person_key").alias("person_key"), "include", "notes", F.lit(1).alias("seq"), F.lit(False).alias("deleted")))
     keys, _ = state.TABLES["person_filter"]
-    buckets.write(old, path, keys, 0, buckets=256)
-    state.logged(spark, path, "person_filter", 0, 1, log, old.schema, "deleted", 256)
+    buckets.write(old, path, keys, 0, buckets=64)
+    state.logged(spark, path, "person_filter", 0, 1, log, old.schema, "deleted", 64)
     return buckets.diff(spark, path, keys, 0, 1, old.schema)
