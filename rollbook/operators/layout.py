@@ -92,13 +92,17 @@ def areas_marked(cells_or_rows: DataFrame, areas: DataFrame, keep_active_current
     return out.where("area = 'active' and history = 0") if keep_active_current else out
 
 
-def column_scores(cells: DataFrame) -> DataFrame:
-    """(source, sheet, col, density, registration, name): shares of rows, and of values that look like numbers or names."""
+def column_scores(cells: DataFrame, registration: str = REGISTRATION) -> DataFrame:
+    """(source, sheet, col, density, registration, name): shares of rows, and of values that look like numbers or names.
+
+    registration, here and below: the form of the sheets' registration numbers; by default those of the reference, whose
+    numbers without letters have six digits at most. Sheets with longer ones need a form of their own.
+    """
     own = filled(cells)
     rows = own.groupBy(*SHEET).agg(F.countDistinct("row").alias("_rows"))
     value = F.regexp_replace("value", r"(?U)\s", "")
-    person = (~value.rlike(DATE_LIKE) & ~value.rlike(HEADER_WORDS) & ~value.rlike(REGISTRATION) & ~value.rlike(r"^\(.*\)$") & (F.length("value") <= 20)).cast("int")
-    score = own.groupBy(*SHEET, "col").agg(F.count("*").alias("_n"), F.avg(value.rlike(REGISTRATION).cast("int")).alias("registration"), F.avg(person).alias("name"))
+    person = (~value.rlike(DATE_LIKE) & ~value.rlike(HEADER_WORDS) & ~value.rlike(registration) & ~value.rlike(r"^\(.*\)$") & (F.length("value") <= 20)).cast("int")
+    score = own.groupBy(*SHEET, "col").agg(F.count("*").alias("_n"), F.avg(value.rlike(registration).cast("int")).alias("registration"), F.avg(person).alias("name"))
     return score.join(rows, SHEET).select(*SHEET, "col", (F.col("_n") / F.col("_rows")).alias("density"), "registration", "name")
 
 
@@ -120,7 +124,7 @@ def blocks(scores: DataFrame, cells: DataFrame) -> DataFrame:
     return ranges.join(words, [*SHEET, "first"], "left").select(*SHEET, "person_col", "number_col", "first", "last", label.alias("label"))
 
 
-def carried(cells: DataFrame, person: int, number: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def carried(cells: DataFrame, person: int, number: int, rows_per_range: int = ROWS_PER_RANGE, registration: str = REGISTRATION) -> DataFrame:
     """(source, sheet, row, name, registration): both carried down from the row where a registration number stands.
 
     A name on that row counts unless it is a header; else the earlier one goes on. Values go on from range to range, so a
@@ -129,7 +133,7 @@ def carried(cells: DataFrame, person: int, number: int, rows_per_range: int = RO
     own = filled(cells)
     at = lambda col: F.max(F.when(F.col("col") == col, F.col("value")))
     wide = own.groupBy(*SHEET, "row").agg(at(person).alias("p"), F.regexp_replace(at(number), r"(?U)\s", "").alias("n"))
-    start = F.col("n").rlike(REGISTRATION)
+    start = F.col("n").rlike(registration)
     name = F.when(start & ~F.col("p").rlike(HEADER_WORDS), F.col("p"))
     found = wide.select(*SHEET, "row", name.alias("name"), F.when(start, F.col("n")).alias("registration"))
     return carried_down(found, SHEET, ["row"], ["name", "registration"], rows_per_range)
@@ -143,10 +147,10 @@ def assigned_dates(days: Column, label: Column) -> dict[str, Column]:
     return {"first_issue_date": F.when(n >= 2, at(1)), "issue_date": F.when(n >= 3, at(-2)).when(n == 1, at(1)), "expiry_date": F.when(n >= 2, at(-1)).otherwise(one)}
 
 
-def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: int) -> DataFrame:
+def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: int, registration: str = REGISTRATION) -> DataFrame:
     """One record for each row and block with any value: name, registration, raw values (a map), dates, qualification, licence."""
     cells, found = stored(cells, "cells"), stored(found, "blocks")
-    who = carried(cells, person, number).where("name is not null and registration is not null")
+    who = carried(cells, person, number, registration=registration).where("name is not null and registration is not null")
     own = filled(cells).join(found, SHEET).where("col between first and last")
     own = own.withColumn("head", F.when(F.col("value").rlike(DATE_LIKE), F.regexp_extract("value", r"^([^(（]*)", 1)))
     own = own.withColumn("day", F.when(F.col("head").isNotNull(), any_date("head"))).withColumn("place", F.col("col") - F.col("first"))
@@ -156,7 +160,7 @@ def vertical_records(cells: DataFrame, found: DataFrame, person: int, number: in
         F.array_sort(F.collect_set("day")).alias("days"), F.max_by(text, F.when(text.isNotNull(), F.struct(F.length(text).alias("n"), (-F.col("place")).alias("p")))).alias("qualification"),
         F.max(paren_year("value")).alias("issue_year"))
     rows = rows.withColumns(assigned_dates(F.col("days"), F.col("label"))).join(who, [*SHEET, "row"])
-    pick = lambda k: F.when(F.regexp_replace(F.try_element_at("values", F.lit(k)), r"(?U)\s", "").rlike(REGISTRATION), F.regexp_replace(F.try_element_at("values", F.lit(k)), r"(?U)\s", ""))
+    pick = lambda k: F.when(F.regexp_replace(F.try_element_at("values", F.lit(k)), r"(?U)\s", "").rlike(registration), F.regexp_replace(F.try_element_at("values", F.lit(k)), r"(?U)\s", ""))
     rows = rows.withColumn("license_no", F.coalesce(*(pick(k) for k in ("c1", "c2", "c0", "c3")), "registration"))
     rows = rows.withColumn("sequence", F.when(F.col("license_no") != F.col("registration"), F.col("registration")))
     return rows.select(*SHEET, "row", "first", "label", "name", "registration", "license_no", "sequence", "qualification", "first_issue_date", "issue_date", "expiry_date", "issue_year", "values")
@@ -204,12 +208,12 @@ def ingest(rows: DataFrame, areas: DataFrame | None = None, known: dict[str, str
     return normalised(out.drop(*place))
 
 
-def ingest_vertical(cells: DataFrame, person: int, number: int, columns: str | None = None, areas: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+def ingest_vertical(cells: DataFrame, person: int, number: int, columns: str | None = None, areas: DataFrame | None = None, tables: DataFrame | None = None, registration: str = REGISTRATION) -> DataFrame:
     """Sheets in blocks as roster rows: records of the blocks found (in a range of columns, if one is given), those in active
     print areas, with positions and raw values as JSON; then the rows of ingested tables."""
     some = cells if columns is None else cells.where(F.col("col").isin(person, number)).unionByName(in_columns(cells.where(~F.col("col").isin(person, number)), columns))
     some = stored(some, "cells")
-    out = vertical_records(some, blocks(column_scores(some), some), person, number)
+    out = vertical_records(some, blocks(column_scores(some, registration), some), person, number, registration)
     if areas is not None:
         out = areas_marked(out.withColumn("first_col", F.lit(person)), areas, keep_active_current=True).drop("area", "history", "first_col")
     out = raw_json(out.withColumns(position_columns("qualification")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 AS_OF = "2001-08-01"
 NOW = "2001-08-01 00:00:00"
+#: The form of the registration numbers in cells(): order keys, which have more than six digits in large tables.
+ORDER_KEYS = r"^\d+$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
