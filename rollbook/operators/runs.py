@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.operators.issue import pages
@@ -63,6 +63,30 @@ def source_hashes(content: DataFrame) -> DataFrame:
     return content.select(F.col("path").alias("source"), F.sha1("content").alias("source_hash"), F.col("length").alias("bytes"))
 
 
+def folder_hashes(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
+    """(source, source_hash, bytes) of folders whose text files, in order of name, are one list of lines each.
+
+    Files are read in as many parts as Spark cuts them into, so no task reads a large one whole. The hash is of the bytes,
+    the number of lines and sums of pieces of SHA-256 of each line with its number in the folder: however a list is cut
+    into files, which end with a line's end, it has the same one. It tells lists apart that differ by chance or mistake.
+    A folder without any line has no row.
+    """
+    at = [F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("source"), F.col("_metadata.file_path").alias("file")]
+    read = spark.read.options(recursiveFileLookup="true", pathGlobFilter=files, lineSep="\n").text(path)
+    lines = read.select(*at, F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line"))
+    # a part's lines have ids that follow one another: a row for each part says what its first line's number is
+    parts = lines.groupBy("source", "file", "block").agg(F.min("id").alias("_first"), F.count("*").alias("_n"), F.max("size").alias("size"))
+    sizes = parts.groupBy("source", "file").agg(F.max("size").alias("size")).groupBy("source").agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy("source").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", "file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    digest = F.sha2(F.concat((F.col("id") + F.col("_offset")).cast("string").cast("binary"), F.lit(b":"), F.col("line")), 256)
+    digests = lines.join(F.broadcast(parts), ["source", "file", "block"]).select("source", digest.alias("h"))
+    piece = lambda i: F.conv(F.substring("h", 1 + i * PIECE, PIECE), 16, 10).cast("decimal(38,0)")
+    sums = digests.groupBy("source").agg(F.count("*").alias("_n"), *(F.sum(piece(i)).cast("string").alias(f"_s{i}") for i in range(4)))
+    texts = (F.col(c).cast("string") for c in ("bytes", "_n", "_s0", "_s1", "_s2", "_s3"))
+    return sizes.join(sums, "source").select("source", F.sha1(F.concat_ws(":", *texts).cast("binary")).alias("source_hash"), "bytes")
+
+
 def load_history(tables: dict[str, DataFrame], source_hash: DataFrame, loaded: str) -> DataFrame:
     """One row for each loaded table: name, rows, when, and the hash of what it came from (one row)."""
     counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")) for name, df in tables.items()]
