@@ -59,15 +59,19 @@ def fill_names(df: DataFrame, workers: DataFrame | None = None, names: tuple[str
         out = out.join(named, "employee_id", "left")
     else:
         out = out.withColumn("_worker", F.lit(None).cast("string"))
-    # one row for each licence and employee, combined before its shuffle, for both lookups
+    placeholder = F.coalesce(F.concat(F.lit("免許:"), F.col("_licence")), F.concat(F.lit("ID:"), F.col("employee_id")), F.concat(F.lit(f"{seed}:"), F.col("row_seq").cast("string")))
+    helpers = ("_name", "_licence", "_worker", "_of_licence", "_of_employee")
+    nameless = F.coalesce("_name", "_worker").isNull()
+    own, named = out.where(nameless), out.where(~nameless).withColumn("name", F.coalesce("_name", "_worker")).drop(*helpers)
+    if own.count() == 0:
+        return named
+    # only rows without a name are looked up, so the others are not shuffled for it; one row for each licence and employee,
+    # combined before its shuffle, is there for both lookups
     marked = lambda key: F.concat(F.lit(f"{key}:"), key)
     first = out.where(F.col("_name").isNotNull()).select("_name", "row_seq", F.explode(F.array(marked("_licence"), marked("employee_id"))).alias("_key")).where("_key is not null")
     first = first.groupBy("_key").agg(F.min_by("_name", "row_seq").alias("_first"))
-    nameless = F.coalesce("_name", "_worker").isNull()
     for key, column in (("_licence", "_of_licence"), ("employee_id", "_of_employee")):
-        # rows that need no name get keys of their own, which meet nothing, so that they are not all in one task
-        wanted = F.when(nameless & F.col(key).isNotNull(), marked(key)).otherwise(F.concat(F.lit("row:"), F.coalesce(F.col("row_seq").cast("string"), F.lit(""))))
-        out = out.withColumn("_key", wanted).join(first.withColumnRenamed("_first", column), "_key", "left").drop("_key")
-    placeholder = F.coalesce(F.concat(F.lit("免許:"), F.col("_licence")), F.concat(F.lit("ID:"), F.col("employee_id")), F.concat(F.lit(f"{seed}:"), F.col("row_seq").cast("string")))
-    out = out.withColumn("name", F.coalesce("_name", "_worker", "_of_licence", "_of_employee", placeholder))
-    return out.drop("_name", "_licence", "_worker", "_of_licence", "_of_employee")
+        # rows without the key get one of their own, which meets nothing, so that they are not all in one task
+        wanted = F.when(F.col(key).isNotNull(), marked(key)).otherwise(F.concat(F.lit("row:"), F.coalesce(F.col("row_seq").cast("string"), F.lit(""))))
+        own = own.withColumn("_key", wanted).join(first.withColumnRenamed("_first", column), "_key", "left").drop("_key")
+    return named.unionByName(own.withColumn("name", F.coalesce("_of_licence", "_of_employee", placeholder)).drop(*helpers))
