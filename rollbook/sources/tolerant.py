@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.operators.ranges import ROWS_PER_RANGE, carried_down
+from rollbook.operators.ranges import ROWS_PER_RANGE
 from rollbook.sources.files import ENCODINGS, decoded
 from rollbook.sources.shared import stored
 
@@ -44,8 +44,8 @@ def decoded_as(raw: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or e is None else r.decode(e, "replace") for r, e in zip(raw, encoding, strict=True)], dtype=object)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, block, at, text) of every line of the files, without its end."""
+def lines(spark: SparkSession, path: str, rows_per_block: int = ROWS_PER_RANGE) -> DataFrame:
+    """(source, block, at, text) of every line of the files, without its end; a file in UTF-16 has a block for so many lines."""
     read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"))
     wide = F.substring(F.col("value").cast("binary"), 1, 2).isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF")))
     start = read.where("block = 0").groupBy("source").agg(F.min_by(wide, "at").alias("_wide"))
@@ -60,28 +60,35 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     out = narrow.select("source", "block", "at", F.coalesce(decoded_as(foreign, F.col("_encoding")), "value").alias("text"))
     others = [r.source for r in kinds.where("_wide").collect()]  # names of the files in UTF-16
     if others:
-        whole = spark.read.format("binaryFile").load(others).select(F.col("path").alias("source"), F.lit(0).cast("long").alias("block"), F.posexplode(F.split(decoded("content"), "\n")).alias("at", "text"))
-        out = out.unionByName(whole.withColumn("at", F.col("at").cast("long")))
+        whole = spark.read.format("binaryFile").load(others).select(F.col("path").alias("source"), F.posexplode(F.split(decoded("content"), "\n")).alias("at", "text"))
+        out = out.unionByName(whole.withColumns({"block": F.floor(F.col("at") / rows_per_block), "at": F.col("at").cast("long")}))
     return out.withColumn("text", F.regexp_replace(F.when((F.col("block") == 0), F.ltrim("text", F.lit("﻿"))).otherwise(F.col("text")), "\r$", ""))
 
 
-def records(found: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def records(found: DataFrame) -> DataFrame:
     """(source, block, at, text): lines (as lines() has them) joined to records, with the place of their first line.
 
+    A line's record begins at the last line before it, in its block, that does not begin inside quotes. Which lines these are
+    is known but for the parity of the quotes before the block, so both are worked out by one sort of the block's lines; a
+    block without any goes on with the last one of the blocks before it, of which there is one row each.
     A quote that is never closed makes the rest of its file one record, as for any reader.
     """
     own = stored(found.withColumn("_odd", (F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))) % 2), "lines")
     blocks = own.groupBy("source", "block").agg(F.sum("_odd").alias("_n"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("source", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.withColumn("_here", F.coalesce(F.sum("_odd").over(within), F.lit(0))).join(blocks, ["source", "block"])
-    placed = placed.withColumn("_inside", (F.col("_before") + F.col("_here")) % 2 == 1).drop("_before", "_here")
-    single = placed.where("not _inside and _odd = 0").select("source", *PLACE, "text")
-    start = F.when(~F.col("_inside"), F.struct(*PLACE))
-    several = carried_down(placed.where("_inside or _odd = 1").select("source", *PLACE, "text", start.alias("_start")), ["source"], PLACE, ["_start"], rows_per_range)
+    blocks = blocks.select("source", "block", F.coalesce(F.sum("_n").over(before) % 2, F.lit(0)).alias("_before"))
+    within = Window.partitionBy("source", "block").orderBy("at")
+    placed = own.withColumn("_here", F.coalesce(F.sum("_odd").over(within.rowsBetween(Window.unboundedPreceding, -1)) % 2, F.lit(0)))
+    placed = placed.withColumns({f"_start{p}": F.max(F.when(F.col("_here") == p, F.col("at"))).over(within.rowsBetween(Window.unboundedPreceding, 0)) for p in (0, 1)})
+    start = F.when(F.col("_before") == 0, F.col("_start0")).otherwise(F.col("_start1"))
+    placed = placed.join(blocks, ["source", "block"]).select("source", *PLACE, "text", ((F.col("_here") == F.col("_before")) & (F.col("_odd") == 0)).alias("_single"), start.alias("_at"))
+    placed = stored(placed, "placed")
+    last = placed.groupBy("source", "block").agg(F.max("_at").alias("_at"))
+    carry = last.select("source", "block", F.last(F.when(F.col("_at").isNotNull(), F.struct("block", F.col("_at").alias("at"))), ignorenulls=True).over(before).alias("_carry"))
+    several = placed.where("not _single").select("source", *PLACE, "text", "_at").join(carry, ["source", "block"])
+    several = several.withColumn("_start", F.when(F.col("_at").isNotNull(), F.struct("block", F.col("_at").alias("at"))).otherwise(F.col("_carry")))
     whole = several.groupBy("source", "_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*PLACE, "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return single.unionByName(whole.select("source", "_start.*", "text"))
+    return placed.where("_single").select("source", *PLACE, "text").unionByName(whole.select("source", "_start.*", "text"))
 
 
 def fields(text: Column, width: int) -> Column:
@@ -93,7 +100,7 @@ def fields(text: Column, width: int) -> Column:
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(source, block, at, columns) of the files' records below their first one, which names their columns, in any order and
     possibly different ones in each file. A column that a file lacks is null there; blank records are none."""
-    some = stored(records(lines(spark, path), rows_per_range).where(F.trim("text") != ""), "records")
+    some = stored(records(lines(spark, path, rows_per_range)).where(F.trim("text") != ""), "records")
     head = some.groupBy("source").agg(F.min_by("text", F.struct(*PLACE)).alias("_head"), F.min(F.struct(*PLACE)).alias("_first"))
     width = head.agg(F.max(F.length("_head") - F.length(F.replace("_head", F.lit(","), F.lit(""))) + 1)).first()[0]
     if width is None:
