@@ -33,7 +33,7 @@ def applied(state: DataFrame, log: DataFrame, keys: Sequence[str], rules: Mappin
 
     Changes are aggregated by key before they meet the state, so keys that change often are combined before the shuffle.
     """
-    last = lambda c: F.max_by(F.struct(c), F.col("seq"))[c]
+    last = lambda c: F.max_by(c, F.col("seq"))  # noqa: E731 - of the last change, also where it has null
     seen = lambda c, f: f(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq")))
     pick = {REPLACE: last, KEEP: lambda c: seen(c, F.max_by), INSERT_ONLY: lambda c: seen(c, F.min_by)}
     gone = F.max_by(F.coalesce(F.col(deleted), F.lit(False)), F.col("seq")) if deleted else F.lit(False)

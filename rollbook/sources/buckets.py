@@ -21,8 +21,9 @@ from rollbook.sources.shared import exists
 BUCKETS, FANOUT = 64, 8
 #: level 0 has a row for each bucket, with the version that wrote it (null: it is empty); the levels above have nodes.
 MANIFEST = "level int, node int, at string, rows long, hash string"
-#: A row's SHA-256 is added up in pieces of so many hexadecimal digits, each below 2**60.
-PIECE = 15
+#: A row's SHA-256 is added up in pieces of so many hexadecimal digits, each below 2**60, and each in two halves of so many
+#: bits, whose sums are longs up to 2**33 rows in a bucket.
+PIECE, HALF = 15, 30
 
 
 def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
@@ -41,8 +42,11 @@ def row_hash(columns: Sequence[str]) -> Column:
 def bucket_hashes(rows: DataFrame) -> DataFrame:
     """(bucket, rows, hash) of rows with a column bucket; sums of the rows' hashes, so their order counts for nothing."""
     own = rows.select("bucket", row_hash([c for c in rows.columns if c != "bucket"]).alias("h"))
-    piece = lambda i: F.conv(F.substring("h", 1 + i * PIECE, PIECE), 16, 10).cast("decimal(38,0)")
-    sums = own.groupBy("bucket").agg(F.count("*").alias("rows"), *(F.sum(piece(i)).cast("string").alias(f"s{i}") for i in range(4)))
+    own = own.select("bucket", *(F.conv(F.substring("h", 1 + i * PIECE, PIECE), 16, 10).cast("long").alias(f"p{i}") for i in range(4)))
+    halves = lambda i: (F.sum(F.shiftright(f"p{i}", HALF)).alias(f"h{i}"), F.sum(F.col(f"p{i}").bitwiseAND(2**HALF - 1)).alias(f"l{i}"))
+    sums = own.groupBy("bucket").agg(F.count("*").alias("rows"), *(half for i in range(4) for half in halves(i)))
+    whole = lambda i: (F.col(f"h{i}").cast("decimal(20,0)") * F.lit(2**HALF).cast("decimal(10,0)") + F.col(f"l{i}").cast("decimal(20,0)")).cast("string").alias(f"s{i}")
+    sums = sums.select("bucket", "rows", *(whole(i) for i in range(4)))
     return sums.select("bucket", "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *(f"s{i}" for i in range(4))), 256).alias("hash"))
 
 

@@ -1,8 +1,9 @@
 """Steps that grew to much over large tables: what they write, sort and trim."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from rollbook.operators import issue, ranges
+from rollbook.operators import issue, ranges, state
 from rollbook.plans import queries
 from rollbook.sources import tolerant
 
@@ -28,3 +29,12 @@ def test_records_are_found_by_one_sort_of_their_lines(spark, tmp_path, written):
     got = sorted((int(r.k), r.v) for r in tolerant.read_csv(spark, str(tmp_path), ["k", "v"], 50).collect())
     assert got == sorted((int(k), v) for k, v in want * 2)
     assert "ranges" not in written
+
+
+def test_last_changes_are_hashed_not_sorted(spark):
+    keys, rules = state.TABLES["report_entry"]
+    log = spark.createDataFrame([("r", "l", "2024-01-01", 1), ("r", "l", None, 2), ("r", "m", None, 1), ("r", "m", "2024-01-02", 2)], "report_id string, license_key string, created string, seq int").withColumn("created", F.col("created").cast("date"))
+    old = log.select(*keys, "created").where("false")
+    out = state.applied(old, log, keys, rules)
+    assert sorted((r.license_key, str(r.created)) for r in out.collect()) == [("l", "None"), ("m", "2024-01-02")]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
