@@ -49,11 +49,13 @@ def general_date(c: Column | str) -> Column:
 
     Spark's cast reads the day once the form is known, which takes a fraction of the time of a parser by pattern.
     """
-    text = clean(c)
-    iso = text.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T ].*)?$")
-    tight = text.rlike(r"^\d{8}$")
-    whole = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
-    return F.when(iso, F.translate(F.substring_index(F.substring_index(text, "T", 1), " ", 1), "/.", "--").try_cast("date")).when(tight, whole.try_cast("date"))
+    def read(text: Column) -> Column:
+        iso = text.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[T ].*)?$")
+        tight = text.rlike(r"^\d{8}$")
+        whole = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+        return F.when(iso, F.translate(F.substring_index(F.substring_index(text, "T", 1), " ", 1), "/.", "--").try_cast("date")).when(tight, whole.try_cast("date"))
+
+    return once(clean(c), read)
 
 
 def signed_day(x: Column) -> Column:

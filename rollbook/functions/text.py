@@ -44,9 +44,19 @@ def trimmed(c: Column | str) -> Column:
     return F.trim(col(c).cast("string"), F.lit(WHITE_SPACE))
 
 
+def untrimmed(t: Column) -> Column:
+    """Whether a text's first and last characters are such that trimming cannot change it: visible ASCII, or behind all
+    white space. A comparison takes a fraction of the time of trimming by a list of characters."""
+    visible = lambda x: ((x >= "!") & (x < "\x7f")) | (x >= chr(ord(WHITE_SPACE[-1]) + 1))
+    return visible(t) & visible(F.substring(t, -1, 1))
+
+
 def clean(c: Column | str) -> Column:
     """The trimmed text, or null where it means "no value"."""
-    return once(trimmed(c), lambda t: F.when((F.length(t) > LONGEST_EMPTY_WORD) | ~F.lower(t).isin(*EMPTY_WORDS), t))
+    valued = lambda t: F.when((F.length(t) > LONGEST_EMPTY_WORD) | ~F.lower(t).isin(*EMPTY_WORDS), t)
+    made = lambda t: F.when(untrimmed(t), valued(t)).otherwise(once(trimmed(t), valued))
+    # a column is at hand, however often it is named; other expressions are worked out once
+    return made(F.col(c).cast("string")) if isinstance(c, str) else once(c.cast("string"), made)
 
 
 def either(*cs: Column | str) -> Column:

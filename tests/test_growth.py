@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rollbook.functions import text
 from rollbook.operators import issue, ranges, state
 from rollbook.plans import queries
 from rollbook.sources import tolerant
@@ -38,3 +39,21 @@ def test_last_changes_are_hashed_not_sorted(spark):
     out = state.applied(old, log, keys, rules)
     assert sorted((r.license_key, str(r.created)) for r in out.collect()) == [("l", "None"), ("m", "2024-01-02")]
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_trimmed_only_where_white_space_is(spark):
+    edges = [*text.WHITE_SPACE, "!", "~", "a", "\x7f", "\u3001", "登", "\U0010ffff", "\u200b", "é"]
+    values = [a + m + b for a in edges for m in ("", "x", "none", "long enough") for b in edges]
+    both = spark.createDataFrame([(v,) for v in values], "x string").select("x", text.clean("x").alias("by_name"), text.clean(F.col("x")).alias("by_column"), text.untrimmed(F.col("x")).alias("fast"))
+    for r in both.collect():
+        want = r.x.strip(text.WHITE_SPACE)
+        want = None if want.lower() in text.EMPTY_WORDS else want
+        assert r.by_name == want and r.by_column == want, repr(r.x)
+        assert not (r.fast and r.x != r.x.strip(text.WHITE_SPACE))
+        assert r.fast or not all(e in "!~a登\u3001" for e in (r.x[0], r.x[-1]))
+    assert both.where("x = 'along enougha'").first().fast
+
+
+def test_a_schedule_makes_its_stage_once(spark, sf, written):
+    queries.star_schedule(spark, sf)
+    assert written == ["stage"]
