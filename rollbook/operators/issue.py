@@ -18,6 +18,7 @@ CONTINUATION = {"0": "新規", "1": "継続", "2": "再試験"}
 RENAMED = {"次回区分": "next_stage_label", "次回手続状況": "next_procedure_status"}
 COMBINED = ("次回受検期間", "再試験猶予")
 ROWS_PER_PAGE, PREVIEW_PAGES, EVERY_SHEET = 40, 12, "all"
+CONTEXT = ("rows", "digests", "sheets", "reports")
 
 
 def on_sheet(df: DataFrame, name: str | None) -> DataFrame:
@@ -92,15 +93,18 @@ def renamed(df: DataFrame) -> DataFrame:
     return out.withColumns({"next_surveillance_window": window, "retest_window": window}).drop(both)
 
 
-def context(due: DataFrame, people: DataFrame, licences: DataFrame, sheets: DataFrame, membership: DataFrame, definitions: DataFrame | None = None, name: str | None = None, wanted: list[str] | None = None, rows: int = 40) -> dict[str, DataFrame]:
+def context(due: DataFrame, people: DataFrame, licences: DataFrame, sheets: DataFrame, membership: DataFrame, definitions: DataFrame | None = None, name: str | None = None, wanted: list[str] | None = None, rows: int = 40, parts: tuple[str, ...] = CONTEXT) -> dict[str, DataFrame]:
     """What the list's page shows: the chosen columns of one sheet's rows by page, pages' digests, rows on each sheet, and
-    members of each report."""
-    listed = issue_list(due, people, licences, sheets, membership)
-    shown = pages(on_sheet(listed, name), "expiry_date", "name", "row_seq", rows=rows)
-    columns = chosen_columns(listed.columns, wanted, ("name", "license_no", "qualification", "category", "expiry_date"))
-    keep = ["page", "sheet_page", "sheet_total", "total_pages", "print_sheet", "row_seq"]
-    out = {"rows": shown.select(*keep, *(c for c in columns if c not in keep)), "digests": page_digests(shown, columns), "sheets": sheet_counts(listed, membership)}
-    if definitions is not None and "report_ids" in listed.columns:
+    members of each report; or some of these parts. The list is put into pages, and so written, only for rows and digests."""
+    listed, out = issued(due, people, licences, sheets, membership), {}
+    if "rows" in parts or "digests" in parts:
+        shown = pages(on_sheet(listed, name), "expiry_date", "name", "row_seq", rows=rows)
+        columns = chosen_columns(listed.columns, wanted, ("name", "license_no", "qualification", "category", "expiry_date"))
+        keep = ["page", "sheet_page", "sheet_total", "total_pages", "print_sheet", "row_seq"]
+        out |= {"rows": shown.select(*keep, *(c for c in columns if c not in keep)), "digests": page_digests(shown, columns)}
+    if "sheets" in parts:
+        out["sheets"] = sheet_counts(listed, membership)
+    if "reports" in parts and definitions is not None and "report_ids" in listed.columns:
         out["reports"] = report_counts(listed, definitions)
     return out
 
@@ -115,9 +119,14 @@ def issue_rows(due: DataFrame) -> DataFrame:
     return out.withColumn("display_name", F.coalesce(clean("display_name"), "name")).withColumn("print_sheet", sheet("print_sheet"))
 
 
+def issued(due: DataFrame, people: DataFrame, licences: DataFrame, sheets: DataFrame, membership: DataFrame) -> DataFrame:
+    """Expanded and filtered, in no order."""
+    return filtered(expanded(issue_rows(due), membership), people, licences, sheets, membership)
+
+
 def issue_list(due: DataFrame, people: DataFrame, licences: DataFrame, sheets: DataFrame, membership: DataFrame) -> DataFrame:
     """Expanded, filtered and in order of sheet, expiry and name."""
-    out = filtered(expanded(issue_rows(due), membership), people, licences, sheets, membership)
+    out = issued(due, people, licences, sheets, membership)
     return out.orderBy("print_sheet", "expiry_date", "name", "row_seq")
 
 

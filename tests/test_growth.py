@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook.functions import text
+from rollbook.functions import schema, text
 from rollbook.operators import issue, ranges, state
 from rollbook.plans import queries
+from rollbook.plans import standins as s
 from rollbook.sources import tolerant
 
 
@@ -41,6 +42,14 @@ def test_last_changes_are_hashed_not_sorted(spark):
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counts_of_sheets_put_nothing_into_pages(spark, sf, written):
+    own = schema.ensure_columns(queries.due_rows(spark, sf), schema.ROSTER, True)
+    only = issue.context(own, **s.flags(spark, sf), parts=("sheets",))
+    assert list(only) == ["sheets"] and written == []
+    whole = issue.context(own, **s.flags(spark, sf))["sheets"]
+    assert sorted(map(tuple, only["sheets"].collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_texts_are_trimmed_only_where_white_space_is(spark):
     edges = [*text.WHITE_SPACE, "!", "~", "a", "\x7f", "\u3001", "登", "\U0010ffff", "\u200b", "é"]
     values = [a + m + b for a in edges for m in ("", "x", "none", "long enough") for b in edges]
