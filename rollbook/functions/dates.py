@@ -60,17 +60,28 @@ def general_date(c: Column | str) -> Column:
 
 def signed_day(x: Column) -> Column:
     """(form, day) of what SIGNED_DAY found. A full year or two digits of one (under 70: 20xx) stand without blanks or
-    hyphens, two digits with no words either; an era counts years from its first. Form is null for anything else."""
-    name = F.regexp_extract(x, r"^\D*", 0)
-    numbers = F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))
-    tight = ~x.rlike(r"[-\s]")
-    starts = F.create_map(*[F.lit(v) for k, start in ERA_START.items() for v in (k, start)], *[F.lit(v) for k, letter in ERA_NAMES.items() for w in (k, k[0]) for v in (w, ERA_START[letter])])
-    base = F.coalesce(F.try_element_at(starts, F.upper(F.right(F.trim(name), F.lit(1)))), F.try_element_at(starts, F.trim(name)))
-    year = numbers[0]
-    form = F.when((F.length(year) == 4) & tight, FULL).when((F.length(year) <= 2) & base.isNotNull() & ~x.contains("-"), OF_ERA).when(F.length(year).isin(2, 3) & tight & ~x.rlike("[年月]"), SHORT)
-    century = F.when(F.right(year, F.lit(2)).try_cast("int") < 70, "20").otherwise("19")
-    whole = F.when(form == FULL, year).when(form == OF_ERA, (base + year.try_cast("int")).cast("string")).otherwise(F.concat(century, F.right(year, F.lit(2))))
-    return F.struct(form.alias("form"), F.concat_ws("-", whole, numbers[1], numbers[2]).try_cast("date").alias("day"))
+    hyphens, two digits with no words either; an era counts years from its first. Form is null for anything else.
+
+    Most have a full year, which is known, and read, without taking them apart.
+    """
+    made = lambda form, text: F.struct(form.alias("form"), text.try_cast("date").alias("day"))
+
+    def told(parts: Column) -> Column:
+        name, numbers = parts["name"], parts["numbers"]
+        starts = F.create_map(*[F.lit(v) for k, start in ERA_START.items() for v in (k, start)], *[F.lit(v) for k, letter in ERA_NAMES.items() for w in (k, k[0]) for v in (w, ERA_START[letter])])
+        base = F.when(name != "", F.coalesce(F.try_element_at(starts, F.upper(F.right(F.trim(name), F.lit(1)))), F.try_element_at(starts, F.trim(name))))
+        return once(base, lambda b: dated(numbers, b))
+
+    def dated(numbers: Column, base: Column) -> Column:
+        year = numbers[0]
+        form = F.when((F.length(year) <= 2) & base.isNotNull() & ~x.contains("-"), OF_ERA).when(F.length(year).between(2, 3) & ~x.rlike(r"[-\s年月]"), SHORT)
+        century = F.when(F.right(year, F.lit(2)).try_cast("int") < 70, "20").otherwise("19")
+        whole = lambda f: F.when(f == OF_ERA, (base + year.try_cast("int")).cast("string")).otherwise(F.concat(century, F.right(year, F.lit(2))))
+        return once(form, lambda f: made(f, F.concat(whole(f), F.lit("-"), numbers[1], F.lit("-"), numbers[2])))
+
+    full = x.rlike(r"^\d{4}[./年]\d{1,2}[./月]\d{1,2}日?$")
+    parts = F.struct(F.regexp_extract(x, r"^\D*", 0).alias("name"), F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0)).alias("numbers"))
+    return F.when(full, made(F.lit(FULL), F.translate(x, "./年月日", "----"))).otherwise(once(parts, told))
 
 
 def jp_date(c: Column | str) -> Column:
@@ -88,7 +99,7 @@ _UNTIL = f"[{UNTIL.replace('-', chr(92) + '-')}]"
 
 def holds_period(c: Column) -> Column:
     """Whether two days stand in a text with a sign for "until" near between them."""
-    return c.rlike(rf"(?:{ANY_DAY})[^\n]{{0,{GAP}}}?{_UNTIL}[^\n]{{0,{GAP}}}?(?:{ANY_DAY})")
+    return c.rlike(_UNTIL) & c.rlike(rf"(?:{ANY_DAY})[^\n]{{0,{GAP}}}?{_UNTIL}[^\n]{{0,{GAP}}}?(?:{ANY_DAY})")
 
 
 def period(c: Column) -> Column:
@@ -99,7 +110,8 @@ def period(c: Column) -> Column:
         at = F.try_element_at(places, F.lit(1))
         return once(at, lambda i: F.when(i.isNotNull(), F.struct(jp_date(F.element_at(days, i)).alias("start"), jp_date(F.element_at(days, i + 1)).alias("end"))))
 
-    return once(F.struct(F.regexp_extract_all(c, F.lit(ANY_DAY), F.lit(0)).alias("days"), F.split(c, ANY_DAY).alias("gaps")), lambda x: read(x["days"], x["gaps"]))
+    # most texts hold no such sign, and are not searched for days
+    return F.when(c.rlike(_UNTIL), once(F.struct(F.regexp_extract_all(c, F.lit(ANY_DAY), F.lit(0)).alias("days"), F.split(c, ANY_DAY).alias("gaps")), lambda x: read(x["days"], x["gaps"])))
 
 
 def any_date(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.dates import holds_period, jp_date, period
 from rollbook.functions.schema import worked_out
-from rollbook.functions.text import clean, nfkc, once, redact
+from rollbook.functions.text import among, clean, nfkc, once, redact
 from rollbook.operators.identity import least_row
 
 # Words that label a licence number, longer ones before those that they begin with; and words about dates.
@@ -55,7 +55,7 @@ def plain(c: Column | str, normal: bool) -> Column:
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
     """What a group of the first match holds, null without one."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return once(F.regexp_extract(c, pattern, group), lambda v: F.when(v != "", v))
 
 
 def tidy(c: Column) -> Column:
@@ -77,7 +77,7 @@ def read(parts: Column, **fields: Callable[[Column, Column], Column]) -> Column:
 
 def first_of(found: Column | str, labels: Sequence[str], field: str) -> Column:
     """The field of the first section under one of the labels that has it."""
-    return F.try_element_at(F.filter(F.transform(F.filter(found, lambda s: s["label"].isin(*labels)), lambda s: s[field]), lambda v: v.isNotNull()), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.filter(found, lambda s: among(s["label"], labels)), lambda s: s[field]), lambda v: v.isNotNull()), F.lit(1))
 
 
 def line_of(value: Column, length: int) -> Column:
@@ -116,9 +116,10 @@ def license_candidates(pages: DataFrame, window: int = 1, rejected: bool = False
     split = F.split(F.regexp_replace(plain("text", normal), "\r\n?", "\n"), "\n")
     lines = pages.select("source", "page", split.alias("lines"))
     near = lambda i: F.slice("lines", F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)) + window + 1)
-    placed = F.transform("lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"), near(i).alias("near")))
-    some = F.filter(placed, lambda p: p["line"].rlike(f"{labelled}|{generic}"))
-    each = lines.select("source", "page", F.explode(some).alias("p")).select("source", "page", "p.*")
+    placed = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"))), lambda p: p["line"].rlike(f"{labelled}|{generic}"))
+    some = F.transform(placed, lambda p: F.struct(p["n"].alias("n"), p["line"].alias("line"), near(p["n"]).alias("near")))
+    # arrays are made before they are exploded: Spark would make them again for filters of its own
+    each = worked_out(lines.select("source", "page", some.alias("p"))).select("source", "page", F.explode("p").alias("p")).select("source", "page", "p.*")
     all_found = F.filter(F.concat(F.array(found(F.col("line"), labelled)), F.regexp_extract_all("line", F.lit(generic), F.lit(1))), lambda x: x.isNotNull())
     each = worked_out(each.withColumn("has_label", F.col("line").rlike(one_of(LABELS))).withColumn("label_near", F.exists("near", lambda x: x.rlike(one_of(LABELS)))))
 
@@ -131,7 +132,7 @@ def license_candidates(pages: DataFrame, window: int = 1, rejected: bool = False
 
     candidates = F.transform(F.array_distinct(F.transform(all_found, tidy)), lambda c: once(F.coalesce(license_number(c), c), judged))
     candidates = candidates if rejected else F.filter(candidates, lambda x: x["reason"].startswith("accept"))
-    each = each.withColumn("c", F.explode(candidates)).select("source", "page", "n", "line", "near", "c.*")
+    each = worked_out(each.select("source", "page", "n", "line", "near", candidates.alias("c"))).withColumn("c", F.explode("c")).select("source", "page", "n", "line", "near", "c.*")
     date_near = F.exists("near", lambda x: looks_like_date(x) | x.rlike(one_of(DATE_WORDS)))
     sure = (F.when(F.col("reason") == "accept:labeled", "high").when(F.col("reason").isin("accept:adjacent_label", "accept:pattern"), "medium")
             .when(F.col("reason") == "accept:numeric_long", F.when(date_near, "low").otherwise("medium")).otherwise("low"))
@@ -154,7 +155,7 @@ def token_date(c: Column) -> Column:
 
 def date_candidates(pages: DataFrame, normal: bool = False) -> DataFrame:
     """(source, token, iso): date-like parts of each source's text and the days they name, blank where there is none."""
-    each = pages.select("source", F.explode(date_tokens(plain("text", normal))).alias("token")).distinct()
+    each = worked_out(pages.select("source", date_tokens(plain("text", normal)).alias("tokens"))).select("source", F.explode("tokens").alias("token")).distinct()
     return each.withColumn("iso", F.coalesce(F.date_format(token_date(F.col("token")), "yyyy-MM-dd"), F.lit("")))
 
 
@@ -207,7 +208,7 @@ def certificates(pages: DataFrame, normal: bool = False, listed: bool = False) -
     out = worked_out(pages.select("source", plain("text", normal).alias("_t")))
     full = F.filter(F.transform(F.filter(date_tokens(t), lambda x: x.rlike(r"^\d{4}[^(]*$")), token_date), lambda d: d.isNotNull())
     kinds = read(sections(t, KIND_LABELS), kind=lambda label, v: F.nullif(F.trim(line_of(v, 120)), F.lit("")))
-    days = read(sections(t, (*ISSUE_LABELS, *EXPIRY_LABELS, *PERIOD_LABELS)), period=lambda label, v: F.when(~label.isin(*ISSUE_LABELS), period(line_of(v, LINE))),
+    days = read(sections(t, (*ISSUE_LABELS, *EXPIRY_LABELS, *PERIOD_LABELS)), period=lambda label, v: F.when(~among(label, ISSUE_LABELS), period(line_of(v, LINE))),
                 day=lambda label, v: once(line_of(v, LINE), lambda x: F.when(~holds_period(x), first_day(F.substring(x, 1, NEAR)))))
     more = [F.try_element_at(names_in(t), F.lit(1)).alias("_person"), F.coalesce(*(F.when(t.contains(w), kind) for w, kind in LISTED_KIND.items())).alias("_listed")] if listed else []
     # each text is cut once, into columns of their own, before the expressions over them

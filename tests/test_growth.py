@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook.functions import schema, text
-from rollbook.operators import issue, ranges, state
+from rollbook.functions import dates, schema, text
+from rollbook.operators import extraction, issue, ranges, state
 from rollbook.plans import queries
 from rollbook.plans import standins as s
 from rollbook.sources import tolerant
@@ -66,3 +66,17 @@ def test_texts_are_trimmed_only_where_white_space_is(spark):
 def test_a_schedule_makes_its_stage_once(spark, sf, written):
     queries.star_schedule(spark, sf)
     assert written == ["stage"]
+
+
+def test_days_are_read_alike_with_and_without_taking_them_apart(spark):
+    want = {"2024/9/1": "2024-09-01", "2024年09月01日": "2024-09-01", "2024.02.30": None, "R6.9.1": "2024-09-01", "令和 6年9月1日": "2024-09-01", "24.9.1": "2024-09-01", "79/9/1": "1979-09-01", "2024-09-01": None, "2024 /9/1": None, "24年9月1日": None, "R6-9-1": None}
+    got = spark.createDataFrame([(x,) for x in want], "x string").select("x", dates.signed_day(F.col("x")).alias("d")).select("x", F.when(F.col("d.form").isNotNull(), F.col("d.day")).cast("string").alias("d"))
+    assert {r.x: r.d for r in got.collect()} == want
+
+
+def test_tokens_are_made_once(spark):
+    pages = spark.createDataFrame([("a", "on 2024/09/01 and R6.9.1")], "source string, text string")
+    out = extraction.date_candidates(pages, normal=True)
+    assert sorted(r.token for r in out.collect()) == ["2024/09/01", "R6.9.1"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp_extract_all" in line for line in plan.splitlines())
